@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, langid, toxicity
-from .common import table
+from . import ann, decontaminate, html_text, langid, sentencepiece_viterbi, toxicity
+from .common import LOWER, UPPER, WORD, table
+
+
+def tokenizer_path(name: str) -> str:
+    """Where this machine has a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +29,43 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op10_language_id)}
+#: Words of a text in DuckDB, as a list.
+SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {SQL_WORDS} AS w FROM benchmark),
+        bn AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+        bk AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM bn),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+        sizes AS (SELECT DISTINCT n FROM bn),
+        dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+        hits AS (
+            SELECT doc_id, k, dk.n, item_id FROM dk
+            JOIN bw ON bw.n = dk.n AND bw.win = array_to_string(w[k:k + dk.n - 1], ' ')),
+        spans AS (SELECT DISTINCT doc_id, k, n FROM hits),
+        places AS (SELECT doc_id, unnest(range(k, k + n)) AS at FROM spans),
+        n_hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM places GROUP BY 1),
+        named AS (SELECT DISTINCT doc_id, item_id FROM hits),
+        n_named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM named GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_named USING (doc_id)""",
     "op3_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding FROM embeddings
