@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, sentencepiece_viterbi, toxicity
+from . import ann, decontaminate, html_text, langid, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -37,12 +37,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op9_token_files, op10_language_id)}
 #: Words of a text in DuckDB, as a list.
 SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 ORACLE_SQL: dict[str, str] = {
@@ -58,8 +62,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, k, dk.n, item_id FROM dk
             JOIN bw ON bw.n = dk.n AND bw.win = array_to_string(w[k:k + dk.n - 1], ' ')),
         spans AS (SELECT DISTINCT doc_id, k, n FROM hits),
-        places AS (SELECT doc_id, unnest(range(k, k + n)) AS at FROM spans),
-        n_hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM places GROUP BY 1),
+        places AS (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM spans),
+        n_hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM places GROUP BY 1),
         named AS (SELECT DISTINCT doc_id, item_id FROM hits),
         n_named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM named GROUP BY 1)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
