@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, sentencepiece_viterbi, token_files, toxicity
+from . import ann, decontaminate, html_text, langid, licenses, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -37,6 +37,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op6_license_scan, op9_token_files, op10_language_id)}
 #: Words of a text in DuckDB, as a list.
 SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +91,31 @@ ORACLE_SQL: dict[str, str] = {
                    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n
             FROM p)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20""",
+    "op6_license_scan": f"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+        w AS (SELECT doc_id, low, regexp_extract_all(low, '{WORD}') AS w FROM d),
+        p AS (
+            SELECT doc_id, low, len(w) AS n_words,
+                   list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+                   list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+                   list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl
+            FROM w),
+        b AS (
+            SELECT doc_id, n_words, list_concat(mit, list_concat(apache, gpl)) AS places,
+                   list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS named
+            FROM p),
+        t AS (SELECT label, list_distinct(string_split(txt, ' ')) AS words FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)}) AS v(label, txt)),
+        tm AS (SELECT label, words, len(words) AS n, CAST(ceil(len(words) * {licenses.THRESHOLD} - 1e-9) AS BIGINT) AS m FROM t),
+        lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
+        lw AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM lines),
+        f AS (
+            SELECT doc_id, label, max(len(list_intersect(lw.words, tm.words)) / n) AS share
+            FROM lw JOIN tm ON len(lw.words) >= m AND len(list_intersect(lw.words, tm.words)) >= m GROUP BY 1, 2),
+        g AS (SELECT doc_id, list(label) AS found, max(share) AS share FROM f GROUP BY 1)
+        SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base,
+               list_min(places) AS first_word, list_max(places) AS last_word,
+               array_to_string(list_sort(named), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(named, coalesce(found, [])))), ',') AS labels,
+               CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+        FROM b LEFT JOIN g USING (doc_id)""",
 }
