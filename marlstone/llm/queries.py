@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, licenses, pii, sentencepiece_viterbi, token_files, toxicity
+from . import ann, decontaminate, html_text, langid, licenses, minhash, pii, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -45,6 +45,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op6_license_scan, op7_personal_data, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op6_license_scan, op7_personal_data, op8_near_duplicates, op9_token_files, op10_language_id)}
 #: Words of a text in DuckDB, as a list.
 SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 ORACLE_SQL: dict[str, str] = {
