@@ -183,7 +183,7 @@ def scorer(net: ByteConvNet):
                     langs[row], scores[row] = net.labels[k], float(p[k])
                 part.clear()
 
-            for row, text in enumerate(b["text"]):
+            for row, text in enumerate(b["__text"]):
                 if isinstance(text, str) and net.labels and LETTER.search(text):
                     w = windows(text.encode("utf-8", "replace"), net.window)
                     part.append((row, w))
@@ -192,15 +192,15 @@ def scorer(net: ByteConvNet):
                         flush()
                         held = 0
             flush()
-            out = b.drop(columns=["text"])
+            out = b.drop(columns=["__text"])
             out["lang_pred"], out["score"] = langs, scores
             yield out
 
     return score
 
 
-def identify(docs: DataFrame, net: ByteConvNet | None = None, **sample) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs`` (doc_id, text, lang, ...).
+def identify(docs: DataFrame, net: ByteConvNet | None = None, *, keep: tuple[str, ...] = ("doc_id",), **sample) -> DataFrame:
+    """``keep`` columns, lang_pred, score for every row of ``docs`` (doc_id, text, lang, ...).
 
     Texts that are null, empty or without letters give ``und`` with score 0;
     so does everything if no row has a label. Repeated rows each give a row;
@@ -213,5 +213,6 @@ def identify(docs: DataFrame, net: ByteConvNet | None = None, **sample) -> DataF
     def run(batches):
         return scorer(model.value)(batches)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    form = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    return rows.mapInPandas(run, f"{form}, lang_pred string, score double")
