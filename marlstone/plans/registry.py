@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import series  # noqa: E402, F401
+from . import screening, series  # noqa: E402, F401
