@@ -44,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted 64-bit hashes of a text's distinct shingles of ``size`` words."""
 
-    def __init__(self, size: int = 4, remembered: int = 300_000):
+    def __init__(self, size: int = 4, remembered: int = 100_000):
         self.size, self.bound = size, remembered
         self.words: dict[bytes, int] = {}
 
@@ -182,6 +182,16 @@ def _own_sets(b: pd.DataFrame, shingler: Shingler) -> tuple[list[int], list[np.n
     return ids, sets
 
 
+#: Rows up to which a table of candidates (some 60 bytes a row) is sent to all tasks rather than all texts to it.
+BROADCAST_ROWS = 400_000
+
+
+def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` with their documents' columns; texts of others don't move while members are few."""
+    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(members) if few else members, "doc_id")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int] = (80, 100), bands: int = 12, rows: int = 2, group_docs: int = 1024, group_shingles: int = 2_000_000, order_bits: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -194,6 +204,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int]
     columns are ignored.
     """
     spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts in a worker's memory at once
     num, den = similar
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed, _ = written(typed.mapInPandas(_signed(size, bands, rows), "doc_id long, n long, cls binary, a array<long>, b array<long>"))
@@ -224,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int]
             ids, found = _own_sets(b, Shingler(size))
             return pd.DataFrame([(ids[i], ids[j]) for i, j in _links(found, num, den)], columns=["u", "v"])
 
-        return m.join(typed, "doc_id").select("grp", "doc_id", "cls", "text").groupBy("grp").applyInPandas(run, edge)
+        return with_texts(m, typed).select("grp", "doc_id", "cls", "text").groupBy("grp").applyInPandas(run, edge)
 
     first = sized(members)
     found = within(first.where("NOT large"))
@@ -248,7 +260,7 @@ def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int,
     """Edges within groups too large for a task."""
     spark = hot.sparkSession
     buckets = 1 << order_bits
-    texts = hot.join(typed, "doc_id").select("grp", "doc_id", "cls", "text")
+    texts = with_texts(hot, typed).select("grp", "doc_id", "cls", "text")
 
     def counts(batches):
         shingler, total = Shingler(size), np.zeros(buckets, np.int64)
@@ -284,8 +296,8 @@ def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int,
     if big.isEmpty():
         return out
     # The group's least member against all others.
-    leaders = big.where("doc_id = grp").join(typed, "doc_id").select("grp", F.col("cls").alias("l_cls"), F.col("text").alias("l_text")).dropDuplicates(["grp"])
-    pairs = big.join(typed, "doc_id").join(leaders, "grp").select("grp", "doc_id", "cls", "text", "l_text", "g_docs", "g_n")
+    leaders = with_texts(big.where("doc_id = grp"), typed).select("grp", F.col("cls").alias("l_cls"), F.col("text").alias("l_text")).dropDuplicates(["grp"])
+    pairs = with_texts(big, typed).join(leaders, "grp").select("grp", "doc_id", "cls", "text", "l_text", "g_docs", "g_n")
 
     def tested(batches):
         shingler = Shingler(size)
