@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import models, screening, series  # noqa: E402, F401
+from . import kernels, models, screening, series, stream  # noqa: E402, F401
