@@ -90,7 +90,7 @@ def full(agg: Column, counted: Column, w: WindowSpec, n: int) -> Column:
 def score_bucket(v: Column | str) -> Column:
     """Tens from 0-10 to 90-100; NULL is ``none``."""
     low = F.least(F.lit(90), (F.floor(clamp(v, 0, 100) / 10) * 10).cast("int"))
-    return F.coalesce(F.concat(low.cast("string"), F.lit("-"), (low + 10).cast("string")), F.lit("none"))
+    return F.when(col(v).isNull(), "none").otherwise(F.concat(low.cast("string"), F.lit("-"), (low + 10).cast("string")))
 
 
 def code_padded(c: Column | str) -> Column:

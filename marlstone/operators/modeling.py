@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import average_rank, guarded_corr, mean_of, nn, occurrences, safe_div
-from .timeseries import BY_DATE, forward_returns
+from .timeseries import by_date, forward_returns
 
 #: Factors by group; those where less is better.
 GROUPS = {
@@ -28,12 +28,12 @@ def price_factors(bars: DataFrame, dates: DataFrame) -> DataFrame:
     Running measures are worked out once per bar; a bar stands for the days
     up to the next one, so that no range of bars is joined.
     """
-    upto = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_date().rowsBetween(Window.unboundedPreceding, 0)
     p = F.when(F.count("adj_close").over(upto) == F.count("*").over(upto), F.col("adj_close")).otherwise(F.col("close"))
-    b = bars.select("ticker", "date", p.alias("p"), F.lead("date").over(BY_DATE).alias("next"))
-    b = b.withColumn("ret", F.col("p") / nn(F.lag("p").over(BY_DATE)) - 1).withColumn("dd", F.least(F.lit(0.0), F.col("p") / nn(F.max("p").over(upto)) - 1))
+    b = bars.select("ticker", "date", p.alias("p"), F.lead("date").over(by_date()).alias("next"))
+    b = b.withColumn("ret", F.col("p") / nn(F.lag("p").over(by_date())) - 1).withColumn("dd", F.least(F.lit(0.0), F.col("p") / nn(F.max("p").over(upto)) - 1))
     b = b.select(
-        "ticker", "date", "next", F.col("p").alias("market_price"), *[((F.col("p") / nn(F.lag("p", k).over(BY_DATE)) - 1) * 100).alias(f"momentum_{k}d") for k in (20, 60, 120)],
+        "ticker", "date", "next", F.col("p").alias("market_price"), *[((F.col("p") / nn(F.lag("p", k).over(by_date())) - 1) * 100).alias(f"momentum_{k}d") for k in (20, 60, 120)],
         F.when(F.count("*").over(upto) >= 3, F.stddev_samp("ret").over(upto) * F.sqrt(F.lit(252.0)) * 100).alias("volatility"), (F.min("dd").over(upto) * 100).alias("max_drawdown"),
     )
     held = (F.col("decision_date") >= F.col("date")) & (F.col("next").isNull() | (F.col("decision_date") < F.col("next")))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.semantics import full, nn
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+def by_date() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def lag_return(price: str, k: int) -> Column:
-    return F.col(price) / nn(F.lag(price, k).over(BY_DATE)) - 1
+    return F.col(price) / nn(F.lag(price, k).over(by_date())) - 1
 
 
 def daily_features(bars: DataFrame, *, lookback: int = 20, min_turnover: float | None = None, min_rows: bool = True) -> DataFrame:
@@ -21,10 +22,10 @@ def daily_features(bars: DataFrame, *, lookback: int = 20, min_turnover: float |
     window. Rows below ``min_turnover`` go, then tickers with fewer than
     max(lookback, 20) + 1 rows left.
     """
-    roll = BY_DATE.rowsBetween(1 - lookback, 0)
+    roll = by_date().rowsBetween(1 - lookback, 0)
     f = bars.select("ticker", "date", "adj_open", "adj_high", "adj_low", "adj_close", "volume", "turnover_value")
     f = f.withColumn("ret_1d", lag_return("adj_close", 1)).withColumn("ret_5d", lag_return("adj_close", 5)).withColumn("ret_20d", lag_return("adj_close", 20))
-    f = f.withColumn("overnight_gap", F.col("adj_open") / nn(F.lag("adj_close", 1).over(BY_DATE)) - 1)
+    f = f.withColumn("overnight_gap", F.col("adj_open") / nn(F.lag("adj_close", 1).over(by_date())) - 1)
     f = f.withColumn("intraday_return", F.col("adj_close") / nn("adj_open") - 1).withColumn("range_pct", F.col("adj_high") / nn("adj_low") - 1)
     f = f.withColumn("volatility_20d", full(F.stddev_samp("ret_1d"), F.col("ret_1d"), roll, lookback))
     f = f.withColumn("avg_volume_20d", full(F.avg("volume"), F.col("volume"), roll, lookback)).withColumn("avg_turnover_20d", full(F.avg("turnover_value"), F.col("turnover_value"), roll, lookback))
@@ -53,7 +54,7 @@ def momentum(bars: DataFrame, as_of: str | None = None) -> DataFrame:
     b = bars if as_of is None else bars.where(F.col("date") <= F.to_date(F.lit(as_of)))
     b = b.select("ticker", "date", F.coalesce("adj_close", "close").alias("p"), F.col("close").alias("raw_close"), "volume")
     at = Window.partitionBy("ticker").orderBy(F.desc("date"))
-    b = b.withColumn("ret", F.col("p") / nn(F.lag("p").over(BY_DATE)) - 1).withColumn("peak", F.max("p").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("ret", F.col("p") / nn(F.lag("p").over(by_date())) - 1).withColumn("peak", F.max("p").over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
     b = b.withColumn("back", F.row_number().over(at) - 1)
     # Of volumes that are known, the last twenty and the twenty before.
     b = b.withColumn("v_back", F.when(F.col("volume").isNotNull(), F.count("volume").over(at.rowsBetween(Window.unboundedPreceding, 0)) - 1))
@@ -90,7 +91,7 @@ def forward_returns(bars: DataFrame, dates: DataFrame, horizons=(5, 20, 60), *,
     date after it. No range join: a bar's date tells between which decision
     dates it and its predecessor lie.
     """
-    w = BY_DATE
+    w = by_date()
     b = bars.select("ticker", "date", F.col(price).alias("base_price"), F.lag("date").over(w).alias("before"), *[F.lead(price, h).over(w).alias(f"later_{h}") for h in horizons], *[F.lead("date", h).over(w).alias(f"date_{h}") for h in horizons])
     # Decision dates are a short list: each bar keeps those that lie from its predecessor's day up to the day before it.
     base = b.join(F.broadcast(dates), (F.col("decision_date") < F.col("date")) & (F.col("before").isNull() | (F.col("decision_date") >= F.col("before"))))

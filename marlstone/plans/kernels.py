@@ -8,7 +8,7 @@ from ..operators import kernels as k
 from ..operators import modeling as m
 from ..operators import portfolio as pf
 from .models import LABEL, included, scored
-from .registry import query
+from .base import query
 
 USED = ["earnings_yield", "book_to_market", "roe", "operating_margin", "revenue_growth_yoy", "momentum_60d", "volatility", "max_drawdown"]
 

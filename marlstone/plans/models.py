@@ -11,7 +11,7 @@ from ..operators import modeling as m
 from ..operators import portfolio as pf
 from ..operators import timeseries as t
 from ..sources import views as v
-from .registry import query
+from .base import query
 
 W = "(PARTITION BY ticker ORDER BY date)"
 UPTO = "(PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
@@ -299,5 +299,5 @@ def walk_forward_folds(spark, sf_dir):
 @query(f"""WITH {v.BARS}, b AS (SELECT ticker, date AS start, lead(date, 20) OVER {W} AS "end" FROM bars), k AS (SELECT * FROM b WHERE "end" IS NOT NULL)
     SELECT CASE WHEN start <= DATE '1998-03-31' AND "end" >= DATE '1998-01-01' THEN 'purged' WHEN start > DATE '1998-03-31' AND start <= DATE '1998-03-31' + 30 THEN 'embargoed' ELSE 'kept' END AS outcome, count(*) AS n FROM k GROUP BY 1""")
 def purge_embargo(spark, sf_dir):
-    b = v.bars(spark, sf_dir).select("ticker", F.col("date").alias("start"), F.lead("date", 20).over(t.BY_DATE).alias("end")).where("end IS NOT NULL")
+    b = v.bars(spark, sf_dir).select("ticker", F.col("date").alias("start"), F.lead("date", 20).over(t.by_date()).alias("end")).where("end IS NOT NULL")
     return pf.purge_embargo(b, datetime.date(1998, 1, 1), datetime.date(1998, 3, 31), 30).groupBy("outcome").agg(F.count("*").alias("n"))

@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import kernels, models, screening, series, stream  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "daily_bar_features"
-
-
-def query(sql: str | None = None):
-    """Register a function by its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-from . import kernels, models, screening, series, stream  # noqa: E402, F401

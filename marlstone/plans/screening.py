@@ -8,7 +8,7 @@ from ..functions.semantics import r6
 from ..operators import analysis as a
 from ..operators import timeseries as t
 from ..sources import views as v
-from .registry import query
+from .base import query
 
 W = "(PARTITION BY ticker ORDER BY date)"
 

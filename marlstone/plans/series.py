@@ -8,7 +8,7 @@ from ..functions.semantics import r6
 from ..operators import quality as q
 from ..operators import timeseries as t
 from ..sources import views as v
-from .registry import query
+from .base import query
 
 W = "(PARTITION BY ticker ORDER BY date)"
 ROLL = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -67,7 +67,7 @@ COVERED = ("open", "close", "volume", "prev_close")
 @query(f"""WITH {v.BARS}, x AS (SELECT *, lag(close) OVER {W} AS prev_close FROM bars)
     {" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS n_known, count(*) - count({c}) AS n_missing, round(count({c}) / count(*), 6) AS ratio FROM x" for c in COVERED)}""")
 def field_coverage(spark, sf_dir):
-    b = v.bars(spark, sf_dir).withColumn("prev_close", F.lag("close").over(t.BY_DATE))
+    b = v.bars(spark, sf_dir).withColumn("prev_close", F.lag("close").over(t.by_date()))
     return q.field_coverage(b, list(COVERED)).withColumn("ratio", r6("ratio"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import readers, views as v
 from ..streaming import upsert
 from . import series
-from .registry import query
+from .base import query
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS date, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS turnover, CAST(max(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS high,
