@@ -20,14 +20,16 @@ SHINGLE = 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; texts without letters go."""
-    named = langid.identify(docs, keep=tuple(docs.columns))
-    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    own = {c: f"__k{i}" for i, c in enumerate(docs.columns)}  # names that clash with no result's
+    net = langid.train(*langid.training_sample(docs))
+    named = langid.identify(docs.select(*[F.col(c).alias(k) for c, k in own.items()], "text"), net, keep=tuple(own.values()))
+    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(k).alias(c) for c, k in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the row with the least doc_id."""
-    marked = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    left = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")), "left_semi")
+    marked = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select(F.col("doc_id").alias("__k_id")).distinct()
+    left = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")), "left_semi")
     # Rows that repeat a doc_id are one document.
     first = left.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
     repeated = left.where("doc_id IS NULL").select(*docs.columns)

@@ -223,7 +223,8 @@ def item_blocks(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[str
 def scan(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, max_chars: int = 16_000_000, shard_words: int = 500_000) -> DataFrame:
     """``keep`` columns, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``.
 
-    A document without words, or null, has zeros and isn't contaminated. Items
+    ``keep`` columns must not have the results' names. A document without
+    words, or null, has zeros and isn't contaminated. Items
     without words match nothing; an item id that is repeated counts once, with
     the windows of all its rows. An empty benchmark gives zeros. Repeated
     documents each give a row.
@@ -270,6 +271,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns."""
-    marked = scan(docs.withColumn("__text", F.col("text")), benchmark, keep=(*[c for c in docs.columns if c != "text"], "__text"), **options)
-    return marked.where("NOT contaminated").select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """The rows of ``docs`` that aren't contaminated, with their columns, whatever their names."""
+    own = {c: f"__k{i}" for i, c in enumerate(docs.columns)}
+    marked = scan(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], F.col("text")), benchmark, keep=tuple(own.values()), **options)
+    return marked.where("NOT contaminated").select(*[F.col(k).alias(c) for c, k in own.items()])
