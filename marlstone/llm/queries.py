@@ -126,4 +126,17 @@ ORACLE_SQL: dict[str, str] = {
                array_to_string(list_sort(list_distinct(list_concat(named, coalesce(found, [])))), ',') AS labels,
                CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
         FROM b LEFT JOIN g USING (doc_id)""",
+    "op8_near_duplicates": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        k AS (SELECT doc_id, w, least(4, len(w)) AS k, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS sh FROM k),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.doc_id),
+        m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+        FROM d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
