@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir() -> str:
+    """A local folder of this process, deleted at its end."""
+    path = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder's path below the shared folder that the cluster names.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a local folder is
-    named for it.
+    Only where spark.checkpoint.dir is unset, as in tests, it is a local one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
@@ -61,12 +67,3 @@ _LOWER_TABLE = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 def lower_az(text: str) -> str:
     return text.translate(_LOWER_TABLE) if not text.isascii() else text.lower()
-
-
-def crc32_text(value: object) -> int:
-    return zlib.crc32(str(value).encode())
-
-
-def salted(df: DataFrame, parallel: int | None = None) -> DataFrame:
-    """Deal rows out evenly, whatever their keys: for tables of few files."""
-    return df.repartition(parallel) if parallel else df
