@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Elements whose text is never main text.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe object embed svg math canvas select button textarea input label fieldset dialog menu head title audio video map datalist option".split())
