@@ -202,7 +202,7 @@ def weighted_blend(models: dict[str, DataFrame], weights: dict[str, float]) -> D
 def pairwise_corr(models: dict[str, DataFrame]) -> DataFrame:
     """pair, corr: rank correlations of models over all common rows."""
     rows, names = _common(models), sorted(models)
-    # One task would rank all rows of a model; models are compared on a report's scale, per-date columns beforehand keep ties.
+    # Ranks over all rows need one order of them: this is for a report's few thousand names and dates.
     ranked = rows.withColumns({f"r_{m}": average_rank(f"s_{m}") for m in names})
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     one = ranked.agg(*[guarded_corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])

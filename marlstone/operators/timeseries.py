@@ -122,12 +122,11 @@ def grouped_summary(results: DataFrame, dimensions: list[str], horizons=(5, 20,
     """Forward returns by each of several independent dimensions and horizon, as grouping sets in one pass."""
     long = results.select(*dimensions, F.expr("stack(" + str(len(horizons)) + ", " + ", ".join(f"{h}, forward_return_h{h}" for h in horizons) + ") AS (horizon, ret)"))
     long.createOrReplaceTempView("__summary_rows")
-    names = ", ".join(dimensions)
     sets = ", ".join(f"({d}, horizon)" for d in dimensions)
     which = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions) + " END"
     value = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN coalesce(CAST({d} AS STRING), 'none')" for d in dimensions) + " END"
     return results.sparkSession.sql(
         f"""SELECT {which} AS dimension, {value} AS value, horizon, count(*) AS n, count(ret) AS n_available, count(*) - count(ret) AS n_missing,
         avg(ret) AS mean_ret, median(ret) AS median_ret, avg(CASE WHEN ret > 0 THEN 1.0D WHEN ret IS NOT NULL THEN 0.0D END) AS hit_rate, min(ret) AS min_ret, max(ret) AS max_ret
-        FROM __summary_rows GROUP BY GROUPING SETS ({sets})""".replace("{names}", names)
+        FROM __summary_rows GROUP BY GROUPING SETS ({sets})"""
     )

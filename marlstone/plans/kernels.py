@@ -18,7 +18,7 @@ def _exposed(spark, sf_dir):
     return scored(spark, sf_dir).join(d.select("decision_date", "ticker", "momentum_60d", "leverage"), ["decision_date", "ticker"])
 
 
-def _coef(spark, model, status=True):
+def _coef(spark, model):
     return spark.createDataFrame([(f, float(c), model.status) for f, c in model.coef.items()], "feature string, coefficient double, status string")
 
 
