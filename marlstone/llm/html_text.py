@@ -29,6 +29,7 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't main text.
 BOILER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments disqus respond reply replies complementary contentinfo search toolbar pagination pager hidden skip".split())
+WEAK = frozenset("header banner masthead widget pagination pager search login skip toolbar share sharing social hidden".split())
 #: Words in class or id that mark the main text.
 MAIN = frozenset("article main content post entry story body maincontent articlebody".split())
 #: Frequent short words of English, French, German and Spanish.
@@ -56,9 +57,7 @@ class Block:
 
 def _is_boiler(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is left out, and whether it marks the main text."""
-    if tag in ("article", "main"):
-        return False, True
-    drop, main = tag in DROPPED, False
+    drop, main = tag in DROPPED, tag in ("article", "main")
     if not attrs.strip():
         return drop, main
     for name, value, alone in ATTRIBUTE.findall(attrs):
@@ -67,8 +66,9 @@ def _is_boiler(tag: str, attrs: str) -> tuple[bool, bool]:
             drop = True
         elif name in ("class", "id", "role"):
             parts = set(NAMES.findall(value))
-            drop |= bool(parts & BOILER) and not (parts & MAIN and not parts & {"comment", "comments", "ad", "ads", "sidebar", "footer", "related", "nav", "menu", "reply", "replies"})
-            main |= name in ("class", "id", "role") and bool(parts & MAIN)
+            # Beside a word for the main text some words say little, as in "article-header".
+            drop |= bool(parts & BOILER) and not (parts & BOILER <= WEAK and (parts & MAIN or tag in ("article", "main", "body", "html")))
+            main |= bool(parts & MAIN)
         elif name == "itemprop" and value == "articlebody":
             main = True
     return drop, main and not drop

@@ -65,6 +65,8 @@ def test_html(spark):
     assert html_text.main_text(page) == "Head & line First bold words éé here. Ok. One Two"
     plain = "<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><p>" + "This is the text of a page and it has the words that make it a text. " * 5 + "</p><p>Short.</p><div>Copyright</div><div class=ad>" + "The best of all that you can buy in this shop is here for you. " * 5 + "</div></body>"
     assert html_text.main_text(plain).startswith("This is the text") and "best of all" not in html_text.main_text(plain)
+    nested = "<main class='content-header'><article class='post'><p>The text that we want to keep in this page, and it is long enough.</p></article><article class='comment'><p>I have read this text and I do not think that it is right at all.</p></article><div class='story-notice'>We use cookies to make this site better for all of our readers.</div></main>"
+    assert html_text.main_text(nested) == "The text that we want to keep in this page, and it is long enough."
     pages = spark.createDataFrame([(1, "u", None, 5), (2, "u", "", 5), (3, "u", "<p>", 5), (4, "u", "<" * 3000, 5), (4, "u", "a &amp;amp; b", 5)], "page_id long, url string, html string, n_chars int")
     got = html_text.extract(pages).orderBy("page_id", "n_chars").collect()
     assert [r["text"] for r in got[:3]] == ["", "", ""] and got[4]["n_chars"] == len(got[4]["text"]) and any(r["text"] == "a &amp; b" for r in got)
