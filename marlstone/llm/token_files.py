@@ -15,7 +15,6 @@ the bits, big-endian words of 32, each document beginning a word.
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from array import array
@@ -48,19 +47,10 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tk = Tokenizer.from_file(path)
-        if hasattr(self.tk.model, "_resize_cache"):
-            self.tk.model._resize_cache(0)  # the memory of words is here; the library would only look in vain
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-        size = max(self.tk.get_vocab_size(), end_id + 1)
-        self.kind, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.letters = None
-        if json.loads(self.tk.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            self.letters = Tokenizer(self.tk.model)
-            self.letters.pre_tokenizer = WhitespaceSplit()
+        self.end = np.array([end_id], np.uint32).tobytes()
         #: None stands for a word whose text can't be cut.
         self.memo: dict[str, bytes | None] = {"": None}
         self.bound = remembered
@@ -70,81 +60,50 @@ class WordIds:
         self.sizes = sizes
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words, each with the space before it."""
         memo = self.memo
-        sure = [w for w in words if w.strip() is w]  # strip() gives the same string if nothing goes
-        if len(sure) < len(words):
-            memo.update(dict.fromkeys(w for w in words if w.strip() is not w))
-        plain, other = [], []
-        for w in sure:
-            # Letters alone, or with one sign after them: the library's pattern cuts them just there.
-            (plain if self.letters is not None and (w.isalpha() or w[-1] in SIGNS and w[:-1].isalpha()) and (w.isascii() or max(w) < "\u0250") else other).append(w)
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            row = "\n".join(part).encode().decode("latin-1").translate(BYTE_LETTERS).replace("\n", " " + SPACE_LETTER)
-            for sign in SIGNS:
-                row = row.replace(sign, " " + sign)
-            self._cut(self.letters, SPACE_LETTER + row, part)
-        for i in range(0, len(other), 2000):
-            part = other[i : i + 2000]
-            row = " " + " ".join(part)
-            if any(s in row for s in self.special):
-                memo.update(dict.fromkeys(w for w in part if any(s in w for s in self.special)))
-                part = [w for w in part if w not in memo]
-                row = " " + " ".join(part)
-            if part:
-                self._cut(self.tk, row, part)
-
-    def _cut(self, tokenizer, row: str, words: list[str]) -> None:
-        """Remember the words' ids from those of all in a row, cut by their lengths in bytes."""
-        ids = np.array(tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
-        data, at, width = ids.astype(self.kind).tobytes(), 0, np.dtype(self.kind).itemsize
-        memo = self.memo
-        for w, end in zip(words, (width * ends).tolist()):
-            memo[w] = data[at:end]
-            at = end
+        sure = []
+        for w in words:
+            if w[0].isspace() or w[-1].isspace() or w[0] == "\0" or any(s in w for s in self.special):
+                memo[w] = None
+            else:
+                sure.append(w)
+        for i in range(0, len(sure), 2000):  # words in a row are cut again by their lengths in bytes
+            part = sure[i : i + 2000]
+            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist()):
+                memo[w] = data[at:end]
+                at = end
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of ``self.kind``, with the end id."""
+        """Little-endian u32 ids of each text, with the end id."""
         cut = [t.split(" ") for t in texts]
         if len(self.memo) > self.bound:  # the words that came first are the frequent ones
             self.memo = dict(islice(self.memo.items(), self.bound // 2))
         memo = self.memo
-        new: set[str] = set()
-        for words in cut:
-            new.update(words)
-        self.learn(list(new - memo.keys()))
+        self.learn(list({w for words in cut for w in words[1:]} - memo.keys()))
         # A text's first word has no space before it.
         firsts = self.whole([words[0] for words in cut])
         out: list[bytes] = []
         plain: list[int] = []
         for k, words in enumerate(cut):
             first = words[0]
-            head, words[0] = firsts[k], ""
-            rest = map(memo.__getitem__, words)
-            next(rest)
-            try:
-                found = head + b"".join(rest)
-                if len(words) > 1 and (not first or first[-1].isspace()) or any(s in texts[k] for s in self.special):
-                    raise TypeError
-            except TypeError:  # a None: the text can't be cut
+            found = list(map(memo.__getitem__, words[1:]))
+            if None in found or found and (not first or first[-1].isspace()) or self.special and any(s in texts[k] for s in self.special):
                 plain.append(k)
-                found = b""
-            out.append(found)
+                out.append(b"")
+            else:
+                out.append(firsts[k] + b"".join(found))
         for k, found in zip(plain, self.whole([texts[k] for k in plain]) if plain else ()):
             out[k] = found
         return [x + self.end for x in out]
 
 
-#: Fixed values of byte-level vocabularies: the letter of a space, and of bytes that Latin-1 has no visible letter for.
-SPACE_LETTER = "\u0120"
-BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD]) if b != 0x0A}
-SIGNS = ".,!?;:"
-
 _TOKENIZERS: dict[tuple[str, int], WordIds] = {}
 
 
@@ -164,12 +123,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for k in range(0, len(b), 1000):
                 part = b.iloc[k : k + 1000]
                 ids = tk.ids([t if isinstance(t, str) else "" for t in part["text"]])
-                found = np.bincount(np.frombuffer(b"".join(ids), tk.kind))
+                flat = np.frombuffer(b"".join(ids), np.uint32)
+                found = np.bincount(flat)
                 if len(found) > len(counts):
                     counts = np.pad(counts, (0, len(found) - len(counts)))
                 counts[: len(found)] += found
-                wide = tk.kind is np.uint32
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(i) // (4 if wide else 2) for i in ids], "wide": wide, "ids": ids, "seen": None, "times": None})
+                wide = int(flat.max()) >= 1 << 16
+                data = ids if wide else [np.frombuffer(i, np.uint32).astype(np.uint16).tobytes() for i in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(i) // 4 for i in ids], "wide": wide, "ids": data, "seen": None, "times": None})
         seen = np.flatnonzero(counts)
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "wide": [None], "ids": [None], "seen": [seen], "times": [counts[seen]]})
 
@@ -269,15 +230,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, segment_to
     code, check = Code(lengths), zlib.crc32(lengths.tobytes())
     bits = coded.where("ids IS NOT NULL").select("doc_id", "n", "wide", "ids").mapInPandas(_bits(spark.sparkContext.broadcast(code)), "doc_id long, n long, bits binary, marks binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Range bounds are taken from a sample: written bits are read twice, not coded twice.
-    bits, bits_path = written(bits, "none")
-    drop(spark, scratch)
     # Equal ids of documents would all go to one range: what else a row holds parts them.
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.crc32("bits")]
     ordered = bits.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "bits")
     ordered.mapInPandas(_segments(check, segment_tokens), "part int, base long, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    drop(spark, bits_path)
+    drop(spark, scratch)
 
 
 def _opened(spark: SparkSession, path: str) -> tuple[Code, int]:
