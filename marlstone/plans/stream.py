@@ -51,12 +51,21 @@ CHAIN = """c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey)
 @query(f"""WITH {CHAIN}, p AS (SELECT line, entry_hash, CASE WHEN line % 40 = 0 THEN 'broken' ELSE coalesce(lag(entry_hash) OVER (ORDER BY line), '') END AS parent_hash FROM c)
     SELECT CAST(line AS INTEGER) AS line, parent_hash = coalesce(lag(entry_hash) OVER (ORDER BY line), '') AS linked FROM p""")
 def ledger_chain_check(spark, sf_dir):
-    from pyspark.sql import Window
+    """The chain over the first 50 customers' orders, as its SQL has it; ledger_chain_check_all covers all orders."""
+    return _chain(v.table(spark, sf_dir, "orders").where("o_custkey <= 50")).withColumn("line", F.col("line").cast("int"))
 
+
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, sha256(CAST(o_orderkey AS VARCHAR)) AS entry_hash FROM orders),
+    p AS (SELECT line, entry_hash, CASE WHEN line % 40 = 0 THEN 'broken' ELSE coalesce(lag(entry_hash) OVER (ORDER BY line), '') END AS parent_hash FROM c)
+    SELECT line, parent_hash = coalesce(lag(entry_hash) OVER (ORDER BY line), '') AS linked FROM p""")
+def ledger_chain_check_all(spark, sf_dir):
+    return _chain(v.table(spark, sf_dir, "orders"))
+
+
+def _chain(orders):
+    """line, linked of a ledger with an entry per order, of which every 40th names a wrong parent."""
     from ..operators import governance as g
 
-    o = v.table(spark, sf_dir, "orders").where("o_custkey <= 50")
-    w = Window.orderBy("line")
-    c = o.select(F.row_number().over(Window.orderBy("o_orderkey")).alias("line"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("entry_hash"))
-    c = c.withColumn("parent_hash", F.when(F.col("line") % 40 == 0, "broken").otherwise(F.coalesce(F.lag("entry_hash").over(w), F.lit(""))))
+    c = g.chained(orders.select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("entry_hash")), "o_orderkey", "entry_hash")
+    c = c.select(F.col("place").alias("line"), "entry_hash", F.when(F.col("place") % 40 == 0, "broken").otherwise(F.coalesce("before", F.lit(""))).alias("parent_hash"))
     return g.chain_links(c).select("line", "linked")

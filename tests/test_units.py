@@ -131,3 +131,21 @@ def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     steps = pipeline.run(spark, v.bars(spark, d), v.statements(spark, d), v.companies(spark, d), v.disclosures(spark, d), v.decision_dates(spark), str(tmp_path), risk_words=models.RISK_WORDS)
     assert len(steps) >= 15 and all(x["status"] == "ok" for x in steps)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_chain_carries_over_ranges_of_keys(spark, parts):
+    keys = [3 * k + k % 2 for k in range(500)]
+    d = spark.createDataFrame([(x, f"h{x}") for x in keys], "k long, h string").repartition(5)
+    got = [tuple(r) for r in g.chained(d, "k", "h", parts).orderBy("k").select("k", "place", "before").collect()]
+    assert got == [(x, n + 1, f"h{keys[n - 1]}" if n else None) for n, x in enumerate(keys)]
+    assert g.chained(d.limit(0), "k", "h", parts).count() == 0
+
+
+def test_ledger_chain_holds_every_order(spark):
+    from marlstone.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    r = registry.QUERIES["ledger_chain_check_all"](spark, data).agg(F.count("*"), F.max("line"), F.count_if(~F.col("linked"))).first()
+    assert tuple(r) == (n, n, n // 40)
