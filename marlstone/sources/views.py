@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticker(c: str):
-    return F.lpad(F.col(c).cast("string"), 4, "0")
+def ticker(c):
+    """A key as a code of at least four digits; lpad() would cut longer keys."""
+    key = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.lpad(key, F.greatest(F.lit(4), F.length(key)), "0")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest text of each ticker."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n_supp"))
     docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(n))  # one row
-    docs = docs.select(F.lpad((F.col("doc_id") % F.col("n_supp") + 1).cast("string"), 4, "0").alias("ticker"), "doc_id", F.when(F.col("doc_id") % 50 == 49, "").otherwise(F.col("text")).alias("text"))
+    docs = docs.select(ticker(F.col("doc_id") % F.col("n_supp") + 1).alias("ticker"), "doc_id", F.when(F.col("doc_id") % 50 == 49, "").otherwise(F.col("text")).alias("text"))
     return docs.groupBy("ticker").agg(F.max("doc_id").alias("doc_id"), F.max_by("text", "doc_id").alias("text"))
 
 

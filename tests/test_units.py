@@ -149,3 +149,21 @@ def test_ledger_chain_holds_every_order(spark):
     n = spark.read.parquet(f"{data}/orders.parquet").count()
     r = registry.QUERIES["ledger_chain_check_all"](spark, data).agg(F.count("*"), F.max("line"), F.count_if(~F.col("linked"))).first()
     assert tuple(r) == (n, n, n // 40)
+
+
+def test_tickers_keep_all_digits(spark):
+    from marlstone.sources import views as v
+
+    d = spark.createDataFrame([(x,) for x in (7, 1000, 9999, 10000, 10009, 123456)], "k long").orderBy("k")
+    assert [r["t"] for r in d.select(v.ticker("k").alias("t")).collect()] == ["0007", "1000", "9999", "10000", "10009", "123456"]
+
+
+def test_large_keys_are_tickers_of_their_own(spark, tmp_path):
+    from marlstone.sources import views as v
+
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    one = line.where("l_suppkey = 1")
+    both = one.unionByName(one.withColumn("l_suppkey", F.lit(10000).cast(line.schema["l_suppkey"].dataType))).unionByName(one.withColumn("l_suppkey", F.lit(1000).cast(line.schema["l_suppkey"].dataType)))
+    both.write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = {r["ticker"]: (r["n"], r["q"]) for r in v.bars(spark, str(tmp_path)).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("volume").alias("q")).collect()}
+    assert set(n) == {"0001", "1000", "10000"} and len(set(n.values())) == 1
