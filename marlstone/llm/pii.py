@@ -6,7 +6,8 @@ score each by its format and context, and a calibrated threshold per kind
 selects those that are added to the base spans.
 
 The trees are fitted on counts of feature cells over all documents: a table
-with a row for each cell that occurs, bounded by the number of cells. A cell's
+with a row for each cell that occurs. Features are coarse bins, so that the
+table is bounded by the number of cells and no cell is left out. A cell's
 target comes from checks that the features don't show (check digits, an
 opening plus sign, an assignment to a secret's name).
 
@@ -22,6 +23,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ GENERATORS = (
     ("secret", r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{16,128}+(?![A-Za-z0-9/+_-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
+#: Where a feature's bins after the first begin; other features have few values.
+BINS = {"digits": (1, 4, 8, 10, 13, 16, 17, 20), "letters": (1, 3, 6, 11, 20), "signs": (1, 2, 3, 5), "longest": (1, 3, 4, 5, 8, 13, 16), "distinct": (5, 7, 9, 12, 16), "upper": (1, 2, 4)}
 FEATURES = ("digits", "letters", "signs", "longest", "distinct", "upper", "cue", "left", "right", "paren")
 
 
@@ -144,7 +148,7 @@ CUES = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|iban|account|ssn|tok
 
 
 def feature(name: str, s: Column) -> Column:
-    """A format or context feature of a span, as a small int."""
+    """A format or context feature of a span, as a small int: the bin where it has bins."""
     t = s["text"]
     n = {
         "digits": lambda: F.least(F.length(_digits(t)), F.lit(20)),
@@ -158,7 +162,11 @@ def feature(name: str, s: Column) -> Column:
         "right": lambda: F.when(s["right"].rlike("^[\"']"), 2).when(s["right"].rlike(r"^\s") | (s["right"] == ""), 1).otherwise(0),
         "paren": lambda: t.contains("(").cast("int"),
     }
-    return n[name]().cast("int")
+    value = n[name]().cast("int")
+    if name not in BINS:
+        return value
+    # A table from values to bins, so that the value is worked out once.
+    return F.get(F.array(*[F.lit(sum(v >= b for b in BINS[name])) for v in range(max(BINS[name]) + 1)]), F.least(value, F.lit(max(BINS[name]))))
 
 
 def silver(s: Column) -> Column:
@@ -243,21 +251,24 @@ def calibrated(cells, start: float, trees: list, precision: float) -> float:
     return cut
 
 
-def fit(docs: DataFrame, *, precision: float = 0.9, max_cells: int = 50_000) -> dict[str, Trees]:
+def fit(docs: DataFrame, *, precision: float = 0.9) -> dict[str, Trees]:
     """Trees per kind, from the proposals of all documents as counts of cells.
 
     A fifth of the documents, by a hash of their text, is kept for the
-    thresholds. If more than ``max_cells`` cells occur, the trees see those
-    with the most rows.
+    thresholds. All cells are used: their number follows from the bins, not
+    from the documents.
     """
     df = proposals(docs.select(F.coalesce("text", F.lit("")).alias("__t")))
     # explode() would put a filter on the array below it, and so find all proposals twice.
     one = df.select((F.pmod(F.xxhash64("__t"), F.lit(5)) == 0).alias("kept"), F.explode_outer("proposed").alias("s")).where("s IS NOT NULL")
     cells = one.select("kept", F.col("s.kind").alias("kind"), *[feature(f, F.col("s")).alias(f) for f in FEATURES], silver(F.col("s")).alias("y"))
-    rows = cells.groupBy("kept", "kind", *FEATURES).agg(F.sum("y").alias("p"), F.count("*").alias("n")).orderBy(F.desc("n"), "kept", "kind", *FEATURES).limit(max_cells).collect()
+    rows = cells.groupBy("kept", "kind", *FEATURES).agg(F.sum("y").alias("p"), F.count("*").alias("n")).toArrow().sort_by([(c, "ascending") for c in ("kept", "kind", *FEATURES)])
     out = {}
     for kind in [k for k, _ in GENERATORS]:
-        part = {v: [(tuple(r[f] for f in FEATURES), int(r["p"]), int(r["n"])) for r in rows if r["kind"] == kind and r["kept"] is v] for v in (True, False)}
+        part = {}
+        for kept in (True, False):
+            of = rows.filter((pc.field("kind") == kind) & (pc.field("kept") == kept))
+            part[kept] = list(zip(zip(*[of[f].to_pylist() for f in FEATURES]), of["p"].to_pylist(), of["n"].to_pylist()))
         start, trees = fit_trees(part[False])
         out[kind] = Trees(start, trees, calibrated(part[True] or part[False], start, trees, precision))
     return out

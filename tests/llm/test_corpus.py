@@ -240,6 +240,17 @@ def test_personal_data(spark):
     assert pii.find(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_many_cells_of_a_kind_leave_rare_kinds_in_place(spark):
+    # Secrets of some 100,000 shapes, each twice, and handles of two shapes.
+    many = spark.range(20 * 20 * 7 * 5 * 4 * 3).select(F.expr("""concat(
+        element_at(array('x ', 'x=', 'token ', 'token='), cast(id div 14000 % 4 as int) + 1), repeat('1', cast(id % 20 + 1 as int)), repeat('a', cast(id div 20 % 20 + 1 as int)),
+        repeat('A', cast(id div 2800 % 5 as int)), repeat('-', cast(id div 400 % 7 as int)), element_at(array(' ', '"', '.'), cast(id div 56000 as int) + 1))""").alias("text"))
+    rare = spark.createDataFrame([("write to joe at site dot com",), ("anna.b [at] place.org",)], "text string")
+    model = pii.fit(many.unionByName(many).unionByName(rare))
+    got = [r["spans"] for r in pii.find(docs(spark, ["ask joe at site dot com now"]), model).collect()]
+    assert got == ["handle:4:23"]
+
+
 def test_boosted_trees_as_columns_give_the_fits_scores(spark):
     cells = [((a, b) + (0,) * 8, (a > 2) * 5 + (b > 1), 6) for a in range(6) for b in range(3)]
     start, trees = pii.fit_trees(cells)
