@@ -114,6 +114,13 @@ def complete_dates(spark, sf_dir):
     return q.complete_dates(b, big)
 
 
+@query(f"""WITH {v.BARS}, u AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS ticker FROM supplier)
+    SELECT date FROM bars JOIN u USING (ticker) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM u)""")
+def complete_dates_all(spark, sf_dir):
+    """Dates on which every supplier has a bar; complete_dates asks for three, as its SQL does."""
+    return q.complete_dates(v.bars(spark, sf_dir), v.table(spark, sf_dir, "supplier").select(v.ticker("s_suppkey").alias("ticker")))
+
+
 @query(f"""WITH {v.BARS}, alt AS (
         SELECT lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS ticker, CAST(l_shipdate AS DATE) AS date, avg(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS close
         FROM lineitem GROUP BY 1, 2)

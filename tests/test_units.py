@@ -167,3 +167,16 @@ def test_large_keys_are_tickers_of_their_own(spark, tmp_path):
     both.write.parquet(f"{tmp_path}/lineitem.parquet")
     n = {r["ticker"]: (r["n"], r["q"]) for r in v.bars(spark, str(tmp_path)).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("volume").alias("q")).collect()}
     assert set(n) == {"0001", "1000", "10000"} and len(set(n.values())) == 1
+
+
+def test_complete_dates_ask_for_every_supplier(spark, tmp_path):
+    from marlstone.plans import registry
+
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1)
+    kind = line.schema["l_suppkey"].dataType
+    days = {1: "1995-01-01 1995-01-02", 2: "1995-01-01 1995-01-02", 3: "1995-01-01 1995-01-02", 4: "1995-01-02"}
+    at = spark.createDataFrame([(k, d) for k, ds in days.items() for d in ds.split()], "k int, d string")
+    line.drop("l_suppkey", "l_shipdate").crossJoin(at).withColumns({"l_suppkey": F.col("k").cast(kind), "l_shipdate": F.to_date("d")}).drop("k", "d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    at.select(F.col("k").cast(kind).alias("s_suppkey")).distinct().write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.QUERIES["complete_dates_all"](spark, str(tmp_path)).collect()
+    assert [r["date"] for r in got] == [datetime.date(1995, 1, 2)]
