@@ -1,7 +1,9 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a set of words. A template is found
-in a block that holds at least ``threshold`` of its words. Words are ordered
+A block is a line of a text, or the words around a line's end, so that
+wrapped licenses are found however long their lines are. A template is a set
+of words; it is found in a block that holds at least ``threshold`` of them.
+Words are ordered
 by how often they occur in the corpus' blocks, rarest first:
 
 * prefix filter: of a template of n words of which m must be there, one of its
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, lowered, written
+from .pii import running
 
 #: Phrases that are searched as such, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -93,18 +96,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``.
 
     Null and empty texts have no words and no labels. score is 1 where a
-    phrase stands, else the largest share of a template found in a line, else
+    phrase stands, else the largest share of a template found in a block, else
     0. Repeated rows each give a row; further columns are ignored.
     """
     vocab = sorted({w for _, t in templates for w in t.split()})
     least = min(needed(len(set(t.split())), threshold) for _, t in templates)
     lexicon = F.array(*[F.lit(w) for w in vocab])
-    rows = docs.select("doc_id", lowered("text").alias("low")).select("doc_id", "low", words(F.col("low")).alias("w"))
+    # What crosses a line's end lies within so many words of it; a quarter is for words that a template lacks.
+    reach = max(len(t.split()) for _, t in templates) * 5 // 4
+    rows = docs.select("doc_id", lowered("text").alias("low"))
+    rows = rows.select("doc_id", "low", F.filter(F.transform(F.split("low", "\n"), words), lambda x: F.size(x) > 0).alias("lines"))
+    # No word holds a line's end: the lines' words are the text's.
+    rows = rows.select("doc_id", "low", "lines", F.flatten("lines").alias("w"), running(F.transform("lines", lambda x: F.size(x))).alias("ends"))
     lic = F.array_contains("w", "license")
     starts = [F.when(lic, _starts(F.col("w"), p)).otherwise(F.array().cast("array<int>")) for p, _ in PHRASES]
     # A text without enough of the templates' words has no block with enough of them.
     maybe = F.size(F.array_intersect("w", lexicon)) >= least
-    blocks = F.transform(F.split("low", "\n"), lambda b: F.array_intersect(words(b), lexicon))
+    inner = F.transform("lines", lambda x: F.array_intersect(x, lexicon))
+    around = lambda e: F.slice("w", F.greatest(e - reach, F.lit(0)) + 1, F.least(e, F.lit(reach)) + reach)
+    crossing = F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e: F.array_intersect(around(e), lexicon))
+    blocks = F.concat(inner, crossing)
     rows = rows.select(
         "doc_id",
         F.xxhash64("low").alias("text_hash"),

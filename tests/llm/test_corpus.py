@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -212,6 +213,17 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [16, 40, 76])
+def test_wrapped_licenses(spark, width):
+    templates = dict(licenses.TEMPLATES)
+    labels = ["bsd-grant", "gpl-grant", "isc-grant", "mit-grant", "unlicense"]
+    texts = ["/*\n" + "\n".join(" * " + x for x in textwrap.wrap("Copyright someone, all of it. " + templates[k] + " and so on", width)) + "\n */" for k in labels]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert all(k in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, k in enumerate(labels))
+    far = licenses.scan(docs(spark, ["released under\n" + "other words\n" * 60 + "the mit\nlicence license"])).first()
+    assert far["labels"] == "" and far["score"] == 0
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
