@@ -176,6 +176,15 @@ def readiness(spark, sf_dir):
     return t.readiness(v.bars(spark, sf_dir), v.statements(spark, sf_dir).where("fiscal_year <= 1999"))
 
 
+@query(f"""WITH {v.BARS}, {v.STATEMENTS}, l AS (SELECT ticker, max(disclosure_date) AS dd FROM statements GROUP BY 1),
+    n AS (SELECT l.ticker, dd, count(*) FILTER (b.date > dd) AS n FROM l LEFT JOIN bars b USING (ticker) GROUP BY 1, 2), h AS (SELECT unnest([5, 20, 60]) AS horizon)
+    SELECT ticker, CAST(horizon AS INTEGER) AS horizon, dd AS disclosure_date, n AS n_after, n >= horizon + 1 AS eligible,
+           CASE WHEN n = 0 THEN 'no_rows_after_disclosure' WHEN n < horizon + 1 THEN 'not_enough_rows' ELSE '' END AS reason FROM n, h""")
+def readiness_all(spark, sf_dir):
+    """Readiness by the latest of all statements; readiness stops at fiscal year 1999, as its SQL does."""
+    return t.readiness(v.bars(spark, sf_dir), v.statements(spark, sf_dir))
+
+
 @query(f"""WITH {v.BARS}, {v.COMPANIES}, {v.DATES_SQL}, {FORWARD},
     x AS (SELECT fw.*, coalesce(sector, 'none') AS sector, CASE WHEN base_price >= 1500 THEN 'high' ELSE 'low' END AS price_band FROM fw LEFT JOIN companies USING (ticker)),
     l AS (SELECT sector, price_band, CAST(decision_date AS VARCHAR) AS decision, unnest([5, 20, 60]) AS horizon, unnest([forward_return_h5, forward_return_h20, forward_return_h60]) AS ret FROM x),

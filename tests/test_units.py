@@ -180,3 +180,13 @@ def test_complete_dates_ask_for_every_supplier(spark, tmp_path):
     at.select(F.col("k").cast(kind).alias("s_suppkey")).distinct().write.parquet(f"{tmp_path}/supplier.parquet")
     got = registry.QUERIES["complete_dates_all"](spark, str(tmp_path)).collect()
     assert [r["date"] for r in got] == [datetime.date(1995, 1, 2)]
+
+
+def test_readiness_sees_the_latest_disclosures(spark):
+    from marlstone.plans import registry
+    from marlstone.sources import views as v
+
+    data = "/root/testdata/sf0.001"
+    last = v.statements(spark, data).agg(F.max("disclosure_date")).first()[0]
+    assert last > datetime.date(2000, 1, 31)
+    assert registry.QUERIES["readiness_all"](spark, data).agg(F.max("disclosure_date")).first()[0] == last
