@@ -30,7 +30,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest_match=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,18 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {SQL_WORDS} AS w FROM benchmark),
         bn AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
         bk AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM bn),
-        bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+        bp AS (SELECT item_id, n, k AS j, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+        bw AS (SELECT DISTINCT item_id, n, win FROM bp),
         sizes AS (SELECT DISTINCT n FROM bn),
         dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
         hits AS (
             SELECT doc_id, k, dk.n, item_id FROM dk
             JOIN bw ON bw.n = dk.n AND bw.win = array_to_string(w[k:k + dk.n - 1], ' ')),
+        steps AS (
+            SELECT doc_id, dk.n, item_id, k, j, k - row_number() OVER (PARTITION BY doc_id, dk.n, item_id, j - k ORDER BY k) AS run FROM dk
+            JOIN bp ON bp.n = dk.n AND bp.win = array_to_string(w[k:k + dk.n - 1], ' ')),
+        runs AS (SELECT doc_id, item_id, min(k) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) + n - 1 AS words FROM steps GROUP BY doc_id, n, item_id, j - k, run),
+        tops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, doc_word, item_id, item_word) AS place FROM runs),
         spans AS (SELECT DISTINCT doc_id, k, n FROM hits),
         places AS (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM spans),
         n_hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM places GROUP BY 1),
@@ -80,8 +86,9 @@ ORACLE_SQL: dict[str, str] = {
         n_named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM named GROUP BY 1)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_named USING (doc_id)""",
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+               CAST(coalesce(words, 0) AS BIGINT) AS longest_words, doc_word AS longest_at, tops.item_id AS longest_item, item_word AS longest_item_word
+        FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_named USING (doc_id) LEFT JOIN tops ON tops.doc_id = d.doc_id AND place = 1""",
     "op3_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding FROM embeddings
