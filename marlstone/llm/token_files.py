@@ -65,9 +65,11 @@ class WordIds:
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words, each with the space before it."""
         memo = self.memo
+        every = " ".join(words)
+        special = [s for s in self.special if s in every]
         sure = []
         for w in words:
-            if w[0].isspace() or w[-1].isspace() or w[0] == "\0" or any(s in w for s in self.special):
+            if w[0].isspace() or w[-1].isspace() or w[0] == "\0" or special and any(s in w for s in special):
                 memo[w] = None
             else:
                 sure.append(w)
@@ -130,21 +132,11 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 counts[: len(found)] += found
                 wide = int(flat.max()) >= 1 << 16
                 data = ids if wide else [np.frombuffer(i, np.uint32).astype(np.uint16).tobytes() for i in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(i) // 4 for i in ids], "wide": wide, "ids": data, "seen": None, "times": None})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(i) // 4 for i in ids], "sign": [zlib.crc32(i) for i in ids], "wide": wide, "ids": data, "seen": None, "times": None})
         seen = np.flatnonzero(counts)
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "wide": [None], "ids": [None], "seen": [seen], "times": [counts[seen]]})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "sign": [0], "wide": [None], "ids": [None], "seen": [seen], "times": [counts[seen]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, wide boolean, ids binary, seen array<long>, times array<long>")
-
-
-def _bits(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code: Code = shared.value
-        for b in batches:
-            coded = [code.encode(np.frombuffer(i, np.uint32 if w else np.uint16)) for i, w in zip(b["ids"], b["wide"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": b["n"], "bits": [c[0] for c in coded], "marks": [c[1].tobytes() for c in coded]})
-
-    return run
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sign long, wide boolean, ids binary, seen array<long>, times array<long>")
 
 
 def pack(docs: list[tuple[int | None, int, bytes, bytes]], check: int) -> bytes:
@@ -190,16 +182,18 @@ def unpack(data: bytes, code: Code, check: int) -> Iterator[tuple[int | None, np
         yield (int(doc[k]) if known[k] else None), ids[end[k] - sizes[k] : end[k]]
 
 
-def _segments(check: int, tokens: int):
+def _segments(shared, check: int, tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code: Code = shared.value
         part, base, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out():
             return pd.DataFrame({"part": [part], "base": [base], "n_docs": [len(held)], "n_tokens": [size], "data": [pack(held, check)]})
 
         for b in batches:
-            for d, n, bits, marks in zip(b["doc_id"].astype("Int64"), b["n"], b["bits"], b["marks"]):
-                held.append((None if d is pd.NA else int(d), int(n), bits, marks))
+            for d, n, wide, ids in zip(b["doc_id"].astype("Int64"), b["n"], b["wide"], b["ids"]):
+                bits, marks = code.encode(np.frombuffer(ids, np.uint32 if wide else np.uint16))
+                held.append((None if d is pd.NA else int(d), int(n), bits, marks.tobytes()))
                 size += int(n)
                 if size >= tokens:
                     yield out()
@@ -228,12 +222,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, segment_to
         counts[r["seen"]] = r["n"]
     lengths = code_lengths(counts, max(LIMIT, int(len(pairs)).bit_length()))
     code, check = Code(lengths), zlib.crc32(lengths.tobytes())
-    bits = coded.where("ids IS NOT NULL").select("doc_id", "n", "wide", "ids").mapInPandas(_bits(spark.sparkContext.broadcast(code)), "doc_id long, n long, bits binary, marks binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Equal ids of documents would all go to one range: what else a row holds parts them.
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.crc32("bits")]
-    ordered = bits.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "bits")
-    ordered.mapInPandas(_segments(check, segment_tokens), "part int, base long, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
+    # Ranges are drawn from columns without the ids, so that drawing them reads little and codes nothing. Equal ids of
+    # documents would all go to one range: what else tells a row parts them.
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("sign")]
+    ordered = coded.where("n > 0").select("doc_id", "n", "sign", "wide", "ids").repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "ids")
+    shared = spark.sparkContext.broadcast(code)  # bounded by the vocabulary
+    ordered.mapInPandas(_segments(shared, check, segment_tokens), "part int, base long, n_docs long, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     drop(spark, scratch)
 
