@@ -20,16 +20,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Elements whose text is never main text.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe object embed svg math canvas select button textarea input label fieldset dialog menu head title audio video map datalist option".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas select button textarea input dialog menu head title audio video datalist option".split())
+#: Elements that no class drops: the page itself, and what says that it is the main text.
+ROOTS = frozenset("html body main".split())
 #: Elements whose whole content is raw text.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what isn't main text.
-BOILER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments disqus respond reply replies complementary contentinfo search toolbar pagination pager hidden skip".split())
-WEAK = frozenset("header banner masthead widget pagination pager search login skip toolbar share sharing social hidden".split())
+#: Last words of names in class, id or role that mark what isn't main text.
+BOILER = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments disqus respond reply replies complementary contentinfo search toolbar pagination pager hidden".split())
+#: Words that may follow such a word in a name, as in "related-posts".
+CARRIERS = frozenset("area bar block blocks bottom box button buttons card cards container content form group inner item items label left link links list main message module panel post posts region right row section slot text title top unit wrap wrapper zone".split())
+#: Words before such a word that turn it round, as in "has-sidebar".
+DENIED = frozenset("has is no non not with without anti".split())
+#: Such words say little beside a word for the main text, as in "article-header".
+WEAK = frozenset("header banner masthead widget pagination pager search login toolbar share sharing social hidden".split())
+#: Names of an article's class that say it is a reader's.
+READERS = frozenset("comment comments reply replies".split())
 #: Words in class or id that mark the main text.
 MAIN = frozenset("article main content post entry story body maincontent articlebody".split())
 #: Frequent short words of English, French, German and Spanish.
@@ -41,8 +50,10 @@ STOP = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/]+)")
-NAMES = re.compile(r"[A-Za-z]+")
+NAMES = re.compile(r"[a-z0-9]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -52,35 +63,110 @@ class Block:
     linked: int
     inside: bool
     heading: bool
+    listed: bool
     label: str = field(default="")
 
 
+def _names(value: str) -> list[list[str]]:
+    """The words of each name of a class or id: "site-header", "siteHeader" and "site_header" have two."""
+    return [NAMES.findall(HUMP.sub("-", n).lower()) for n in value.split()]
+
+
+def _unwanted(name: list[str]) -> bool:
+    """Whether a name stands for what isn't main text: such a word ends it, or only words for a holder follow one."""
+    if not name or name[0] in DENIED:
+        return False
+    k = len(name)
+    while k > 1 and (name[k - 1] in CARRIERS or name[k - 1].isdigit()) and name[k - 1] not in BOILER:
+        k -= 1
+    return name[k - 1] in BOILER
+
+
 def _is_boiler(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is left out, and whether it marks the main text."""
     drop, main = tag in DROPPED, tag in ("article", "main")
     if not attrs.strip():
         return drop, main
     for name, value, alone in ATTRIBUTE.findall(attrs):
-        name, value = (name or alone).lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        name, value = (name or alone).lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDING.search(value):
             drop = True
         elif name in ("class", "id", "role"):
-            parts = set(NAMES.findall(value))
-            # Beside a word for the main text some words say little, as in "article-header".
-            drop |= bool(parts & BOILER) and not (parts & BOILER <= WEAK and (parts & MAIN or tag in ("article", "main", "body", "html")))
-            main |= bool(parts & MAIN)
-        elif name == "itemprop" and value == "articlebody":
+            names = _names(value)
+            words = {w for n in names for w in n}
+            if tag == "article":
+                drop |= any(n and n[-1] in READERS for n in names)
+            elif tag not in ROOTS:
+                marked = bool(words & MAIN)
+                drop |= any(_unwanted(n) and not (marked and set(n) & BOILER <= WEAK) for n in names)
+            main |= bool(words & MAIN)
+        elif name == "itemprop" and value.lower() == "articlebody":
             main = True
+    if tag in ("html", "body"):
+        return False, False
     return drop, main and not drop
 
 
+class _Open:
+    """The open elements, with where each name, each block and each scope was opened last."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # name, left out, marks the main text
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.dropped = self.inside = self.links = self.heads = self.items = 0
+
+    def push(self, tag: str, drop: bool, main: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, drop, main))
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCKS:
+            self.blocks.append(k)
+        if tag in SCOPES:
+            self.scopes.append(k)
+        self._count(tag, drop, main, 1)
+
+    def _count(self, tag: str, drop: bool, main: bool, n: int) -> None:
+        self.dropped += n * drop
+        self.inside += n * main
+        self.links += n * (tag == "a")
+        self.heads += n * (tag in HEADS)
+        self.items += n * (tag == "li")
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, drop, main = self.stack.pop()
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self._count(tag, drop, main, -1)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of this name was opened; -1 if none is open."""
+        at = self.at.get(tag)
+        return at[-1] if at else -1
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        # An inline end tag doesn't close a block.
+        if k >= 0 and (tag in BLOCKS or not self.blocks or self.blocks[-1] <= k):
+            self.pop_to(k)
+
+    def end_within_scope(self, tag: str) -> None:
+        k = self.last(tag)
+        if k >= 0 and (not self.scopes or self.scopes[-1] <= k):
+            self.pop_to(k)
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without what is never main text."""
+    """The page's blocks in order, without what is never main text; in time that grows with the page alone."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, marks the main text
-    dropped = inside = links = heads = 0
+    el = _Open()
     at, n = 0, len(page)
 
     def close() -> None:
@@ -88,72 +174,44 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, linked, inside > 0, heads > 0))
+                out.append(Block(text, linked, el.inside > 0, el.heads > 0, el.items > 0))
             parts.clear()
             linked = 0
 
-    def pop(k: int) -> None:
-        nonlocal dropped, inside, links, heads
-        while len(stack) > k:
-            name, drop, main = stack.pop()
-            dropped -= drop
-            inside -= main
-            links -= name == "a"
-            heads -= name in HEADS
-
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         tag = m[3]
         if tag is None:
             text = m[0] if m[1] is None else entities.escape(m[1])
-            if dropped or (m[1] is None and text[:2] in ("<!", "<?")):
+            if el.dropped or (m[1] is None and text[:2] in ("<!", "<?")):
                 continue
             parts.append(text)
-            if links:
+            if el.links:
                 linked += len(text.strip())
             continue
         tag = tag.lower()
         if m[2]:
             if tag in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # an inline end tag doesn't close a block
+            el.end(tag)
             continue
         if tag in BLOCKS:
             close()
         if tag == "p" or tag in BLOCKS and tag not in ("br", "hr"):
-            for k in range(len(stack) - 1, -1, -1):  # a new block ends an open paragraph
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            el.end_within_scope("p")  # a new block ends an open paragraph
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            el.end_within_scope(tag)
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         drop, main = _is_boiler(tag, m[4])
-        if tag == "header" and not inside:
+        if tag == "header" and not el.inside:
             drop = True
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*(?:>|$)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, drop, main))
-        dropped += drop
-        inside += main
-        links += tag == "a"
-        heads += tag in HEADS
+        el.push(tag, drop, main)
     close()
     return out
 
@@ -169,7 +227,8 @@ def classify(blocks: list[Block], *, short: int = 60, long: int = 180, stop_low:
         words = LETTERS.findall(b.text.lower())
         stops = sum(w in STOP for w in words) / max(1, len(words))
         density = b.linked / max(1, len(b.text))
-        if marked and not b.inside or density > link_limit:
+        if marked and not b.inside or density > link_limit and (b.listed or not marked):
+            # Inside a marked article links speak against lists alone.
             b.label = "bad"
         elif marked:
             # Inside a marked article a block of some length needs no stop words.
