@@ -85,23 +85,33 @@ class Code:
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         """The bits, padded to 32, and the bit offset of every block."""
-        if not len(ids):
-            return b"", np.zeros(0, np.uint32)
+        bits, marks = self.encode_many(ids, np.array([len(ids)]), block)
+        return bits[0], np.frombuffer(marks[0], np.uint32)
+
+    def encode_many(self, ids: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[bytes]]:
+        """Per run of ``sizes`` ids its bits, padded to 32, and its blocks' bit offsets as u32."""
+        used = np.asarray(sizes, np.int64)
+        last = np.cumsum(used)
+        first_id = last - used
         n = self.lengths[ids].astype(np.int64)
         if not n.all():
             raise ValueError("an id has no code")
-        end = np.cumsum(n)
-        start = end - n
+        end = np.concatenate([[0], np.cumsum(n)])
+        words = -(-(end[last] - end[first_id]) // 32)
+        begin = np.cumsum(words) - words  # every run begins a word
+        within = end[:-1] - np.repeat(end[first_id], used)
+        start = within + np.repeat(begin * 32, used)
         word = start >> 5
         wide = self.codes[ids] << (64 - n - (start & 31)).astype(np.uint64)
-        first = np.concatenate([[True], word[1:] != word[:-1]])
-        at = np.flatnonzero(first)
-        out = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
-        w = word[at]
-        out[w] += np.add.reduceat(wide >> np.uint64(32), at)
-        out[w + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), at)
-        used = int(-(-end[-1] // 32))
-        return out[:used].astype(">u4").tobytes(), start[::block].astype(np.uint32)
+        out = np.zeros(int(words.sum()) + 1, np.uint64)
+        if len(ids):
+            at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            w = word[at]
+            out[w] += np.add.reduceat(wide >> np.uint64(32), at)
+            out[w + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), at)
+        data, marks = out.astype(">u4").tobytes(), within.astype("<u4")
+        bits = [data[4 * b : 4 * (b + w)] for b, w in zip(begin.tolist(), words.tolist())]
+        return bits, [marks[a:z:block].tobytes() for a, z in zip(first_id.tolist(), last.tolist())]
 
     def decode(self, data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of the blocks that begin at bit ``starts`` and have ``counts`` ids, one after the other."""

@@ -88,22 +88,26 @@ class WordIds:
         if len(self.memo) > self.bound:  # the words that came first are the frequent ones
             self.memo = dict(islice(self.memo.items(), self.bound // 2))
         memo = self.memo
-        self.learn(list({w for words in cut for w in words[1:]} - memo.keys()))
+        self.learn(list(set().union(*cut).difference(memo)))
         # A text's first word has no space before it.
         firsts = self.whole([words[0] for words in cut])
+        get = memo.__getitem__
         out: list[bytes] = []
         plain: list[int] = []
         for k, words in enumerate(cut):
             first = words[0]
-            found = list(map(memo.__getitem__, words[1:]))
-            if None in found or found and (not first or first[-1].isspace()) or self.special and any(s in texts[k] for s in self.special):
-                plain.append(k)
+            uncut = len(words) > 1 and (not first or first[-1].isspace()) or self.special and any(s in texts[k] for s in self.special)
+            del words[0]
+            try:
+                out.append(b"" if uncut else firsts[k] + b"".join(map(get, words)) + self.end)
+            except TypeError:  # a word whose text can't be cut
+                uncut = True
                 out.append(b"")
-            else:
-                out.append(firsts[k] + b"".join(found))
+            if uncut:
+                plain.append(k)
         for k, found in zip(plain, self.whole([texts[k] for k in plain]) if plain else ()):
-            out[k] = found
-        return [x + self.end for x in out]
+            out[k] = found + self.end
+        return out
 
 
 _TOKENIZERS: dict[tuple[str, int], WordIds] = {}
@@ -188,12 +192,15 @@ def _segments(shared, check: int, tokens: int):
         part, base, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out():
-            return pd.DataFrame({"part": [part], "base": [base], "n_docs": [len(held)], "n_tokens": [size], "data": [pack(held, check)]})
+            # All documents of a segment are coded side by side.
+            sizes = np.array([h[1] for h in held], np.int64)
+            bits, marks = code.encode_many(np.concatenate([h[2] for h in held]), sizes)
+            docs = [(h[0], h[1], b, m) for h, b, m in zip(held, bits, marks)]
+            return pd.DataFrame({"part": [part], "base": [base], "n_docs": [len(held)], "n_tokens": [size], "data": [pack(docs, check)]})
 
         for b in batches:
             for d, n, wide, ids in zip(b["doc_id"].astype("Int64"), b["n"], b["wide"], b["ids"]):
-                bits, marks = code.encode(np.frombuffer(ids, np.uint32 if wide else np.uint16))
-                held.append((None if d is pd.NA else int(d), int(n), bits, marks.tobytes()))
+                held.append((None if d is pd.NA else int(d), int(n), np.frombuffer(ids, np.uint32 if wide else np.uint16)))
                 size += int(n)
                 if size >= tokens:
                     yield out()
