@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, scratch_dir, written
+from .common import drop, kept, scratch_dir, written
 from .huffman import BLOCK, LIMIT, Code, code_lengths
 
 MAGIC = b"MTK1"
@@ -42,7 +42,7 @@ class WordIds:
     string of a special token, goes to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 800_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 1_300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,7 +50,10 @@ class WordIds:
 
         self.tk = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-        self.end = np.array([end_id], np.uint32).tobytes()
+        #: Ids take two bytes where the vocabulary allows it.
+        self.wide = max(self.tk.get_vocab_size(), end_id + 1) > 1 << 16
+        self.sign, self.kind = ("I", np.uint32) if self.wide else ("H", np.uint16)
+        self.end = np.array([end_id], self.kind).tobytes()
         #: None stands for a word whose text can't be cut.
         self.memo: dict[str, bytes | None] = {"": None}
         self.bound = remembered
@@ -60,7 +63,7 @@ class WordIds:
         self.sizes = sizes
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.sign, e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words, each with the space before it."""
@@ -75,15 +78,15 @@ class WordIds:
                 sure.append(w)
         for i in range(0, len(sure), 2000):  # words in a row are cut again by their lengths in bytes
             part = sure[i : i + 2000]
-            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
             data, at = ids.tobytes(), 0
-            for w, end in zip(part, (4 * ends).tolist()):
+            for w, end in zip(part, (ids.itemsize * ends).tolist()):
                 memo[w] = data[at:end]
                 at = end
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text, with the end id."""
+        """Little-endian ids of each text, of two or four bytes, with the end id."""
         cut = [t.split(" ") for t in texts]
         if len(self.memo) > self.bound:  # the words that came first are the frequent ones
             self.memo = dict(islice(self.memo.items(), self.bound // 2))
@@ -119,6 +122,18 @@ def _tokenizer(path: str, end_id: int) -> WordIds:
     return _TOKENIZERS[path, end_id]
 
 
+def _parts(texts: list[str], chars: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters together, and one text at least: words of more texts are learnt at once."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= chars:
+            yield begin, k + 1
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of documents (doc_id, n, ids) and, one for each task, rows of counts (seen, times)."""
 
@@ -126,17 +141,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tk = _tokenizer(tokenizer, end_id)
         counts = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for k in range(0, len(b), 1000):
-                part = b.iloc[k : k + 1000]
-                ids = tk.ids([t if isinstance(t, str) else "" for t in part["text"]])
-                flat = np.frombuffer(b"".join(ids), np.uint32)
-                found = np.bincount(flat)
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for k, end in _parts(texts):
+                ids = tk.ids(texts[k:end])
+                found = np.bincount(np.frombuffer(b"".join(ids), tk.kind))
                 if len(found) > len(counts):
                     counts = np.pad(counts, (0, len(found) - len(counts)))
                 counts[: len(found)] += found
-                wide = int(flat.max()) >= 1 << 16
-                data = ids if wide else [np.frombuffer(i, np.uint32).astype(np.uint16).tobytes() for i in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(i) // 4 for i in ids], "sign": [zlib.crc32(i) for i in ids], "wide": wide, "ids": data, "seen": None, "times": None})
+                size = 4 if tk.wide else 2
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k:end].astype("Int64"), "n": [len(i) // size for i in ids], "sign": [zlib.crc32(i) for i in ids], "wide": tk.wide, "ids": ids, "seen": None, "times": None})
         seen = np.flatnonzero(counts)
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "sign": [0], "wide": [None], "ids": [None], "seen": [seen], "times": [counts[seen]]})
 
@@ -274,5 +287,6 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write ``docs`` to a new folder in the shared scratch space and read the files back."""
     path = scratch_dir(docs.sparkSession)
+    kept(docs.sparkSession, path)
     write(docs, path, tokenizer, end_id)
     return read(docs.sparkSession, path, with_ids=False)
