@@ -8,8 +8,15 @@ selects those that are added to the base spans.
 The trees are fitted on counts of feature cells over all documents: a table
 with a row for each cell that occurs. Features are coarse bins, so that the
 table is bounded by the number of cells and no cell is left out. A cell's
-target comes from checks that the features don't show (check digits, an
-opening plus sign, an assignment to a secret's name).
+target comes from a check that this kind's features don't show: check digits
+of cards and bank accounts, an area code in brackets or an opening plus sign, an
+assignment to a secret's name, a known end of a domain. Each kind has the
+features that its check doesn't read.
+
+A proposal is added if its score reaches its kind's threshold, and also if it
+passes a check that chance hardly passes: a bank account's check digits, an
+assignment to a secret's name, a domain's known end. So a kind too rare to be
+learnt in this corpus is still found where it is certain.
 
 Positions are counted in code points. A pattern's matches and the pieces
 between them have the same order, so positions are running sums of lengths.
@@ -46,13 +53,20 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Proposals beyond the base rules.
 GENERATORS = (
     ("handle", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({]at[\])}] ?[A-Za-z0-9-]++ ?(?:[\[({]dot[\])}]|\.) ?| at [A-Za-z0-9-]++ dot )[A-Za-z]{2,}+"),
-    ("number", r"(?<![A-Za-z0-9])\(?[0-9][0-9 ().-]{5,60}[0-9](?![A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{16,128}+(?![A-Za-z0-9/+_-])"),
+    ("number", r"(?<![A-Za-z0-9])\(?[0-9][0-9 ().-]{5,}[0-9](?![A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{16,}+"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
 #: Where a feature's bins after the first begin; other features have few values.
 BINS = {"digits": (1, 4, 8, 10, 13, 16, 17, 20), "letters": (1, 3, 6, 11, 20), "signs": (1, 2, 3, 5), "longest": (1, 3, 4, 5, 8, 13, 16), "distinct": (5, 7, 9, 12, 16), "upper": (1, 2, 4)}
 FEATURES = ("digits", "letters", "signs", "longest", "distinct", "upper", "cue", "left", "right", "paren")
+#: What a kind's check reads, and its trees therefore don't.
+CHECKED = {"number": ("left", "paren"), "secret": ("left", "right", "cue"), "iban": (), "handle": ()}
+FEATURES_OF = {k: tuple(f for f in FEATURES if f not in CHECKED[k]) for k, _ in GENERATORS}
+#: Kinds whose check is enough by itself.
+SURE = ("secret", "iban", "handle")
+#: Ends of domains, beside those of two letters.
+DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "dev", "app", "example", "test")
 
 
 def running(lengths: Column, block: int = 256) -> Column:
@@ -169,12 +183,26 @@ def feature(name: str, s: Column) -> Column:
     return F.get(F.array(*[F.lit(sum(v >= b for b in BINS[name])) for v in range(max(BINS[name]) + 1)]), F.least(value, F.lit(max(BINS[name]))))
 
 
+def mod97(s: Column) -> Column:
+    """Whether a bank account's check digits are right: its first four signs last, letters as 10 to 35, the rest by 97 is 1."""
+    signs = F.regexp_replace(s, " ", "")
+    turned = F.concat(F.substring(signs, 5, 100), F.left(signs, F.lit(4)))
+
+    def step(acc: Column, c: Column) -> Column:
+        v = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return F.pmod(acc * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
 def silver(s: Column) -> Column:
-    """Targets for fitting: what a check of the whole span or its assignment says."""
-    d = _digits(s["text"])
-    number = F.when(F.length(d).between(13, 19) & ~s["text"].contains("."), luhn(d)).otherwise(F.length(d).between(8, 15) & (s["left"].rlike(r"\+$|\+[0-9]{1,3} $") | s["text"].rlike(r"\([0-9]{2,4}\) ?[0-9]")))
+    """Targets for fitting: what a check says that the kind's features don't show."""
+    t, d = s["text"], _digits(s["text"])
+    number = F.when(F.length(d).between(13, 19) & ~t.contains("."), luhn(d)).otherwise(F.length(d).between(8, 15) & (s["left"].rlike(r"\+$|\+[0-9]{1,3} $") | t.rlike(r"\([0-9]{2,4}\) ?[0-9]")))
     secret = s["left"].rlike(r"(?i)(?:token|key|secret|password|passwd|pwd|auth|bearer)\w*\s*[=: ]\s*[\"']?$")
-    return F.when(s["kind"] == "number", number).when(s["kind"] == "secret", secret).otherwise(True).cast("int")
+    end = F.lower(F.regexp_extract(t, "[A-Za-z]+$", 0))
+    handle = (F.length(end) == 2) | end.isin(*DOMAIN_ENDS)
+    return F.when(s["kind"] == "number", number).when(s["kind"] == "secret", secret).when(s["kind"] == "iban", mod97(t)).otherwise(handle).cast("int")
 
 
 @dataclass
@@ -188,7 +216,7 @@ class Trees:
 
 def fit_trees(cells: list[tuple[tuple[int, ...], int, int]], rounds: int = 12, rate: float = 0.4, min_weight: float = 4.0) -> tuple[float, list]:
     """Gradient boosting on (features, positives, rows) cells with second-order leaf values."""
-    x = np.array([c[0] for c in cells], np.int64).reshape(len(cells), len(FEATURES))
+    x = np.array([c[0] for c in cells], np.int64).reshape(len(cells), len(cells[0][0]) if cells else 0)
     y, n = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
     p = min(max((y.sum() + 0.5) / (n.sum() + 1), 1e-4), 1 - 1e-4)
     start = math.log(p / (1 - p))
@@ -237,18 +265,27 @@ def _tree_column(t, values: list[Column]) -> Column:
     return F.when(values[t[0]] <= t[1], _tree_column(t[2], values)).otherwise(_tree_column(t[3], values))
 
 
-def calibrated(cells, start: float, trees: list, precision: float) -> float:
-    """The least score from which on, in cells kept for it, the share of positives is high enough."""
+def calibrated(cells, start: float, trees: list, precision: float, least_share: float = 1.0) -> float:
+    """The least score from which on, in cells kept for it, the share of positives is high enough.
+
+    Where positives are not all marked, as a secret that is assigned to no
+    name, the share that is marked is taken from the best tenth of the marked
+    ones, and is ``least_share`` at least.
+    """
     order = sorted(((tree_score(start, trees, x), p, n) for x, p, n in cells), reverse=True)
-    cut, p_sum, n_sum = math.inf, 0, 0
-    k = 0
-    while k < len(order):
-        s = order[k][0]
-        while k < len(order) and order[k][0] == s:
-            p_sum, n_sum, k = p_sum + order[k][1], n_sum + order[k][2], k + 1
-        if p_sum >= precision * n_sum:
-            cut = s
-    return cut
+    tops = []  # score, positives and rows from there up
+    p_sum = n_sum = 0
+    for k, (score, p, n) in enumerate(order):
+        p_sum, n_sum = p_sum + p, n_sum + n
+        if k + 1 == len(order) or order[k + 1][0] != score:
+            tops.append((score, p_sum, n_sum))
+    marked = next((p / n for _, p, n in tops if p and 10 * p >= p_sum), 1.0)
+    share = min(1.0, max(marked, least_share))
+    return min((s for s, p, n in tops if p >= precision * share * n), default=math.inf)
+
+
+#: Kinds of whose positives the check marks only some, and the share that it marks at least.
+MARKED = {"secret": 0.25}
 
 
 def fit(docs: DataFrame, *, precision: float = 0.9) -> dict[str, Trees]:
@@ -268,9 +305,9 @@ def fit(docs: DataFrame, *, precision: float = 0.9) -> dict[str, Trees]:
         part = {}
         for kept in (True, False):
             of = rows.filter((pc.field("kind") == kind) & (pc.field("kept") == kept))
-            part[kept] = list(zip(zip(*[of[f].to_pylist() for f in FEATURES]), of["p"].to_pylist(), of["n"].to_pylist()))
+            part[kept] = list(zip(zip(*[of[f].to_pylist() for f in FEATURES_OF[kind]]), of["p"].to_pylist(), of["n"].to_pylist()))
         start, trees = fit_trees(part[False])
-        out[kind] = Trees(start, trees, calibrated(part[True] or part[False], start, trees, precision))
+        out[kind] = Trees(start, trees, calibrated(part[True] or part[False], start, trees, precision, MARKED.get(kind, 1.0)))
     return out
 
 
@@ -280,15 +317,15 @@ def spans(docs: DataFrame, model: dict[str, Trees]) -> DataFrame:
     df = df.withColumn("__base", F.concat(*KINDS))
 
     def value(s: Column) -> Column:
-        chosen = F.lit(False)
+        chosen = s["kind"].isin(*SURE) & (silver(s) == 1)
         for kind, m in model.items():
             if m.cut == math.inf:
                 continue
-            values = [feature(f, s) for f in FEATURES]
+            values = [feature(f, s) for f in FEATURES_OF[kind]]
             score = F.lit(m.start)
             for t in m.trees:
                 score = score + _tree_column(t, values)
-            chosen = F.when(s["kind"] == kind, score >= m.cut - 1e-9).otherwise(chosen)
+            chosen = F.when((s["kind"] == kind) & (score >= m.cut - 1e-9), True).otherwise(chosen)
         return chosen
 
     # Base spans and proposals of a text in one order; a running end tells which proposals touch what began before.
@@ -299,10 +336,10 @@ def spans(docs: DataFrame, model: dict[str, Trees]) -> DataFrame:
     zero = F.array(F.lit(0))
     # Ends of base spans before each element, and beginnings of base spans after it.
     df = df.withColumn("__hi", F.concat(zero, _running_max(F.transform("__all", lambda s: F.when(is_base(s), s["end"]).otherwise(0)))))
-    df = df.withColumn("__lo", F.reverse(F.concat(zero, _running_max(F.transform(F.reverse("__all"), lambda s: F.when(is_base(s), -s["start"]).otherwise(NEVER))))))
+    df = df.withColumn("__lo", F.reverse(F.concat(F.array(F.lit(NEVER)), _running_max(F.transform(F.reverse("__all"), lambda s: F.when(is_base(s), -s["start"]).otherwise(NEVER))))))
     free = F.filter(
         F.arrays_zip(F.col("__all").alias("s"), F.slice("__hi", 1, F.size("__all")).alias("hi"), F.slice("__lo", 2, F.size("__all")).alias("lo")),
-        lambda z: ~is_base(z["s"]) & (z["s"]["start"] >= z["hi"]) & ((z["lo"] >= 0) | (-z["lo"] >= z["s"]["end"])),
+        lambda z: ~is_base(z["s"]) & (z["s"]["start"] >= z["hi"]) & (-z["lo"] >= z["s"]["end"]),
     )
     df = df.withColumn("__free", F.transform(free, lambda z: z["s"]))
     # Of added spans that overlap, the one that begins first, then the longest, stays.
@@ -321,7 +358,9 @@ def _named(col: Column) -> Column:
 
 
 def find(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans for every row of ``docs``.
+
+    n_added counts the spans that the method adds, n_spans all spans.
 
     Null and empty texts have no spans. The added kinds stand after the base
     kinds, by name. Repeated rows each give a row; further columns are ignored.
@@ -336,6 +375,8 @@ def find(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _named(more)), ",").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("added") + sum((F.size(k) for k in KINDS), F.lit(0))).cast("long").alias("n_spans"),
     )
 
 
