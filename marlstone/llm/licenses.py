@@ -1,10 +1,13 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or the words around a line's end, so that
-wrapped licenses are found however long their lines are. A template is a set
-of words; it is found in a block that holds at least ``threshold`` of them.
-Words are ordered
-by how often they occur in the corpus' blocks, rarest first:
+A block is a line of a text, the words around a line's end, or a paragraph
+(lines up to one without words); so wrapped notices and whole licenses are
+found however long their lines are. A template is the set of words of a
+notice, or of a paragraph of a license; it is found in a block that holds at
+least ``threshold`` of them. Paragraphs are tried with templates of
+``LONG`` distinct words or more: a long paragraph holds the few words of a
+short notice by chance. Words are ordered by how many texts have them in the
+whole corpus, rarest first:
 
 * prefix filter: of a template of n words of which m must be there, one of its
   n - m + 1 rarest has to be in the block;
@@ -25,7 +28,7 @@ from .pii import running
 
 #: Phrases that are searched as such, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Texts whose words make a license's template.
+#: Public notices, and paragraphs of public licenses, whose words make a template.
 TEMPLATES = (
     ("agpl-name", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
@@ -42,7 +45,30 @@ TEMPLATES = (
     ("mit-notice", "released under the mit license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-warranty", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-endorsement", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("apache-2.0-text", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0-warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("mpl-2.0-text", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("unlicense-text", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-1.0-text", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
 )
+#: Distinct words from which on a template is looked for in paragraphs.
+LONG = 12
+#: What stands between paragraphs: a line's end, no words, a line's end.
+BREAK = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
+#: So many words before and after a line's end make a block.
+REACH = 32
 THRESHOLD = 0.9
 
 
@@ -68,24 +94,36 @@ def _starts(w: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.coalesce(here(i), F.lit(False)))
 
 
-def found_templates(lines: DataFrame, keys: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """keys, label, share of the templates contained in blocks; ``lines`` has keys and tokens, the distinct words of a block that are in templates."""
-    spark = lines.sparkSession
+def ranked(docs: DataFrame, templates) -> list[str]:
+    """The templates' words, those of the fewest texts first."""
     vocab = sorted({w for _, t in templates for w in t.split()})
+    lexicon = F.array(*[F.lit(w) for w in vocab])
     # As many rows as the templates have words.
-    counted = {r["word"]: r["count"] for r in lines.select(F.explode("tokens").alias("word")).groupBy("word").count().collect()}
-    rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (counted.get(w, 0), w)))}
+    counts = {r["word"]: r["count"] for r in docs.select(F.explode(F.array_intersect(words(lowered("text")), lexicon)).alias("word")).groupBy("word").count().collect()}
+    return sorted(vocab, key=lambda w: (counts.get(w, 0), w))
+
+
+def prefixes(templates, threshold: float, order: list[str]) -> list[tuple]:
+    """(word, place, label, n, m, template): a row for each word of which a block must have one; words are numbers in ``order``."""
+    rank = {w: k for k, w in enumerate(order)}
     rows = []
     for label, text in templates:
         t = sorted({rank[w] for w in text.split()})
         m = needed(len(t), threshold)
         rows += [(t[p], p, label, len(t), m, t) for p in range(len(t) - m + 1)]
-    prefixes = spark.createDataFrame(rows, "word int, place int, label string, n int, m int, template array<int>")
-    order = F.create_map(*[F.lit(x) for w in vocab for x in (w, rank[w])])
-    probe = lines.select(*keys, F.array_sort(F.transform("tokens", lambda w: F.element_at(order, w))).alias("tokens")).select(*keys, "tokens", F.posexplode("tokens").alias("at", "word"))
-    # The table of prefixes comes from the templates, a parameter: some dozens of rows.
-    near = probe.join(F.broadcast(prefixes), "word").where(
+    return rows
+
+
+def found_templates(blocks: DataFrame, keys: list[str], rows: list[tuple], order: list[str]) -> DataFrame:
+    """keys, label, share of the templates contained in blocks; ``blocks`` has keys, paragraph (a flag) and tokens, a block's distinct words of ``order``."""
+    table = blocks.sparkSession.createDataFrame(rows, "word int, place int, label string, n int, m int, template array<int>")
+    numbers = F.array(*[F.lit(w) for w in order])
+    tokens = F.array_sort(F.transform("tokens", lambda w: (F.array_position(numbers, w) - 1).cast("int")))
+    probe = blocks.select(*keys, "paragraph", tokens.alias("tokens")).select(*keys, "paragraph", "tokens", F.posexplode("tokens").alias("at", "word"))
+    # The table of prefixes comes from the templates, a parameter: some hundreds of rows.
+    near = probe.join(F.broadcast(table), "word").where(
         (F.size("tokens") >= F.col("m"))
+        & (~F.col("paragraph") | (F.col("n") >= LONG))
         & (F.least(F.col("place"), F.col("at")) + F.least(F.col("n") - F.col("place"), F.size("tokens") - F.col("at")) >= F.col("m"))
     )
     common = F.size(F.array_intersect("tokens", "template"))
@@ -99,36 +137,44 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     phrase stands, else the largest share of a template found in a block, else
     0. Repeated rows each give a row; further columns are ignored.
     """
-    vocab = sorted({w for _, t in templates for w in t.split()})
-    least = min(needed(len(set(t.split())), threshold) for _, t in templates)
-    lexicon = F.array(*[F.lit(w) for w in vocab])
-    # What crosses a line's end lies within so many words of it; a quarter is for words that a template lacks.
-    reach = max(len(t.split()) for _, t in templates) * 5 // 4
+    order = ranked(docs, templates)
+    table = prefixes(templates, threshold, order)
+    literal = lambda ws: F.array(*[F.lit(w) for w in ws])
+    lexicon, first_words = literal(order), literal(sorted({order[r[0]] for r in table}))
     rows = docs.select("doc_id", lowered("text").alias("low"))
     rows = rows.select("doc_id", "low", F.filter(F.transform(F.split("low", "\n"), words), lambda x: F.size(x) > 0).alias("lines"))
     # No word holds a line's end: the lines' words are the text's.
-    rows = rows.select("doc_id", "low", "lines", F.flatten("lines").alias("w"), running(F.transform("lines", lambda x: F.size(x))).alias("ends"))
+    rows = rows.select("doc_id", "low", "lines", F.flatten("lines").alias("w"))
     lic = F.array_contains("w", "license")
     starts = [F.when(lic, _starts(F.col("w"), p)).otherwise(F.array().cast("array<int>")) for p, _ in PHRASES]
-    # A text without enough of the templates' words has no block with enough of them.
-    maybe = F.size(F.array_intersect("w", lexicon)) >= least
-    inner = F.transform("lines", lambda x: F.array_intersect(x, lexicon))
-    around = lambda e: F.slice("w", F.greatest(e - reach, F.lit(0)) + 1, F.least(e, F.lit(reach)) + reach)
-    crossing = F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e: F.array_intersect(around(e), lexicon))
-    blocks = F.concat(inner, crossing)
+    # A text without a word of any prefix has no block with one.
+    rows = rows.withColumn("maybe", F.arrays_overlap("w", first_words))
+    ends = F.when(F.col("maybe"), running(F.transform("lines", lambda x: F.size(x)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("ends", ends).withColumn("paragraphs", F.when(F.col("maybe"), F.transform(F.split("low", BREAK), words)).otherwise(F.array().cast("array<array<string>>")))
+    # Lines and paragraphs that have no word of a prefix go first; of the others the templates' words are kept.
+    held = lambda x: F.arrays_overlap(x, first_words)
+    block = lambda x, paragraph: F.struct(F.lit(paragraph).alias("paragraph"), F.array_intersect(x, lexicon).alias("tokens"))
+    around = lambda e: F.slice("w", F.greatest(e - REACH, F.lit(0)) + 1, F.least(e, F.lit(REACH)) + REACH)
+    crossing = F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), around)
+    blocks = F.concat(
+        F.transform(F.filter("lines", held), lambda x: block(x, False)),
+        F.transform(F.filter(crossing, held), lambda x: block(x, False)),
+        F.transform(F.filter("paragraphs", held), lambda x: block(x, True)),
+    )
+    least = min(r[4] for r in table)
     rows = rows.select(
         "doc_id",
         F.xxhash64("low").alias("text_hash"),
         F.size("w").cast("long").alias("n_words"),
         F.flatten(F.array(*starts)).alias("places"),
         F.array(*[F.size(s) > 0 for s in starts]).alias("has"),
-        F.when(maybe, F.filter(blocks, lambda t: F.size(t) >= least)).alias("blocks"),
+        F.when(F.col("maybe"), F.filter(blocks, lambda t: F.size(t["tokens"]) >= least)).alias("blocks"),
     )
     rows, _ = written(rows)  # without the texts: a small share of the input
     keys = ["doc_id", "text_hash"]
     # Labels follow from the text: rows that repeat an id and a text share them.
-    lines = rows.where(F.size("blocks") > 0).select(*keys, F.explode("blocks").alias("tokens"))
-    labels = found_templates(lines, keys, templates, threshold).groupBy(*keys).agg(F.sort_array(F.collect_set("label")).alias("found"), F.max("share").alias("share"))
+    cut = rows.where(F.size("blocks") > 0).select(*keys, F.explode("blocks").alias("b")).select(*keys, "b.*")
+    labels = found_templates(cut, keys, table, order).groupBy(*keys).agg(F.sort_array(F.collect_set("label")).alias("found"), F.max("share").alias("share"))
     named = F.filter(F.array(*[F.when(F.col("has")[k], F.lit(label)) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     joined = rows.alias("r").join(labels.alias("l"), F.expr("r.doc_id <=> l.doc_id AND r.text_hash = l.text_hash"), "left")
     n = F.size("places")

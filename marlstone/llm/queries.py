@@ -121,11 +121,17 @@ ORACLE_SQL: dict[str, str] = {
             FROM p),
         t AS (SELECT label, list_distinct(string_split(txt, ' ')) AS words FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)}) AS v(label, txt)),
         tm AS (SELECT label, words, len(words) AS n, CAST(ceil(len(words) * {licenses.THRESHOLD} - 1e-9) AS BIGINT) AS m FROM t),
-        lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-        lw AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM lines),
+        l0 AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(0, len(string_split(low, chr(10))))) AS i FROM d),
+        l1 AS (SELECT doc_id, i, regexp_extract_all(line, '{WORD}') AS words FROM l0),
+        l2 AS (SELECT doc_id, words, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) AS e, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS further FROM l1 WHERE len(words) > 0),
+        pa AS (SELECT doc_id, unnest(string_split_regex(low, '{licenses.BREAK}')) AS part FROM d),
+        blocks AS (
+            SELECT doc_id, FALSE AS paragraph, list_distinct(words) AS words FROM l2
+            UNION ALL SELECT l2.doc_id, FALSE, list_distinct(w.w[CAST(greatest(e - {licenses.REACH}, 0) + 1 AS BIGINT):CAST(e + {licenses.REACH} AS BIGINT)]) FROM l2 JOIN w USING (doc_id) WHERE further IS NOT NULL
+            UNION ALL SELECT doc_id, TRUE, list_distinct(regexp_extract_all(part, '{WORD}')) FROM pa),
         f AS (
             SELECT doc_id, label, max(len(list_intersect(lw.words, tm.words)) / n) AS share
-            FROM lw JOIN tm ON len(lw.words) >= m AND len(list_intersect(lw.words, tm.words)) >= m GROUP BY 1, 2),
+            FROM blocks lw JOIN tm ON len(lw.words) >= m AND (NOT paragraph OR n >= {licenses.LONG}) AND len(list_intersect(lw.words, tm.words)) >= m GROUP BY 1, 2),
         g AS (SELECT doc_id, list(label) AS found, max(share) AS share FROM f GROUP BY 1)
         SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base,
                list_min(places) AS first_word, list_max(places) AS last_word,
