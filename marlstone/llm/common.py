@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, kept, scratch_dir, written  # noqa: F401
+
 #: A word of the plain rule: ASCII letters and digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,43 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _local_dir() -> str:
-    """A local folder of this process, deleted at its end."""
-    path = tempfile.mkdtemp(prefix="marlstone-")
-    atexit.register(shutil.rmtree, path, True)
-    return f"file://{path}"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path below the shared folder that the cluster names.
-
-    Only where spark.checkpoint.dir is unset, as in tests, it is a local one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
-    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what is
-    before it.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def lowered(col: Column | str) -> Column:
     """A-Z alone in lower case; null becomes the empty text."""
     return F.translate(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), UPPER, LOWER)

@@ -4,8 +4,8 @@ A document is its set of distinct word shingles. Instead of a table for each
 of many independent bands, there are two small collections of bands; a table's
 key combines a band of one with a band of the other. m * m tables then cost
 2 * m bands of hashes. A pair of similarity s shares a key unless it differs
-in all bands of a collection: with 12 bands of 2 hashes in each, a pair at 0.8
-is missed with a chance of about 1e-5.
+in all bands of a collection: with 16 bands of 3 hashes in each, a pair at 0.8
+is missed with a chance of about 2e-5, one at 0.3 is a candidate with 0.13.
 
 1. Documents with equal sets are one class, and go on as their least id.
 2. Bands that no other class has are dropped, then the keys of the rest are
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, written
-from .components import connected, star_edges
+from .components import by_key, connected, star_edges
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,11 +172,11 @@ def _own_sets(b: pd.DataFrame, shingler: Shingler) -> tuple[list[int], list[np.n
     """Ids and sets of the rows whose set is that of their class, each once."""
     ids, sets, seen = [], [], set()
     for d, c, t in zip(b["doc_id"], b["cls"], b["text"]):
-        if d in seen:
+        if (d, bytes(c)) in seen:
             continue
         s = shingler.hashes(t if isinstance(t, str) else None)
         if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == bytes(c):
-            seen.add(d)
+            seen.add((d, bytes(c)))
             ids.append(int(d))
             sets.append(s)
     return ids, sets
@@ -187,12 +187,12 @@ BROADCAST_ROWS = 400_000
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """``members`` with their documents' columns; texts of others don't move while members are few."""
+    """``members``, a written table or a part of one, with their documents' columns; texts of others don't move while members are few."""
     few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(members) if few else members, "doc_id")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int] = (80, 100), bands: int = 12, rows: int = 2, group_docs: int = 1024, group_shingles: int = 2_000_000, order_bits: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, batch_rows: int = 1000, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Sets are of ``size`` words; sets are linked if their intersection is at
@@ -201,31 +201,42 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int]
     is the least doc_id that links lead to; ``kept`` marks it. A row without
     doc_id has no component and is kept. Rows that repeat a doc_id are one
     document with the links of all its texts, and each gives a row. Further
-    columns are ignored.
+    columns are ignored. ``batch_rows`` texts at most are in a worker's memory
+    at once; options: see ``_components``.
     """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        if int(before) <= 0 or int(before) > batch_rows:
+            conf.set(name, str(batch_rows))
+        return _components(docs, **options)  # all that reads texts has run when it returns
+    finally:
+        conf.set(name, before)
+
+
+def _components(docs: DataFrame, *, size: int = 4, similar: tuple[int, int] = (80, 100), bands: int = 16, rows: int = 3, group_docs: int = 1024, group_shingles: int = 2_000_000, order_bits: int = 16) -> DataFrame:
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts in a worker's memory at once
     num, den = similar
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed, _ = written(typed.mapInPandas(_signed(size, bands, rows), "doc_id long, n long, cls binary, a array<long>, b array<long>"))
     sets = signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
-    classes, class_path = written(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    classes, _ = written(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.count("*").alias("copies")))
 
     # Bands that some other class has too.
     values = classes.select("rep", F.posexplode(F.concat("a", "b")).alias("pos", "v"))
-    shared = values.groupBy("v").count().where("count > 1").select("v")
-    mine = values.join(shared, "v").groupBy("rep").agg(F.collect_list(F.when(F.col("pos") < bands, F.col("v"))).alias("a"), F.collect_list(F.when(F.col("pos") >= bands, F.col("v"))).alias("b"))
+    shared = values.groupBy("v").agg(F.count("*").alias("__n")).where("__n > 1")
+    mine = by_key(values, shared, "v", classes.count() * 2 * bands)
+    mine = mine.groupBy("rep").agg(F.collect_list(F.when(F.col("pos") < bands, F.col("v"))).alias("a"), F.collect_list(F.when(F.col("pos") >= bands, F.col("v"))).alias("b"))
     keys = mine.select(F.col("rep").alias("node"), F.col("b").alias("b"), F.explode("a").alias("x")).select("node", "x", F.explode("b").alias("y")).select("node", F.xxhash64("x", "y").alias("key"))
     keys, key_path = written(keys)
     groups = connected(star_edges(keys))
     drop(spark, key_path)
     members = groups.join(classes.select(F.col("rep").alias("node"), "cls", "n"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "cls", "n")
-    members, _ = written(members)
+    members, member_path = written(members)
 
     def sized(m: DataFrame) -> DataFrame:
-        total = m.groupBy("grp").agg(F.count("*").alias("g_docs"), F.sum("n").alias("g_n"))
-        return m.join(total, "grp").withColumn("large", (F.col("g_docs") > group_docs) | (F.col("g_n") > group_shingles))
+        total = m.groupBy("grp").agg(F.count("*").alias("__n"), F.sum("n").alias("g_n")).withColumn("g_docs", F.col("__n"))
+        return by_key(m, total, "grp", m.count()).withColumn("large", (F.col("g_docs") > group_docs) | (F.col("g_n") > group_shingles))
 
     edge = "u long, v long"
 
@@ -239,25 +250,28 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, similar: tuple[int, int]
         return with_texts(m, typed).select("grp", "doc_id", "cls", "text").groupBy("grp").applyInPandas(run, edge)
 
     first = sized(members)
-    found = within(first.where("NOT large"))
+    small, small_path = written(first.where("NOT large").select("doc_id", "cls", "grp"))
+    found = within(small)
     hot, hot_path = written(first.where("large").select("doc_id", "cls", "n", "grp"))
+    used = [member_path, small_path, hot_path]
     if not hot.isEmpty():
-        found = found.unionByName(_large(hot, typed, sized, within, size, num, den, group_docs, group_shingles, order_bits))
+        more, paths = _large(hot, typed, sized, within, size, num, den, group_docs, group_shingles, order_bits)
+        found, used = found.unionByName(more), used + paths
     # Rows that repeat an id with another text: one document.
-    by_class = sets.select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep")
-    again = by_class.where("doc_id <> rep").select(F.col("doc_id").alias("key"), F.col("rep").alias("node"))
-    again = again.unionByName(classes.select(F.col("rep").alias("key"), F.col("rep").alias("node"))).distinct()
+    texts_of = sets.select("doc_id", "cls").distinct()
+    several = texts_of.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again, again_path = written(texts_of.join(several, "doc_id", "left_semi").join(classes.select("cls", "rep"), "cls").select(F.col("doc_id").alias("key"), F.col("rep").alias("node")))
     edges, edge_path = written(found.unionByName(star_edges(again)))
     joined = connected(edges)
-    drop(spark, edge_path, hot_path)
-    home = classes.select("cls", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "cls").join(home, "cls", "left")
+    drop(spark, edge_path, again_path, *used)
+    home = classes.select("cls", "rep", F.col("copies").alias("__n")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"), "__n")
+    out = by_key(signed.select("doc_id", "n", "cls"), home, "cls", signed.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int, den: int, group_docs: int, group_shingles: int, order_bits: int) -> DataFrame:
-    """Edges within groups too large for a task."""
+def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int, den: int, group_docs: int, group_shingles: int, order_bits: int) -> tuple[DataFrame, list[str]]:
+    """Edges within groups too large for a task, and the scratch tables that they are read from."""
     spark = hot.sparkSession
     buckets = 1 << order_bits
     texts = with_texts(hot, typed).select("grp", "doc_id", "cls", "text")
@@ -290,11 +304,11 @@ def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int,
     tokens, path = written(texts.mapInPandas(prefixes, "node long, key long"))
     parts = connected(star_edges(tokens))
     drop(spark, path)
-    again, _ = written(sized(parts.join(hot.drop("grp"), F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("grp"), "cls", "n")))
+    again, again_path = written(sized(parts.join(hot.drop("grp"), F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("grp"), "cls", "n")))
     out = within(again.where("NOT large"))
     big = again.where("large")
     if big.isEmpty():
-        return out
+        return out, [again_path]
     # The group's least member against all others.
     leaders = with_texts(big.where("doc_id = grp"), typed).select("grp", F.col("cls").alias("l_cls"), F.col("text").alias("l_text")).dropDuplicates(["grp"])
     pairs = with_texts(big, typed).join(leaders, "grp").select("grp", "doc_id", "cls", "text", "l_text", "g_docs", "g_n")
@@ -312,7 +326,7 @@ def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int,
                 ok.append(d == g or den * both >= num * (len(s) + len(lead) - both))
             yield pd.DataFrame({"grp": b["grp"], "doc_id": b["doc_id"], "cls": b["cls"], "text": b["text"], "g_docs": b["g_docs"], "g_n": b["g_n"], "ok": ok})
 
-    marked, _ = written(pairs.mapInPandas(tested, "grp long, doc_id long, cls binary, text string, g_docs long, g_n long, ok boolean"))
+    marked, marked_path = written(pairs.mapInPandas(tested, "grp long, doc_id long, cls binary, text string, g_docs long, g_n long, ok boolean"))
     out = out.unionByName(marked.where("ok AND doc_id <> grp").select(F.col("grp").alias("u"), F.col("doc_id").alias("v")))
     n_blocks = F.greatest(F.ceil(F.col("g_docs") * 2 / group_docs), F.ceil(F.col("g_n") * 2 / group_shingles)).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
@@ -330,4 +344,4 @@ def _large(hot: DataFrame, typed: DataFrame, sized, within, size: int, num: int,
         edges = _links(new[1] + old[1], num, den, len(new[0])) if new[0] else []
         return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["u", "v"])
 
-    return out.unionByName(loose.unionByName(tied).groupBy("grp", "p").applyInPandas(lambda b: blocks(b), "u long, v long"))
+    return out.unionByName(loose.unionByName(tied).groupBy("grp", "p").applyInPandas(lambda b: blocks(b), "u long, v long")), [again_path, marked_path]
