@@ -139,24 +139,30 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds) == 0
 
 
-def training_sample(docs: DataFrame, *, per_lang: int = 1500, max_langs: int = 200, window: int = 256) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, *, max_rows: int = 30_000, per_lang: int = 1500, window: int = 256) -> tuple[list[str], list[str]]:
     """A window from each of about ``per_lang`` labelled texts per language, in a fixed order.
 
     Counts of languages are over all rows; a row is taken by a hash of its id
-    and the language's count, so that rare languages are kept whole. At most
-    ``max_langs`` languages, the most frequent, are learnt.
+    and the language's count, so that rare languages are kept whole. All
+    languages are learnt: the more there are, the less each has, about
+    ``max_rows`` rows together and twenty each.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    # A row for each language.
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return [], []
+    per_lang = max(20, min(per_lang, max_rows // len(counts)))
     span = 1_000_000
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(span, int(span * per_lang / r["count"]) + 1))])
-    dice = F.xxhash64(F.col("doc_id").cast("string"), F.lit("learn"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(span, int(span * per_lang / r["count"]) + 1)) for r in counts], "lang string, __share long")
+    dice = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("learn"))
     start = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("start")), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
     rows = (
-        known.where(F.pmod(dice, F.lit(span)) < F.try_element_at(share, F.col("lang")))
+        known.select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
+        .join(F.broadcast(shares), "lang")
+        .where(F.pmod(dice, F.lit(span)) < F.col("__share"))
         .select("lang", F.substring("text", start, window).alias("text"), dice.alias("dice"))
+        .distinct()  # rows that are the same count once, however many there are
         .collect()
     )
     rows.sort(key=lambda r: (r["dice"], r["lang"], r["text"]))
@@ -166,6 +172,8 @@ def training_sample(docs: DataFrame, *, per_lang: int = 1500, max_langs: int = 2
 def scorer(net: ByteConvNet):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             langs, scores = [UNKNOWN] * len(b), [0.0] * len(b)
             part: list[tuple[int, np.ndarray]] = []
             held = 0

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, USER = 1, 4
 UNKNOWN_PENALTY = 10.0
+NEVER = float("-inf")
 
 
 @dataclass
@@ -74,7 +75,8 @@ class StreamingViterbi:
 
     States are boundaries between characters. Of a boundary are kept its best
     score, where its last piece began and that piece's id. A piece that began
-    further back wins a tie.
+    further back wins a tie. Scores are sums from the stream's beginning, so
+    that what is committed when changes no tie.
     """
 
     def __init__(self, pieces: Pieces, check_every: int = 64):
@@ -88,34 +90,47 @@ class StreamingViterbi:
     def feed(self, chunk: str, final: bool = False) -> list[int]:
         self.text += chunk
         out: list[int] = []
-        p, text = self.p, self.text
-        while self.done < len(text) - (0 if final else p.longest - 1):
-            i = self.done
-            best, back, idx = self.best, self.back, self.id
-            end = min(len(text), i + p.longest)
-            while len(best) <= end:
-                best.append(float("-inf"))
-                back.append(-1)
-                idx.append(-1)
-            here, j, below = best[i], i, p.trie
+        reach = self.p.longest
+        while True:
+            text = self.text
+            left = len(text) - self.done
+            if left <= 0 or not final and left < reach:
+                break
+            # Up to the next check for a boundary that all paths pass.
+            stop = min(self.done + self.every, len(text) if final else len(text) - reach + 1)
+            self._advance(text, stop, min(len(text), stop + reach - 1))
+            if not final or stop < len(text):
+                out += self._commit()
+        if final:
+            out += self._path(len(self.text))
+        return out
+
+    def _advance(self, text: str, stop: int, end: int) -> None:
+        """Extend the paths by all pieces that begin before ``stop``; none reaches beyond ``end``."""
+        best, back, ids = self.best, self.back, self.id
+        more = end + 1 - len(best)
+        if more > 0:
+            best += [NEVER] * more
+            back += [-1] * more
+            ids += [-1] * more
+        root, unknown = self.p.trie, self.p.unknown
+        for i in range(self.done, stop):
+            here, j, below = best[i], i, root
             for c in text[i:end]:
                 node = below.get(c)
                 if node is None:
                     break
                 s, k, below = node
                 j += 1
-                if s is not None and here + s > best[j]:
-                    best[j], back[j], idx[j] = here + s, i, k
-            first = p.trie.get(text[i])
-            if (first is None or first[0] is None) and here + p.unknown > best[i + 1]:
-                best[i + 1], back[i + 1], idx[i + 1] = here + p.unknown, i, -1
-            self.done = i + 1
-            if self.done % self.every == 0:
-                out += self._commit()
-                text = self.text
-        if final:
-            out += self._path(len(text))
-        return out
+                if s is not None:
+                    s += here
+                    if s > best[j]:
+                        best[j] = s
+                        back[j] = i
+                        ids[j] = k
+            if here + unknown > best[i + 1]:  # no piece is worse than this
+                best[i + 1], back[i + 1], ids[i + 1] = here + unknown, i, -1
+        self.done = stop
 
     def _commit(self) -> list[int]:
         """Commit what lies before the one boundary that all surviving paths pass, if there is one."""
@@ -131,23 +146,24 @@ class StreamingViterbi:
         out = self._path(meet)
         self.text = self.text[meet:]
         self.done -= meet
-        base = self.best[meet]  # only differences matter from here on
-        self.best = [b - base for b in self.best[meet:]]
+        self.best = self.best[meet:]
         self.back = [b - meet for b in self.back[meet:]]
         self.id = self.id[meet:]
         self.back[0] = 0
         return out
 
     def _path(self, k: int) -> list[int]:
-        out: list[list[int]] = []
+        out: list[int] = []
+        back, ids = self.back, self.id
         while k > 0:
-            i, j = self.back[k], self.id[k]
+            i, j = back[k], ids[k]
             if j >= 0:
-                out.append([j])
+                out.append(j)
             else:
-                out.append([self.p.bytes_at[b] for b in self.text[i:k].replace(SPACE, " ").encode("utf-8", "replace")])
+                out += [self.p.bytes_at[b] for b in reversed(self.text[i:k].encode("utf-8", "replace"))]
             k = i
-        return [x for part in reversed(out) for x in part]
+        out.reverse()
+        return out
 
     def finish(self) -> list[int]:
         return self.feed("", final=True)
@@ -158,7 +174,11 @@ UNIT = re.compile(r" +[^ ]*")
 
 
 class Codec:
-    """Whole texts to ids and back. Short words' ids are remembered, up to a bound."""
+    """Whole texts to ids and back, by the stream alone; the ids of short words that it gave are remembered, up to a bound.
+
+    All paths meet where a word begins, so that a stream may begin there: a
+    word's ids don't depend on what stands around it.
+    """
 
     def __init__(self, pieces: Pieces, remembered: int = 400_000, chunk: int = 4096):
         self.p, self.bound, self.chunk = pieces, remembered, chunk
@@ -166,51 +186,21 @@ class Codec:
 
     def stream(self, text: str) -> bytes:
         v = StreamingViterbi(self.p)
-        out: list[int] = []
         text = text.replace(" ", SPACE)
+        if len(text) <= self.chunk:
+            return array("i", v.feed(text, final=True)).tobytes()
+        out = array("i")
         for k in range(0, len(text), self.chunk):
-            out += v.feed(text[k : k + self.chunk])
-        out += v.finish()
-        return np.array(out, np.int32).tobytes()
+            out.extend(v.feed(text[k : k + self.chunk]))
+        out.extend(v.finish())
+        return out.tobytes()
 
     def _unit(self, word: str) -> bytes:
-        """A word's ids: all paths meet at its ends, so that it is a window of its own."""
-        if len(word) > 40:
-            return self.stream(" " + word)
-        p, text = self.p, SPACE + word.replace(" ", SPACE)
-        root, n = p.trie, len(text)
-        best, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here, j, below = best[i], i, root
-            for c in text[i:]:
-                node = below.get(c)
-                if node is None:
-                    break
-                s, k, below = node
-                j += 1
-                if s is not None:
-                    s += here
-                    if s > best[j]:
-                        best[j] = s
-                        back[j] = i
-                        ids[j] = k
-            if here + p.unknown > best[i + 1]:  # no piece is worse than this
-                best[i + 1], back[i + 1], ids[i + 1] = here + p.unknown, i, -1
-        out: list[int] = []
-        k = n
-        while k > 0:
-            i = back[k]
-            if ids[k] >= 0:
-                out.append(ids[k])
-            else:
-                out += [p.bytes_at[b] for b in reversed(text[i:k].encode("utf-8", "replace"))]
-            k = i
-        out.reverse()
-        found = array("i", out).tobytes()
-        if len(self.memo) >= self.bound:
-            self.memo.clear()
-        self.memo[word] = found
+        found = self.stream(" " + word)
+        if len(word) <= 40:
+            if len(self.memo) >= self.bound:
+                self.memo.clear()
+            self.memo[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
