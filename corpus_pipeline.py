@@ -7,7 +7,7 @@ executor costs no more than its own stage's tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, langid, minhash, pii, sentencepiece_viterbi
@@ -18,22 +18,40 @@ from marlstone.llm.queries import tokenizer_path
 SHINGLE = 5
 
 
+def _own(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns of ``docs`` that clash with no result's."""
+    return {c: f"__k{i}" for i, c in enumerate(docs.columns)}
+
+
+def _col(name: str) -> Column:
+    """A column by its name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; texts without letters go."""
-    own = {c: f"__k{i}" for i, c in enumerate(docs.columns)}  # names that clash with no result's
+    """Rows whose text has a language; texts that are null or without letters go."""
+    own = _own(docs)
     net = langid.train(*langid.training_sample(docs))
-    named = langid.identify(docs.select(*[F.col(c).alias(k) for c, k in own.items()], "text"), net, keep=tuple(own.values()))
+    named = langid.identify(docs.select(*[_col(c).alias(k) for c, k in own.items()], "text"), net, keep=tuple(own.values()))
     return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(k).alias(c) for c, k in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the least doc_id."""
-    marked = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select(F.col("doc_id").alias("__k_id")).distinct()
-    left = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__k_id")), "left_semi")
-    # Rows that repeat a doc_id are one document.
-    first = left.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    repeated = left.where("doc_id IS NULL").select(*docs.columns)
-    return first.where("doc_id IS NOT NULL").select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).unionByName(repeated)
+    """Of each group of near-duplicates, the row with the least doc_id.
+
+    Rows that repeat a doc_id are one document: the one with the least text
+    stays. Rows without doc_id stay.
+    """
+    own = _own(docs)
+    marked = minhash.near_duplicates(docs, size=SHINGLE).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(*[_col(c).alias(k) for c, k in own.items()], key.alias("__id"), F.col("text").alias("__text"))
+    alone = rows.join(marked.where("__n = 1 OR __id IS NULL"), rows["__id"].eqNullSafe(marked["__id"]), "left_semi")
+    # Texts of ids that stand once don't move for the sake of those that are repeated.
+    repeated = rows.join(marked.where("__n > 1 AND __id IS NOT NULL"), "__id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("__id").orderBy("__text"))
+    first = repeated.withColumn("__place", place).where("__place = 1")
+    return alone.select(*own.values()).unionByName(first.select(*own.values())).select(*[F.col(k).alias(c) for c, k in own.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
