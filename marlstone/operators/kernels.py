@@ -11,9 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.semantics import average_rank, guarded_corr
 
@@ -41,15 +40,41 @@ def residual(y: np.ndarray, x: np.ndarray, proportion: float = 1.0) -> np.ndarra
 
 
 def neutralise(scored: DataFrame, exposures: list[str], *, by: str = "decision_date", proportion: float = 1.0) -> DataFrame:
-    """Adds ``neutral``: the score less its part explained by the exposures, within each date (one date's names per task)."""
-    schema = T.StructType([*scored.schema.fields, T.StructField("neutral", T.DoubleType())])
+    """Adds ``neutral``: the score less its part explained by the exposures, within each date.
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        x = b[exposures].to_numpy(float)
-        b["neutral"] = residual(b["score"].to_numpy(float), x, proportion)
-        return b
-
-    return scored.groupBy(by).applyInPandas(run, schema)
+    A missing exposure takes its mean over the date's known scores; one that
+    is constant there, or missing throughout, explains nothing. The normal
+    equations of a date come from one aggregation of its rows and are solved
+    per date; what is spread over the tasks are a date's coefficients, a row
+    for each date.
+    """
+    known = scored.where(F.col("score").isNotNull())
+    means = known.groupBy(by).agg(F.count("*").alias("__n"), F.avg("score").alias("__my"), *[F.avg(e).alias(f"__m{i}") for i, e in enumerate(exposures)])
+    x = {i: F.coalesce(F.col(e).cast("double") - F.col(f"__m{i}"), F.lit(0.0)) for i, e in enumerate(exposures)}
+    rows = known.join(F.broadcast(means), by)  # a row for each date
+    y = F.col("score") - F.col("__my")
+    n = len(exposures)
+    sums = rows.groupBy(by).agg(F.array(*[F.sum(x[i] * x[j]) for i in range(n) for j in range(n)]).alias("g"), F.array(*[F.sum(x[i] * y) for i in range(n)]).alias("v"), F.array(*[F.max(x[i]) - F.min(x[i]) for i in range(n)]).alias("spread"), F.first("__n").alias("n"))
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for g, v, spread, rows in zip(b["g"], b["v"], b["spread"], b["n"]):
+                g, v = np.array(g, float).reshape(n, n), np.array(v, float)
+                use = np.array(spread, float) > 1e-12
+                beta = np.zeros(n)
+                if rows >= 2 and use.any():
+                    scale = np.sqrt(np.diag(g)[use])
+                    beta[use] = np.linalg.lstsq(g[np.ix_(use, use)] / np.outer(scale, scale), v[use] / scale, rcond=1e-10)[0] / scale
+                out.append(beta.tolist())
+            yield pd.DataFrame({by: b[by], "__beta": out})
+
+    kind = scored.schema[by].dataType.simpleString()
+    beta = sums.mapInPandas(solve, f"`{by}` {kind}, __beta array<double>")
+    facts = F.broadcast(means.join(beta, by))
+    fit = sum((x[i] * F.col("__beta")[i] for i in range(n)), F.lit(0.0))
+    neutral = F.when(F.col("score").isNotNull(), F.col("score") - proportion * F.when(F.col("__n") >= 2, fit).otherwise(0.0))
+    return scored.join(facts, by, "left").withColumn("neutral", neutral).select(*scored.columns, "neutral")
 
 
 def neutral_rank_ic(scored: DataFrame, exposures: list[str], label: str) -> DataFrame:
@@ -162,74 +187,130 @@ def elastic_net(df: DataFrame, features: list[str], label: str, alpha: float = 0
 
 
 def permutation_importance(df: DataFrame, model: Linear, label: str, seed: int = 7) -> DataFrame:
-    """feature, importance: mean rank IC less that with the feature's values dealt anew over all rows.
+    """feature, importance: mean rank IC less that with the feature's values dealt anew within each date.
 
-    Values are dealt by two orders of the rows, a fixed one and one by a
-    seeded hash; both are row numbers within a feature.
+    Within a date the k-th row by a seeded hash gets the value of the k-th row
+    by ticker. All features are dealt in one pass: a row stands once for each
+    feature, and once as it is.
     """
-    spark = df.sparkSession
     rows = df.where(F.col(label).isNotNull())
-
-    def ic(d: DataFrame) -> float | None:
-        p = model.predict(d).withColumn("score", F.round("score", 9))
-        p = p.withColumn("r_s", average_rank("score", "decision_date")).withColumn("r_y", average_rank(label, "decision_date"))
-        return p.groupBy("decision_date").agg(guarded_corr("r_s", "r_y").alias("ic")).agg(F.avg("ic")).first()[0]
-
-    from pyspark.sql import Window
-
-    base, out = ic(rows) or 0.0, []
-    keep = [c for c in rows.columns]
-    for f in [f for f in model.features if model.coef.get(f)]:
-        here = rows.withColumn("__i", F.row_number().over(Window.orderBy("decision_date", "ticker")))
-        dealt = rows.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64("decision_date", "ticker", F.lit(f), F.lit(seed)))).alias("__i"))
-        out.append((f, base - (ic(here.join(dealt, "__i").withColumn(f, F.col("__v")).select(*keep)) or 0.0)))
-    return spark.createDataFrame(out, "feature string, importance double")
-
-
-def water_fill(weights: np.ndarray, cap: float, rounds: int = 50) -> tuple[np.ndarray, bool]:
-    """Weights held below ``cap``, their sum kept by raising the others in proportion; False if that can't be."""
-    w, total = weights.astype(float).copy(), float(weights.sum())
-    if cap * len(w) < total - 1e-12:
-        return np.full(len(w), cap), False
-    for _ in range(rounds):
-        over = w > cap + 1e-15
-        if not over.any():
-            break
-        rest = total - cap * over.sum() - w[(w == cap) & ~over].sum()
-        free = ~over & (w < cap)
-        w[over] = cap
-        if free.any() and w[free].sum() > 0:
-            w[free] *= rest / w[free].sum()
-    return w, True
-
-
-def constrain(positions: DataFrame, *, max_weight: float = 0.1, sector_cap: float | None = None, max_names: int | None = None, min_names: int = 1) -> DataFrame:
-    """positions with capped weights and a status, leg by leg (a leg of one date per task)."""
-    schema = T.StructType([*positions.schema.fields, T.StructField("constrained", T.DoubleType()), T.StructField("status", T.StringType())])
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["weight", "ticker"], ascending=[False, True])
-        if max_names is not None:
-            b = b.head(max_names).copy()
-        w = b["weight"].to_numpy(float)
-        gross = w.sum()
-        status = "ok"
-        if len(b) < min_names:
-            status = "infeasible"
-        w, fits = water_fill(w, max_weight)
-        if not fits:
-            status = "reduced"
-        if sector_cap is not None:
-            sec = b["sector"].fillna("").to_numpy()
-            for s in np.unique(sec):
-                part = w[sec == s].sum()
-                if part > sector_cap * gross:
-                    w[sec == s] *= sector_cap * gross / part
-                    status = "reduced" if status == "ok" else status
-        b["constrained"], b["status"] = w, status
-        return b
-
-    return positions.groupBy("decision_date", "leg").applyInPandas(run, schema)
+    used = [f for f in model.features if model.coef.get(f)]
+    out = "feature string, importance double"
+    if not used:
+        return df.sparkSession.createDataFrame([], out)
+    rows = rows.select("decision_date", "ticker", F.col(label).alias("__y"), *model.features)
+    every = rows.withColumn("feature", F.explode(F.array(F.lit(""), *[F.lit(f) for f in used])))
+    w = Window.partitionBy("feature", "decision_date")
+    value = F.lit(None).cast("double")
+    for f in used:
+        value = F.when(F.col("feature") == f, F.col(f).cast("double")).otherwise(value)
+    every = every.withColumn("__i", F.row_number().over(w.orderBy("ticker"))).withColumn("__k", F.row_number().over(w.orderBy(F.xxhash64("decision_date", "ticker", "feature", F.lit(seed)), "ticker"))).withColumn("__v", value)
+    dealt = every.select("feature", "decision_date", F.col("__i").alias("__k"), F.col("__v").alias("__new"))
+    every = every.join(dealt, ["feature", "decision_date", "__k"])
+    every = every.withColumns({f: F.when(F.col("feature") == f, F.col("__new")).otherwise(F.col(f).cast("double")) for f in used})
+    p = model.predict(every).withColumn("score", F.round("score", 9))
+    p = p.withColumn("r_s", average_rank("score", "feature", "decision_date")).withColumn("r_y", average_rank("__y", "feature", "decision_date"))
+    ic = p.groupBy("feature", "decision_date").agg(guarded_corr("r_s", "r_y").alias("ic")).groupBy("feature").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("ic"))
+    base = ic.where("feature = ''").select(F.col("ic").alias("base"))
+    # One row: the IC of the values as they are.
+    return ic.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("ic")).alias("importance"))
+
+
+def water_fill(weights: np.ndarray, cap: float) -> tuple[np.ndarray, bool]:
+    """Weights held below ``cap``; what is cut off is dealt to the others by their room below it; False if there is too little room."""
+    w = weights.astype(float)
+    over = w > cap + 1e-12
+    excess, room = (w[over] - cap).sum(), np.where(over, 0.0, np.maximum(cap - w, 0.0))
+    share = min(1.0, excess / room.sum()) if room.sum() > 1e-12 else 0.0
+    out = np.where(over, cap, w + share * room)
+    return out, bool(out.sum() >= w.sum() - 1e-9)
+
+
+LEG = ["decision_date", "leg"]
+
+
+def constrain(
+    positions: DataFrame, *, max_weight: float | None = None, sector_cap: float | None = None, max_names: int | None = None, min_names: int | None = None,
+    min_adv: float | None = None, max_participation: float | None = None, max_notional_fraction: float | None = None, leg_notional: float = 1.0,
+    allow_without_adv: bool = False, prior: DataFrame | None = None, max_turnover: float | None = None,
+) -> DataFrame:
+    """positions with constrained (its weight, 0 for a name left out), status and reason of its date.
+
+    In this order within each leg: names whose adv (0 if unknown) is below
+    ``min_adv`` go; fewer than ``min_names`` names, or none left, make the
+    leg's weights 0 and the date infeasible; the ``max_names`` largest stay,
+    by weight, then ticker, and get the leg's sum again; weights are held
+    below ``max_weight`` and the caps by adv, and what is cut off is dealt to
+    the others by their room; sectors above ``sector_cap`` are scaled to it.
+    With ``prior`` (decision_date, ticker, weight, signed) the book of a date
+    moves toward it until its one-sided turnover is ``max_turnover`` at most;
+    names of the prior book alone then follow as rows. A date whose weights
+    add up to less than before is feasible_reduced. Caps by adv without a
+    column adv leave the weights as they are and say liquidity_data_missing,
+    unless ``allow_without_adv`` has them skipped.
+    """
+    by_adv = any(x is not None for x in (min_adv, max_participation, max_notional_fraction))
+    have_adv = "adv" in positions.columns
+    if by_adv and not have_adv and not allow_without_adv:
+        return positions.withColumn("constrained", F.col("weight")).withColumn("status", F.lit("liquidity_data_missing")).withColumn("reason", F.lit(None).cast("string"))
+    by_adv = by_adv and have_adv
+    adv = F.coalesce(F.col("adv"), F.lit(0.0)) if by_adv else F.lit(0.0)
+    leg = Window.partitionBy(*LEG)
+    p = positions.withColumn("__in", adv >= min_adv if by_adv and min_adv is not None else F.lit(True))
+    p = p.withColumn("__n", F.count_if("__in").over(leg)).withColumn("__gross", F.sum("weight").over(leg))
+    few = F.when((F.col("__n") == 0) & F.lit(by_adv and min_adv is not None), "all_names_fail_liquidity")
+    if min_names is not None:
+        few = few.when(F.col("__n") < min_names, "too_few_names")
+    p = p.withColumn("__few", few.otherwise(F.lit(None).cast("string")))
+    if max_names is not None:
+        place = F.row_number().over(leg.orderBy(F.desc("__in"), F.desc("weight"), "ticker"))
+        p = p.withColumn("__in", F.col("__in") & (place <= max_names))
+    p = p.withColumn("__w", F.when(F.col("__in") & F.col("__few").isNull(), F.col("weight")).otherwise(0.0))
+    total = F.sum("__w").over(leg)
+    p = p.withColumn("__w", F.when(total > 0, F.col("__w") / F.when(total > 0, total) * F.col("__gross")).otherwise(F.col("__w")))
+    caps = [F.lit(float(max_weight))] if max_weight is not None else []
+    if by_adv and leg_notional > 0:
+        caps += [adv * x / leg_notional for x in (max_participation, max_notional_fraction) if x is not None]
+    if caps:
+        cap = F.least(*caps) if len(caps) > 1 else caps[0]
+        over = F.col("__w") > F.col("__cap") + 1e-12
+        p = p.withColumn("__cap", F.when(F.col("__in"), cap).otherwise(0.0))
+        p = p.withColumn("__excess", F.sum(F.when(over, F.col("__w") - F.col("__cap")).otherwise(0.0)).over(leg))
+        p = p.withColumn("__room", F.when(over, 0.0).otherwise(F.greatest(F.col("__cap") - F.col("__w"), F.lit(0.0))))
+        rooms = F.sum("__room").over(leg)
+        share = F.when(rooms > 1e-12, F.least(F.lit(1.0), F.col("__excess") / F.when(rooms > 1e-12, rooms))).otherwise(0.0)
+        p = p.withColumn("__share", share).withColumn("__w", F.when(over, F.col("__cap")).otherwise(F.col("__w") + F.col("__share") * F.col("__room"))).drop("__cap", "__excess", "__room", "__share")
+    if sector_cap is not None:
+        part = F.sum("__w").over(Window.partitionBy(*LEG, F.coalesce(F.nullif("sector", F.lit("")), F.lit("unknown"))))
+        p = p.withColumn("__w", F.when(part > sector_cap + 1e-12, F.col("__w") * sector_cap / F.when(part > 0, part)).otherwise(F.col("__w")))
+    date = Window.partitionBy("decision_date")
+    p = p.withColumn("reason", F.coalesce(F.max(F.when(F.col("leg") == "long", F.col("__few"))).over(date), F.max("__few").over(date)))
+    if prior is not None and max_turnover is not None:
+        p = _toward(p, prior, max_turnover)
+    p = p.withColumn("__less", (F.sum("__w").over(leg) < F.col("__gross") - 1e-9).cast("int"))
+    status = F.when(F.col("reason").isNotNull(), "infeasible").when(F.max("__less").over(date) == 1, "feasible_reduced").otherwise("ok")
+    return p.withColumn("status", status).select(*positions.columns, F.col("__w").alias("constrained"), "status", "reason")
+
+
+def _toward(p: DataFrame, prior: DataFrame, max_turnover: float) -> DataFrame:
+    """The weights of feasible dates moved toward the prior, signed book, so that turnover is ``max_turnover`` at most."""
+    sign = F.when(F.col("leg") == "long", 1.0).otherwise(-1.0)
+    keys = ["decision_date", "ticker"]
+    book = p.groupBy(*keys).agg(F.sum(sign * F.col("__w")).alias("__t"), F.first("reason").alias("__reason"))
+    was = prior.groupBy(*keys).agg(F.sum("weight").alias("__p"))
+    both = book.join(was, keys, "full_outer").fillna(0.0, ["__t", "__p"])
+    turn = F.sum(F.abs(F.col("__t") - F.col("__p"))).over(Window.partitionBy("decision_date")) / 2
+    share = F.when(turn > max_turnover + 1e-12, F.lit(max_turnover) / F.when(turn > 0, turn)).otherwise(1.0)
+    moved = both.withColumn("__b", F.col("__p") + share * (F.col("__t") - F.col("__p"))).withColumn("__scaled", share < 1.0)
+    moved = moved.withColumn("leg", F.when(F.col("__b") > 0, "long").otherwise("short")).select(*keys, "leg", "__b", "__scaled")
+    state = p.groupBy(*LEG).agg(F.first("__gross").alias("__g"), F.first("reason").alias("__r"))
+    scaled = moved.where("__scaled AND abs(__b) > 1e-12").drop("__scaled").join(p.select("decision_date").where("reason IS NULL").distinct(), "decision_date", "left_semi")
+    done = scaled.select("decision_date").distinct()
+    same = p.join(done, "decision_date", "left_anti")
+    old = p.join(done, "decision_date", "left_semi").drop("__w", "__gross", "reason")
+    new = old.join(scaled, [*keys, "leg"], "full_outer").join(state, LEG, "left")
+    new = new.withColumn("__w", F.coalesce(F.abs("__b"), F.lit(0.0))).withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("__gross", F.coalesce("__g", F.lit(0.0))).withColumn("reason", F.col("__r"))
+    return same.unionByName(new.select(*same.columns))
 
 
 def toward_prior(target: DataFrame, prior: DataFrame, max_turnover: float) -> DataFrame:
@@ -256,10 +337,3 @@ def seed_noise_ic(scored: DataFrame, label: str, seed: int, share: float = 0.05)
     n = s.mapInPandas(run, s.schema)
     n = n.withColumn("r_s", average_rank("score", "decision_date")).withColumn("r_y", average_rank("y", "decision_date"))
     return n.groupBy("decision_date").agg(guarded_corr("r_s", "r_y").alias("ic")).agg(F.avg("ic")).first()[0]
-
-
-def train_tree_model(name: str) -> dict[str, str]:
-    """Gradient-boosting libraries are optional; without one the status says so."""
-    import importlib.util
-
-    return {"model": name, "status": "ok" if importlib.util.find_spec(name) else "dependency_missing"}
