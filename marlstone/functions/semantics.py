@@ -6,7 +6,7 @@ by zero and no NaN appears. Ranks share ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,28 @@ def average_rank(value: Column | str, *keys: str, ascending: bool = True) -> Col
     return F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*keys).orderBy(order)) + (ties - 1) / 2.0)
 
 
+def ranked_overall(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the rank of ``value`` over all rows, ties sharing their mean rank; NULL for NULL.
+
+    No task orders all rows: distinct values are counted, ranges of them are
+    numbered apart, and a row per range carries the numbers over.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Any cuts give the same result; these give ranges of about the same size.
+    cuts = sorted(set(df.select(F.col(value).cast("double").alias("__v")).approxQuantile("__v", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    over = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: F.col("__v").cast("double") > c))
+    counts = counts.withColumn("__range", over)
+    w = Window.partitionBy("__range").orderBy("__v")
+    # A row per range.
+    totals = counts.groupBy("__range").agg(F.sum("__n").alias("t"))
+    before = totals.select("__range", F.coalesce(F.sum("t").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranks = counts.withColumn("__upto", F.sum("__n").over(w)).join(F.broadcast(before), "__range")
+    ranks = ranks.select("__v", (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
 def guarded_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation as an aggregate; NULL for fewer than two pairs or without variance."""
     x, y = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import average_rank, guarded_corr, mean_of, nn, occurrences, safe_div
+from ..functions.semantics import average_rank, guarded_corr, mean_of, nn, occurrences, ranked_overall, safe_div
+from ..sources.scratch import written
 from .timeseries import by_date, forward_returns
 
 #: Factors by group; those where less is better.
@@ -43,7 +44,7 @@ def price_factors(bars: DataFrame, dates: DataFrame) -> DataFrame:
 def statements_as_of(statements: DataFrame, dates: DataFrame, strict: bool = True) -> DataFrame:
     """Per decision date each ticker's latest and prior statement, of those disclosed by then if ``strict``."""
     s = statements.join(F.broadcast(dates), F.col("disclosure_date") <= F.col("decision_date")) if strict else statements.join(F.broadcast(dates))
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy("decision_date", "ticker").orderBy(F.desc("fiscal_year"))))
+    s = s.withColumn("k", F.row_number().over(Window.partitionBy("decision_date", "ticker").orderBy(F.desc_nulls_first("fiscal_year"), F.desc("fiscal_period"))))
     cols = ("fiscal_year", "disclosure_date", "accounting_basis", "revenue", "net_income", "operating_income", "equity", "total_assets", "shares_outstanding")
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     return s.where("k <= 2").groupBy("decision_date", "ticker").agg(*[at(c, 1).alias(c) for c in cols], at("revenue", 2).alias("prior_revenue"), at("net_income", 2).alias("prior_net_income"))
@@ -56,8 +57,13 @@ def basis(statements: DataFrame) -> DataFrame:
     return s.select("ticker", F.when(F.size("b") == 0, "unknown").when(F.size("b") > 1, "mixed").otherwise(F.element_at("b", 1)).alias("basis"))
 
 
-def dataset(bars: DataFrame, statements: DataFrame, companies: DataFrame, texts: DataFrame, dates: DataFrame, risk_words: list[str], horizons=(5, 20, 60)) -> DataFrame:
-    """A row for each decision date and ticker of the universe: factors, labels, reason of exclusion."""
+def dataset(bars: DataFrame, statements: DataFrame, companies: DataFrame, texts: DataFrame, dates: DataFrame, risk_words: list[str], horizons=(5, 20, 60), include_non_consolidated: bool = False) -> DataFrame:
+    """A row for each decision date and ticker of the universe: factors, labels, reason of exclusion.
+
+    Names without statements, with none disclosed by the date, or whose
+    statements are all non-consolidated (unless these are asked for) are
+    excluded; a mixed or unknown basis is not.
+    """
     universe = bars.select("ticker").union(statements.select("ticker")).union(companies.select("ticker")).distinct()
     keys = universe.crossJoin(F.broadcast(dates))  # names by a short list of dates: the dataset's own size
     on = ["decision_date", "ticker"]
@@ -77,7 +83,9 @@ def dataset(bars: DataFrame, statements: DataFrame, companies: DataFrame, texts:
         }
     )
     labels = forward_returns(bars, dates, horizons, price="adj_close").select(*on, *[f"forward_return_h{h}" for h in horizons])
-    reason = F.when(F.col("basis").isNull(), "no_fundamentals").when(F.col("fiscal_year").isNull(), "not_disclosed").when(F.col("basis") != "consolidated", "not_consolidated")
+    reason = F.when(F.col("basis").isNull(), "no_fundamentals").when(F.col("disclosure_date").isNull(), "disclosure_after_decision")
+    if not include_non_consolidated:
+        reason = reason.when(F.col("basis") == "non_consolidated", "non_consolidated_basis")
     d = d.join(labels, on, "left").withColumn("exclusion", F.coalesce(reason, F.lit("")))
     return d.select(*on, "sector", "basis", "exclusion", *FACTORS, *[f"forward_return_h{h}" for h in horizons])
 
@@ -92,25 +100,38 @@ def excess_returns(ds: DataFrame, horizons=(5, 20, 60)) -> DataFrame:
     return ds
 
 
-def normalised(ds: DataFrame) -> DataFrame:
-    """Long form: decision_date, ticker, sector, factor, x (signed, winsorised), z, sector_z.
+def normalised_wide(ds: DataFrame) -> DataFrame:
+    """decision_date, ticker, sector and of each factor f x_f (signed, winsorised), z_f, sz_f (within the sector).
 
     Clipped to the 5th and 95th percentile with two values or more; z uses the
     sample deviation and is 0 where there is none; without a sector it is 0.
+    The percentiles, means and deviations of a date are one row, of a sector
+    one more: names are not sorted, and no task holds a date's cross-section.
+    ``ds`` is read twice: it should be a written table.
     """
-    pairs = ", ".join(f"'{f}', {'-' if f in LESS_IS_BETTER else ''}{f}" for f in FACTORS)
-    long = ds.select("decision_date", "ticker", "sector", F.expr(f"stack({len(FACTORS)}, {pairs}) AS (factor, raw)"))
-    w, ws = Window.partitionBy("decision_date", "factor"), Window.partitionBy("decision_date", "factor", "sector")
-    q = F.percentile("raw", F.array(F.lit(0.05), F.lit(0.95))).over(w)
-    long = long.withColumn("q", q)
-    x = F.when(F.col("raw").isNull(), None).when(F.count("raw").over(w) < 2, F.col("raw")).otherwise(F.least(F.greatest(F.col("raw"), F.col("q")[0]), F.col("q")[1]))
-    long = long.withColumn("x", x)
+    raw = {f: (-F.col(f) if f in LESS_IS_BETTER else F.col(f)) for f in FACTORS}
+    limits = ds.groupBy("decision_date").agg(*[F.percentile(raw[f], F.array(F.lit(0.05), F.lit(0.95))).alias(f"q_{f}") for f in FACTORS], *[F.count(f).alias(f"n_{f}") for f in FACTORS])
+    clipped = {f: F.when(raw[f].isNull() | (F.col(f"n_{f}") < 2), raw[f]).otherwise(F.least(F.greatest(raw[f], F.col(f"q_{f}")[0]), F.col(f"q_{f}")[1])) for f in FACTORS}
+    # Written, as it is read three times, and so that what builds on it stays a short expression.
+    x, _ = written(ds.join(F.broadcast(limits), "decision_date").select("decision_date", "ticker", "sector", *[c.alias(f"x_{f}") for f, c in clipped.items()]))
 
-    def z(win) -> Column:
-        sd = F.stddev_samp("x").over(win)
-        return F.when(F.col("x").isNull(), None).when((F.count("x").over(win) < 2) | (F.coalesce(sd, F.lit(0.0)) < 1e-12), 0.0).otherwise((F.col("x") - F.avg("x").over(win)) / F.nullif(sd, F.lit(0.0)))
+    def stats(by: list[str], mark: str) -> DataFrame:
+        return x.groupBy(*by).agg(*[c.alias(f"{mark}{k}_{f}") for f in FACTORS for k, c in (("n", F.count(f"x_{f}")), ("a", F.avg(f"x_{f}")), ("s", F.stddev_samp(f"x_{f}")))])
 
-    return long.withColumn("z", z(w)).withColumn("sector_z", F.when(F.col("x").isNull(), None).when(F.col("sector").isNull(), 0.0).otherwise(z(ws))).select("decision_date", "ticker", "sector", "factor", "x", "z", "sector_z")
+    def z(f: str, mark: str) -> Column:
+        v, sd = F.col(f"x_{f}"), F.col(f"{mark}s_{f}")
+        return F.when(v.isNull(), None).when((F.col(f"{mark}n_{f}") < 2) | (F.coalesce(sd, F.lit(0.0)) < 1e-12), 0.0).otherwise((v - F.col(f"{mark}a_{f}")) / F.nullif(sd, F.lit(0.0)))
+
+    # A row for each decision date; sectors are joined as the optimiser sees fit.
+    j = x.join(F.broadcast(stats(["decision_date"], "d")), "decision_date").join(stats(["decision_date", "sector"], "s").where("sector IS NOT NULL"), ["decision_date", "sector"], "left")
+    inside = {f: F.when(F.col(f"x_{f}").isNull(), None).when(F.col("sector").isNull(), 0.0).otherwise(z(f, "s")) for f in FACTORS}
+    return j.select("decision_date", "ticker", "sector", *[f"x_{f}" for f in FACTORS], *[z(f, "d").alias(f"z_{f}") for f in FACTORS], *[c.alias(f"sz_{f}") for f, c in inside.items()])
+
+
+def normalised(ds: DataFrame) -> DataFrame:
+    """Long form of normalised_wide(): decision_date, ticker, sector, factor, x, z, sector_z."""
+    triples = ", ".join(f"'{f}', x_{f}, z_{f}, sz_{f}" for f in FACTORS)
+    return normalised_wide(ds).select("decision_date", "ticker", "sector", F.expr(f"stack({len(FACTORS)}, {triples}) AS (factor, x, z, sector_z)"))
 
 
 def baseline_scores(ds: DataFrame, weights: dict[str, float] | None = None, of: str = "z") -> DataFrame:
@@ -118,9 +139,8 @@ def baseline_scores(ds: DataFrame, weights: dict[str, float] | None = None, of:
     weights = weights or dict.fromkeys(GROUPS, 1.0)
     if any(w < 0 for w in weights.values()):
         raise ValueError("weights must not be negative")
-    n = normalised(ds)
-    # A row per name with the factors' values: sums run in one order, whatever the partitions.
-    wide = n.groupBy("decision_date", "ticker").agg(*[F.max(F.when(F.col("factor") == f, F.col(of))).alias(f) for f in FACTORS])
+    mark = {"x": "x", "z": "z", "sector_z": "sz"}[of]
+    wide = normalised_wide(ds).select("decision_date", "ticker", *[F.col(f"{mark}_{f}").alias(f) for f in FACTORS])
     wide = wide.withColumns({f"g_{g}": mean_of(*[F.col(f) for f in fs]) for g, fs in GROUPS.items()})
     top, total, k = F.lit(0.0), F.lit(0.0), F.lit(0)
     for g in GROUPS:
@@ -148,6 +168,11 @@ def ic_summary(ics: DataFrame) -> DataFrame:
     return ics.agg(F.count("*").alias("n_dates"), F.avg("ic").alias("ic_mean"), sd.alias("ic_std"), (F.avg("ic") / F.nullif(sd, F.lit(0.0))).alias("icir"), F.avg("sector_neutral_ic").alias("sector_neutral_ic_mean"))
 
 
+def score_distribution(scored: DataFrame) -> DataFrame:
+    """decision_date, n, mean, std (population), min, median, max of the scores."""
+    return scored.groupBy("decision_date").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.median("score").alias("median"), F.max("score").alias("max"))
+
+
 def quantile_rows(scored: DataFrame, label: str, n: int = 5) -> DataFrame:
     """decision_date, bucket, mean_label, med: bucket means of dates with at least n names."""
     s = scored.where(F.col("score").isNotNull() & F.col(label).isNotNull())
@@ -201,9 +226,9 @@ def weighted_blend(models: dict[str, DataFrame], weights: dict[str, float]) -> D
 
 def pairwise_corr(models: dict[str, DataFrame]) -> DataFrame:
     """pair, corr: rank correlations of models over all common rows."""
-    rows, names = _common(models), sorted(models)
-    # Ranks over all rows need one order of them: this is for a report's few thousand names and dates.
-    ranked = rows.withColumns({f"r_{m}": average_rank(f"s_{m}") for m in names})
+    ranked, names = written(_common(models))[0], sorted(models)  # ranked once for each model
+    for m in names:
+        ranked = ranked_overall(ranked, f"s_{m}", f"r_{m}")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     one = ranked.agg(*[guarded_corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.expr(f"stack({len(pairs)}, " + ", ".join(f"'{a}|{b}', `{a}|{b}`" for a, b in pairs) + ") AS (pair, corr)"))

@@ -11,6 +11,7 @@ from ..operators import modeling as m
 from ..operators import portfolio as pf
 from ..operators import timeseries as t
 from ..sources import views as v
+from ..sources.scratch import written
 from .base import query
 
 W = "(PARTITION BY ticker ORDER BY date)"
@@ -26,7 +27,7 @@ pb AS (SELECT *, CASE WHEN count(*) OVER {UPTO} >= 3 THEN stddev_samp(ret) OVER
 pf AS (SELECT decision_date, ticker, p AS market_price, momentum_20d, momentum_60d, momentum_120d, volatility, max_drawdown FROM pb JOIN dates ON date <= decision_date
        QUALIFY row_number() OVER (PARTITION BY decision_date, ticker ORDER BY date DESC) = 1),
 sa0 AS (SELECT decision_date, s.*, lead(revenue) OVER w AS prior_revenue, lead(net_income) OVER w AS prior_net_income, row_number() OVER w AS k
-        FROM statements s JOIN dates ON disclosure_date <= decision_date WINDOW w AS (PARTITION BY decision_date, ticker ORDER BY fiscal_year DESC)),
+        FROM statements s JOIN dates ON disclosure_date <= decision_date WINDOW w AS (PARTITION BY decision_date, ticker ORDER BY fiscal_year DESC NULLS FIRST, fiscal_period DESC)),
 sa AS (SELECT * FROM sa0 WHERE k = 1),
 ba AS (SELECT ticker, CASE WHEN count(DISTINCT accounting_basis) > 1 THEN 'mixed' ELSE min(accounting_basis) END AS basis FROM statements GROUP BY 1),
 un AS (SELECT ticker FROM bars UNION SELECT ticker FROM statements UNION SELECT ticker FROM companies),
@@ -37,7 +38,7 @@ tx AS (SELECT ticker, CASE WHEN text IS NOT NULL THEN CAST(length(text) > 0 AS D
               CASE WHEN length(text) > 0 THEN 0.0::DOUBLE END AS sentiment_placeholder FROM disclosures),
 ds AS (
     SELECT d.decision_date, u.ticker, sector, basis,
-           CASE WHEN basis IS NULL THEN 'no_fundamentals' WHEN sa.fiscal_year IS NULL THEN 'not_disclosed' WHEN basis <> 'consolidated' THEN 'not_consolidated' ELSE '' END AS exclusion,
+           CASE WHEN basis IS NULL THEN 'no_fundamentals' WHEN sa.disclosure_date IS NULL THEN 'disclosure_after_decision' WHEN basis = 'non_consolidated' THEN 'non_consolidated_basis' ELSE '' END AS exclusion,
            net_income / nullif(market_price * nullif(shares_outstanding, 0), 0) * 100 AS earnings_yield, equity / nullif(market_price * nullif(shares_outstanding, 0), 0) AS book_to_market,
            revenue / nullif(market_price * nullif(shares_outstanding, 0), 0) AS sales_to_price, net_income / nullif(equity, 0) * 100 AS roe, net_income / nullif(total_assets, 0) * 100 AS roa,
            operating_income / nullif(revenue, 0) * 100 AS operating_margin, equity / nullif(total_assets, 0) * 100 AS equity_ratio,
@@ -106,18 +107,22 @@ def ds(spark, sf_dir):
 
 
 def included(spark, sf_dir):
-    return ds(spark, sf_dir).where("exclusion = ''")
+    """The rows without reason of exclusion, written once: what follows reads them several times."""
+    return written(ds(spark, sf_dir).where("exclusion = ''"))[0]
 
 
 def scored(spark, sf_dir):
-    """Baseline scores with sector and labels."""
-    d = included(spark, sf_dir)
+    """Baseline scores with sector and labels, written once: evaluations read them several times."""
+    return scored_of(included(spark, sf_dir))
+
+
+def scored_of(d):
     s = m.baseline_scores(d)
-    return s.join(d.select("decision_date", "ticker", "sector", *[F.round(f"forward_return_h{h}", 9).alias(f"forward_return_h{h}") for h in H]), ["decision_date", "ticker"])
+    return written(s.join(d.select("decision_date", "ticker", "sector", *[F.round(f"forward_return_h{h}", 9).alias(f"forward_return_h{h}") for h in H]), ["decision_date", "ticker"]))[0]
 
 
-def alternative(spark, sf_dir):
-    return included(spark, sf_dir).select("decision_date", "ticker", F.round("momentum_60d", 9).alias("score"))
+def alternative_of(d):
+    return d.select("decision_date", "ticker", F.round("momentum_60d", 9).alias("score"))
 
 
 def rounded(df, *names):
@@ -238,7 +243,8 @@ COMMON = "cm AS (SELECT sc.decision_date, sc.ticker, sc.score AS a, al.score AS
 
 
 def _models(spark, sf_dir):
-    return {"baseline": m.baseline_scores(included(spark, sf_dir)), "momentum": alternative(spark, sf_dir)}
+    d = included(spark, sf_dir)
+    return {"baseline": written(m.baseline_scores(d))[0], "momentum": alternative_of(d)}
 
 
 @query(f"{FULL}, {COMMON} SELECT decision_date, ticker, round(({_rank('a')} + {_rank('b')}) / 2, 6) AS score FROM cm")
@@ -262,7 +268,8 @@ def pairwise_corr(spark, sf_dir):
     c AS (SELECT decision_date, {_corr('rs', 'ry')} AS ic_raw, {_corr('rr', 'ry')} AS ic_neutral FROM r GROUP BY 1)
     SELECT decision_date, {rsql('ic_raw', 'ic_neutral')}, round(ic_neutral - ic_raw, 6) AS delta FROM c""")
 def model_contribution(spark, sf_dir):
-    return rounded(m.contribution(scored(spark, sf_dir), alternative(spark, sf_dir), LABEL), "ic_raw", "ic_neutral", "delta")
+    d = included(spark, sf_dir)
+    return rounded(m.contribution(scored_of(d), alternative_of(d), LABEL), "ic_raw", "ic_neutral", "delta")
 
 
 MONTHS = """
