@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources import readers, views as v
+from ..sources import readers, scratch, views as v
 from ..streaming import upsert
 from . import series
 from .base import query
@@ -16,8 +13,8 @@ from .base import query
 @query("""SELECT user_id, CAST(ts AS DATE) AS date, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS turnover, CAST(max(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS high,
     CAST(min(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS low, count(*) AS volume FROM events GROUP BY 1, 2""")
 def event_daily_upsert(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    place = f"{base}/events-{uuid.uuid4().hex}"
+    place = scratch.scratch_dir(spark)
+    scratch.kept(spark, place)
     # A file stream wants a folder; the table may be one file.
     v.table(spark, sf_dir, "events").select("user_id", "ts", "value").write.parquet(f"{place}/source")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{place}/source").schema)
