@@ -7,6 +7,7 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import governance as g
 
@@ -25,30 +26,65 @@ def _query(args):
         df.show(args.rows, truncate=False)
 
 
-def _analyze(args):
-    from .operators import analysis as a
-    from .operators import timeseries as t
+#: Inputs of reports, by their readers' names, beside the file of disclosure dates and that of text rules.
+INPUTS = ("prices", "statements", "companies", "texts", "universe", "store", "coverage", "listed", "adv", "series", "disclosed", "lexicon")
+NUMBERS = ("max_weight", "sector_cap", "max_names", "min_names", "min_adv", "max_participation", "max_notional_fraction", "leg_notional", "min_train", "bps")
+FLAGS = ("signals", "non_consolidated", "allow_partial", "elastic")
+
+
+def _inputs(args):
+    from .plans import reports
+
+    number = lambda n: int(getattr(args, n)) if n in ("max_names", "min_names", "min_train") else float(getattr(args, n))
+    options = {n: number(n) for n in NUMBERS if getattr(args, n) is not None} | {n: getattr(args, n) for n in FLAGS}
+    return reports.Inputs(session(args), {n: getattr(args, n) for n in INPUTS if getattr(args, n)}, (args.dates or "").split(",") if args.dates else [], tuple(int(h) for h in args.horizons.split(",")), options)
+
+
+def _report(args):
+    from .plans import reports
+
+    reports.write(args.command, _inputs(args), args.out)
+
+
+def _report_all(args):
+    from .plans import reports
+
+    reports.consolidated(_inputs(args), args.out)
+
+
+def _pipeline(args):
+    from .plans import pipeline
+
+    x = _inputs(args)
+    st = x.table("statements").withColumn("disclosure_date", F.make_date(F.col("fiscal_year"), F.lit(12), F.lit(31)))
+    texts = x.table("texts") if "texts" in x.paths else x.spark.createDataFrame([], "ticker string, text string")
+    _print(pipeline.run(x.spark, x.table("prices"), st, x.table("companies"), texts, x.decision_dates(), args.out, horizons=x.horizons))
+
+
+def _prepare(args):
     from .sources import readers, sinks
 
     spark = session(args)
-    mom = t.momentum(readers.prices_csv(spark, args.prices))
-    st = readers.statements_csv(spark, args.fundamentals)
-    co = readers.companies_csv(spark, args.companies)
-    d = a.valuation(a.fundamentals(st), mom).join(mom, "ticker", "left").join(co, "ticker", "left")
-    if args.texts and args.lexicon:
-        texts = readers.texts_dir(spark, args.texts)
-        lex = spark.read.option("header", True).schema("rule_id string, category string, keyword string, severity string, confidence double, tone_weight double").csv(args.lexicon)
-        d = d.join(a.tone(texts, lex), "ticker", "left")
-    else:
-        d = d.join(a.no_findings(d.select("ticker")), "ticker", "left")
-    d = a.sector_relative(a.reliability(a.scores(a.risk_flags(d))))
-    d = a.screening(d)
-    if args.signals:
-        d = a.signals(d)
-    keep = [c for c in d.columns if c not in ("risk_flags", "missing_fundamentals")]
-    sinks.ranked_csv(d.select(*keep), f"{args.out}/screening_csv", ["rank"])
-    sinks.json_report(d, f"{args.out}/screening_json", ["rank"])
-    sinks.ticker_reports(d, f"{args.out}/reports")
+    df = readers.prices_csv(spark, args.prices)
+    if args.universe:
+        df = df.join(readers.universe_file(spark, args.universe).select("ticker"), "ticker", "left_semi")
+    sinks.price_export(df, args.out, args.field)
+
+
+def _fetch(args):
+    from .sources import ingest, readers, sinks
+
+    spark = session(args)
+    new = readers.vendor_bars(readers.vendor_rows_json(spark, args.source))
+    universe = readers.universe_file(spark, args.universe).select("ticker")
+    store = readers.stored(spark, args.store)
+    after = ingest.merged(store.select(*[c for c in store.columns if c in new.columns]), new, universe) if store is not None else new.join(universe, "ticker", "left_semi")
+    sinks.bar_store(after.select("ticker", "date", *[c for c in readers.VENDOR_NUMBERS]), args.out)
+
+
+def _promote(args):
+    with open(args.file) as f:
+        _print(g.promote(json.load(f), args.ledger, approved=args.approve, note=args.note, required=not args.optional))
 
 
 def _list(args):
@@ -78,6 +114,9 @@ def _baseline(args):
         json.dump(now, f, indent=2, sort_keys=True)
 
 
+REPORT_NAMES = ("analyze", "validate", "readiness", "verify-store", "verify-bars", "daily-features", "coverage-filter", "coverage-excluded", "listed-master", "build-dataset", "dataset-coverage", "ranking", "quantiles", "walk-forward", "train", "score-report", "portfolio", "concentration", "neutralized", "exposures", "linear", "stability", "constraints", "monitoring")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="marlstone", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -93,7 +132,17 @@ def parser() -> argparse.ArgumentParser:
     add("queries", _list)
     add("query", _query, "name", "data", out=None, rows=20)
     add("read", _show, "kind", "path", rows=20)
-    add("analyze", _analyze, "prices", "fundamentals", "companies", "out", texts=None, lexicon=None, signals=False)
+    inputs = dict.fromkeys((*INPUTS, "dates", *NUMBERS)) | {"horizons": "5,20,60"} | dict.fromkeys(FLAGS, False)
+    for name in REPORT_NAMES:
+        add(name, _report, "out", **inputs)
+    add("report-all", _report_all, "out", **inputs)
+    add("pipeline", _pipeline, "out", **inputs)
+    add("prepare-prices", _prepare, "prices", "out", universe=None, field="close")
+    add("fetch", _fetch, "source", "universe", "store", "out")
+    add("promote", _promote, "file", "ledger", approve=False, optional=False, note="")
+    add("history", lambda a: _print(g.summary(g.entries_of(a.path))), "path")
+    add("lineage", lambda a: _print(g.lineage(g.entries_of(a.path), a.entry)), "path", "entry")
+    add("compare-runs", lambda a: _print(g.compare_folders(a.first, a.second)), "first", "second")
     add("baseline", _baseline, "folder", "file", check=False)
     add("manifest", lambda a: _print(g.manifest(a.folder, {})), "folder")
     add("determinism", lambda a: _print(g.compare(g.tree(a.first), g.tree(a.second))), "first", "second")

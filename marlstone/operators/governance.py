@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Parts of key names whose values are secret, and keys whose values may differ between runs.
 SECRET = ("token", "secret", "password", "api_key", "apikey", "authorization", "credential")
-VOLATILE = ("generated_at", "created_at", "timestamp", "run_id", "elapsed_seconds")
+VOLATILE = ("generated_at", "created_at_utc", "started_at_utc", "finished_at_utc", "elapsed_seconds", "absolute_path", "run_directory", "output_dir")
 
 
 def canonical(value: object) -> str:
@@ -148,6 +149,59 @@ def chain_links(ledger: DataFrame) -> DataFrame:
     return chained(ledger, "line", "entry_hash").withColumn("linked", F.col("parent_hash") == F.coalesce("before", F.lit(""))).drop("place", "before")
 
 
+def summary(entries: list[dict]) -> dict:
+    """Number of entries, broken lines, and the last entry's hash and note."""
+    last = entries[-1] if entries else {}
+    return {"entries": len(entries), "broken_lines": broken(entries), "last_hash": last.get("entry_hash"), "last_note": last.get("note")}
+
+
+def lineage(entries: list[dict], entry: str) -> list[str]:
+    """Hashes from an entry back to the first one, by parents."""
+    by_hash, out = {e["entry_hash"]: e for e in entries}, []
+    while entry in by_hash and entry not in out:
+        out.append(entry)
+        entry = by_hash[entry].get("parent_hash") or ""
+    return out
+
+
+def promote(baseline: dict, ledger: str, *, approved: bool, note: str, required: bool = True) -> str:
+    """Append a baseline's digest to a ledger that is whole; where approval is required also a reviewer's note is."""
+    if required and not approved:
+        raise PermissionError("promotion needs approval")
+    if required and not note.strip():
+        raise ValueError("promotion needs a reviewer's note")
+    return append_entry(ledger, {"baseline_sha256": digest(canonical(masked(baseline))), "files": len(baseline)}, approved=approved or not required, note=note)
+
+
+def compare_folders(first: str, second: str) -> dict:
+    """What differs between two runs' folders: files by their digests, and numbers of their JSON files."""
+    def numbers(folder: str) -> dict[str, float]:
+        out: dict[str, float] = {}
+
+        def walk(value, at):
+            if isinstance(value, bool):
+                return
+            if isinstance(value, (int, float)):
+                out[at] = float(value)
+            elif isinstance(value, dict):
+                for k, v in value.items():
+                    walk(v, f"{at}.{k}")
+            elif isinstance(value, list):
+                for k, v in enumerate(value):
+                    walk(v, f"{at}[{k}]")
+
+        for root, _, files in os.walk(folder):
+            for name in sorted(files):
+                if name.endswith(".json"):
+                    path = os.path.join(root, name)
+                    with open(path) as f:
+                        walk(masked(json.load(f)), os.path.relpath(path, folder))
+        return out
+
+    deltas = [d for d in compare_runs(numbers(first), numbers(second)) if d["direction"] != "equal"]
+    return {"files": compare(tree(first), tree(second)), "numbers": deltas}
+
+
 def compare_runs(a: dict[str, float], b: dict[str, float]) -> list[dict]:
     """Neutral deltas of two runs' numbers."""
     out = []
@@ -159,11 +213,15 @@ def compare_runs(a: dict[str, float], b: dict[str, float]) -> list[dict]:
 
 
 def export_bundle(folder: str, out: str, config: dict) -> dict:
-    """A single JSON file with a folder's manifest and texts."""
+    """A single JSON file with a folder's manifest and files: texts as they are, others as base64."""
     files = {}
     for p in tree(folder):
         with open(os.path.join(folder, p), "rb") as f:
-            files[p] = f.read().decode("utf-8", "replace")
+            data = f.read()
+        try:
+            files[p] = data.decode()
+        except UnicodeDecodeError:
+            files[p] = {"base64": base64.b64encode(data).decode()}
     bundle = {"manifest": manifest(folder, config), "files": files}
     bundle["bundle_sha256"] = digest(canonical(bundle))
     with open(out, "w") as f:
@@ -176,7 +234,8 @@ def verify_bundle(path: str) -> list[str]:
     with open(path) as f:
         b = json.load(f)
     found = [] if digest(canonical({k: v for k, v in b.items() if k != "bundle_sha256"})) == b.get("bundle_sha256") else ["bundle digest"]
-    for p, text in b.get("files", {}).items():
-        if b["manifest"]["artifacts"].get(p, {}).get("raw_sha256") != digest(text):
+    for p, held in b.get("files", {}).items():
+        data = base64.b64decode(held["base64"]) if isinstance(held, dict) else held
+        if b["manifest"]["artifacts"].get(p, {}).get("raw_sha256") != digest(data):
             found.append(p)
     return found

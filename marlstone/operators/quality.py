@@ -88,3 +88,14 @@ def usable(universe: DataFrame, allow_partial: bool = False) -> DataFrame:
 def weekdays(spark, first: str, last: str) -> DataFrame:
     days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS date")
     return days.where(F.weekday("date") < 5)
+
+
+def status_counts(df: DataFrame, column: str) -> DataFrame:
+    """A status column's values and how many rows have each."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def mismatches(left: DataFrame, right: DataFrame, column: str, tolerance: float = 1e-6) -> DataFrame:
+    """ticker, date, both values and their difference where it is larger than allowed."""
+    j = left.select("ticker", "date", F.col(column).alias("a")).join(right.select("ticker", "date", F.col(column).alias("b")), ["ticker", "date"])
+    return j.withColumn("diff", F.abs(F.col("a") - F.col("b"))).where(F.col("diff") > tolerance)

@@ -95,7 +95,7 @@ FLAG_WEIGHTS = [
     f"CASE WHEN {MISSING} > 0 THEN 15 ELSE 0 END",
 ]
 ALL = f"""
-al AS (SELECT va.*, mo.* EXCLUDE (ticker), tn.* EXCLUDE (ticker), sector, company_name FROM va LEFT JOIN mo USING (ticker) LEFT JOIN tn USING (ticker) LEFT JOIN companies USING (ticker)),
+al AS (SELECT ticker, va.* EXCLUDE (ticker), mo.* EXCLUDE (ticker), tn.* EXCLUDE (ticker), sector, company_name FROM va FULL JOIN mo USING (ticker) LEFT JOIN tn USING (ticker) LEFT JOIN companies USING (ticker)),
 rk0 AS (SELECT *, [{", ".join(FLAG_WEIGHTS)}] AS fw, {MISSING} AS n_missing FROM al),
 rk AS (SELECT *, CAST(least(100, list_sum(fw)) AS DOUBLE) AS risk_score, CAST(greatest(20, 100 - 20 * n_missing) AS DOUBLE) AS risk_confidence, len(list_filter(fw, lambda x: x > 0)) AS n_flags, coalesce(list_contains(fw, 50), FALSE) AS has_critical_flag FROM rk0),
 sb AS (
@@ -135,9 +135,9 @@ def _mom(spark, sf_dir):
 
 
 def bundle(spark, sf_dir):
-    """Everything known of each ticker, one row."""
+    """Everything known of each ticker that has bars or statements, one row."""
     mom = _mom(spark, sf_dir)
-    d = a.valuation(a.fundamentals(v.statements(spark, sf_dir)), mom).join(mom, "ticker", "left")
+    d = a.valuation(a.fundamentals(v.statements(spark, sf_dir)), mom).join(mom, "ticker", "full_outer")
     d = d.join(a.tone(v.disclosures(spark, sf_dir), v.lexicon(spark)), "ticker", "left").join(v.companies(spark, sf_dir).select("ticker", "sector", "company_name"), "ticker", "left")
     return a.reliability(a.scores(a.risk_flags(d)))
 

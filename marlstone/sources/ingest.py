@@ -61,6 +61,11 @@ def update(spark: SparkSession, store: DataFrame | None, universe: DataFrame, da
     return after, log
 
 
+def merged(store: DataFrame, new: DataFrame, universe: DataFrame) -> DataFrame:
+    """The store with the universe's new rows, which replace stored ones of their keys."""
+    return merge_bars(store, new.join(universe.select("ticker").distinct(), "ticker", "left_semi"))
+
+
 def carry_over(failed: list[datetime.date], last_success: datetime.date | None, latest: datetime.date | None, today: datetime.date, cap: int) -> list[datetime.date]:
     """Dates of the next run: failures first, then from the day after the later of both marks up to today, at most ``cap``."""
     start = max([d for d in (last_success, latest) if d is not None], default=today - datetime.timedelta(days=1)) + datetime.timedelta(days=1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +18,40 @@ class SourceError(RuntimeError):
     """A source that doesn't answer or isn't there."""
 
 
-PRICE = {"ticker": ("ticker", "code", "symbol"), "date": ("date", "trade_date"), "open": ("open",), "high": ("high",), "low": ("low",), "close": ("close", "close_price"), "volume": ("volume",), "adj_close": ("adj_close", "adjusted_close", "adjustment_close")}
-STATEMENT = {c: (c,) for c in ("ticker", "fiscal_year", "fiscal_period", "accounting_basis", "revenue", "operating_income", "net_income", "eps", "bps", "dividends_per_share", "shares_outstanding", "total_assets", "equity", "operating_cash_flow", "capital_expenditure")} | {"revenue": ("revenue", "net_sales", "sales"), "net_income": ("net_income", "profit")}
-COMPANY = {"ticker": ("ticker", "code", "symbol"), "company_name": ("company_name", "name"), "sector": ("sector", "industry"), "market": ("market", "exchange")}
+#: The headers under which a column may stand in users' files.
+PRICE = {
+    "ticker": ("ticker", "code", "symbol", "銘柄コード"),
+    "date": ("date", "trade_date", "日付"),
+    "open": ("open", "始値"),
+    "high": ("high", "高値"),
+    "low": ("low", "安値"),
+    "close": ("close", "close_price", "終値"),
+    "volume": ("volume", "vol", "出来高"),
+    "adj_close": ("adj_close", "adjusted_close", "adjclose", "adjustment_close", "調整後終値"),
+}
+STATEMENT = {
+    "ticker": ("ticker", "code", "symbol"),
+    "fiscal_year": ("fiscal_year", "year", "fy"),
+    "fiscal_period": ("fiscal_period", "period"),
+    "accounting_basis": ("accounting_basis", "basis"),
+    "revenue": ("revenue", "sales", "net_sales", "売上高"),
+    "operating_income": ("operating_income", "operating_profit", "営業利益"),
+    "net_income": ("net_income", "net_profit", "profit", "当期純利益"),
+    "eps": ("eps",),
+    "bps": ("bps",),
+    "dividends_per_share": ("dividends_per_share", "dps", "dividend"),
+    "shares_outstanding": ("shares_outstanding", "shares"),
+    "total_assets": ("total_assets", "総資産"),
+    "equity": ("equity", "net_assets", "shareholders_equity", "自己資本"),
+    "operating_cash_flow": ("operating_cash_flow", "ocf"),
+    "capital_expenditure": ("capital_expenditure", "capex"),
+}
+COMPANY = {
+    "ticker": ("ticker", "code", "symbol"),
+    "company_name": ("company_name", "name", "company", "社名"),
+    "sector": ("sector", "industry", "業種"),
+    "market": ("market", "exchange", "市場"),
+}
 TEXT = {"ticker", "fiscal_period", "accounting_basis", "company_name", "sector", "market"}
 
 
@@ -41,19 +71,49 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+def _json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """Rows of JSON files, of an object a line if ``lines``, else of a list or object a file; all values as text."""
+    return spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
+
+
+def _place() -> Column:
+    """Where a row stands: file, part of the file, and row of the part; in that order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+
+
+def _typed_columns(df: DataFrame, names) -> list[Column]:
+    return [F.nullif(F.trim(c), F.lit("")).alias(c) if c in TEXT else to_day(c).alias(c) if c == "date" else to_number(c).cast("int").alias(c) if c == "fiscal_year" else to_number(c).alias(c) for c in names]
+
+
 def _typed(df: DataFrame) -> DataFrame:
-    return df.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) if c in TEXT else to_day(c).alias(c) if c == "date" else to_number(c).cast("int").alias(c) if c == "fiscal_year" else to_number(c).alias(c) for c in df.columns])
+    return df.select(*_typed_columns(df, df.columns))
 
 
 def prices_csv(spark: SparkSession, path: str) -> DataFrame:
     """Bars; a row without ticker, date or close is an error."""
     df = _typed(resolved(_csv(spark, path), PRICE))
-    bad = df.where("ticker IS NULL OR date IS NULL OR close IS NULL").limit(3).collect()
-    if bad:
-        raise DataError(f"rows without ticker, date or close: {[r.asDict() for r in bad]}")
+    wrong = F.col("ticker").isNull() | F.col("date").isNull() | F.col("close").isNull()
+    if not df.where(wrong).isEmpty():
+        at = _numbered(_typed_with(_csv(spark, path).withColumn("__at", _place()), PRICE)).where(wrong).orderBy("line").limit(3).collect()
+        raise DataError(f"rows without ticker, date or close; the first are {[r['line'] for r in at]}")
     return df
 
 
+def _typed_with(raw: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Resolved and typed columns, and __at as it is."""
+    d = resolved(raw, names | {"__at": ("__at",)})
+    return d.select(*_typed_columns(d, names), "__at")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Adds ``line``, numbers from 1 in the files' order, from __at; what is ordered is a row for each part of a file."""
+    parts = df.groupBy("__at.file", "__at.part").agg(F.count("*").alias("n"), F.min("__at.row").alias("__low"))
+    w = Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("file").alias("__file"), F.col("part").alias("__part"), "__low", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    j = df.join(F.broadcast(parts), (F.col("__at.file") == F.col("__file")) & (F.col("__at.part") == F.col("__part")))
+    return j.withColumn("line", F.col("__before") + F.col("__at.row") - F.col("__low") + 1).drop("__at", "__file", "__part", "__low", "__before")
+
+
 def statements_csv(spark: SparkSession, path: str) -> DataFrame:
     df = _typed(resolved(_csv(spark, path), STATEMENT))
     if not df.where("ticker IS NULL").isEmpty():
@@ -62,9 +122,8 @@ def statements_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def companies_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata; of rows that repeat a ticker the last one of the file counts."""
-    raw = _csv(spark, path).withColumn("__seq", F.monotonically_increasing_id())  # grows with a file's lines
-    df = resolved(raw, COMPANY | {"seq": ("__seq",)})
+    """Metadata; of rows that repeat a ticker the last one counts, by the files' names and then their lines."""
+    df = resolved(_csv(spark, path).withColumn("__at", _place()), COMPANY | {"seq": ("__at",)})
     df = df.withColumn("k", F.row_number().over(Window.partitionBy(F.trim("ticker")).orderBy(F.desc("seq")))).where("k = 1 AND ticker IS NOT NULL")
     return _typed(df.select(*COMPANY))
 
@@ -81,9 +140,9 @@ def first_of(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def quotes_json(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+def quotes_json(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, *, lines: bool = False) -> DataFrame:
     """Vendor quotes; short field names count before long ones; dates can be bounded after mapping."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    df = _json(spark, path, lines)
     num = lambda *n: to_number(first_of(df, *n))
     out = df.select(code_four(first_of(df, "Code")).alias("ticker"), to_day(first_of(df, "Date")).alias("date"), num("O", "Open").alias("open"), num("H", "High").alias("high"), num("L", "Low").alias("low"), num("C", "Close").alias("close"), num("Vo", "Volume").alias("volume"), num("Va", "TurnoverValue").alias("turnover_value"), num("AdjFactor", "AdjustmentFactor").alias("adjustment_factor"), num("AdjC", "AdjustmentClose").alias("adj_close"))
     if first:
@@ -91,26 +150,97 @@ def quotes_json(spark: SparkSession, path: str, first: str | None = None, last:
     return out.where(F.col("date") <= F.to_date(F.lit(last))) if last else out
 
 
-def statements_json(spark: SparkSession, path: str) -> DataFrame:
+def statements_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Vendor statements, whose numbers are text; the year is that of the fiscal year's end, else of the period's."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    df = _json(spark, path, lines)
     num = lambda *n: to_number(first_of(df, *n))
     year = F.coalesce(F.year(to_day(first_of(df, "CurFYEn", "CurrentFiscalYearEndDate"))), F.year(to_day(first_of(df, "CurPerEn", "CurrentPeriodEndDate"))))
     return df.select(code_four(first_of(df, "Code", "LocalCode")).alias("ticker"), year.alias("fiscal_year"), first_of(df, "CurPerType", "TypeOfCurrentPeriod").alias("fiscal_period"), to_day(first_of(df, "DiscDate", "DisclosedDate")).alias("disclosure_date"), num("Sales", "NetSales").alias("revenue"), num("OP", "OperatingProfit").alias("operating_income"), num("NP", "Profit").alias("net_income"), num("EPS", "EarningsPerShare").alias("eps"), num("BPS", "BookValuePerShare").alias("bps"), num("TA", "TotalAssets").alias("total_assets"), num("Eq", "Equity").alias("equity"))
 
 
-def listed_json(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+def listed_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    df = _json(spark, path, lines)
     return df.select(code_four(first_of(df, "Code")).alias("ticker"), first_of(df, "CoName", "CompanyName").alias("company_name"), first_of(df, "S33Nm", "Sector33CodeName").alias("sector"), first_of(df, "MktNm", "MarketCodeName").alias("market"))
 
 
-def export_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of an export folder; of several of a ticker the latest by date, then id."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{path}/*/*.json")
-    df = df.select(code_four(first_of(df, "sec_code")).alias("ticker"), first_of(df, "doc_id").alias("doc_id"), to_day(first_of(df, "target_date")).alias("target_date"), first_of(df, "text").alias("text"), F.count("*").over(Window.partitionBy(first_of(df, "sec_code"))).alias("n"))
-    w = Window.partitionBy("ticker").orderBy(F.desc_nulls_last("target_date"), F.desc("doc_id"))
+def vendor_bars(raw: DataFrame) -> DataFrame:
+    """Canonical columns of raw vendor rows, a map ``fields`` of text: the first field that is there and not empty counts.
+
+    A row without date or code is an error. source_fields_json is the row
+    without fields whose names look like secrets.
+    """
+    first = lambda *names: F.get(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.try_element_at("fields", n)), lambda x: x != ""), F.lit(0))
+    yes_no = lambda c: F.when(c.isNull(), "").when(F.lower(F.trim(c)).isin("true", "t", "yes"), "1").when(F.lower(F.trim(c)).isin("false", "f", "no"), "0").otherwise(F.trim(c))
+    out = raw.select(
+        code_padded(first("Code", "LocalCode", "code", "ticker")).alias("ticker"), to_day(first("Date", "date")).alias("date"),
+        *[to_number(first(*names)).alias(c) for c, names in VENDOR_NUMBERS.items()],
+        *[yes_no(first(*names)).alias(c) for c, names in VENDOR_FLAGS.items()],
+        F.to_json(F.map_filter("fields", lambda k, x: x.isNotNull() & ~F.lower(k).rlike("api_key|apikey|secret|token"))).alias("source_fields_json"),
+    )
+    if not out.where("ticker IS NULL OR date IS NULL").isEmpty():
+        raise DataError("vendor rows without date or code")
+    return out
+
+
+#: A vendor's field names, the first that is there counts.
+VENDOR_NUMBERS = {
+    "adj_close": ("AdjC", "AdjClose", "AdjClosePrice", "AdjustmentClose"),
+    "turnover_value": ("Va", "TurnoverValue"),
+    "volume": ("Vo", "Volume"),
+    "adj_open": ("AdjO", "AdjOpen", "AdjustmentOpen"),
+    "adj_high": ("AdjH", "AdjHigh", "AdjustmentHigh"),
+    "adj_low": ("AdjL", "AdjLow", "AdjustmentLow"),
+    "adjustment_factor": ("AdjFactor", "AdjustmentFactor"),
+    "open": ("O", "Open"),
+    "high": ("H", "High"),
+    "low": ("L", "Low"),
+    "close": ("C", "Close"),
+    "adj_volume": ("AdjVo", "AdjVolume", "AdjustmentVolume"),
+}
+VENDOR_FLAGS = {"upper_limit_flag": ("UL", "UpperLimitFlag"), "lower_limit_flag": ("LL", "LowerLimitFlag")}
+
+
+def vendor_rows_json(spark: SparkSession, path: str, dates: list[str] | None = None, *, lines: bool = True) -> DataFrame:
+    """Raw rows with all their fields as a map, from a folder of JSON files, one or more for each date; ``dates`` picks files by their names."""
+    files = [f"{path}/*{d}*" for d in dates] if dates else [path]
+    text = spark.read.text(files, wholetext=not lines)
+    kind = "map<string,string>" if lines else "array<map<string,string>>"
+    rows = text.select(F.from_json("value", kind).alias("v"))
+    return rows.select(F.col("v").alias("fields")) if lines else rows.select(F.explode("v").alias("fields"))
+
+
+def export_dir(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Documents of an export folder; of several of a ticker the latest by date, then id.
+
+    If there is an index.json, only documents that it names count: by id, by
+    path, or by an object with either.
+    """
+    df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{path}/documents") if _exists(spark, f"{path}/documents") else _json(spark, f"{path}/*/*.json", lines)
+    df = df.select(code_four(first_of(df, "sec_code")).alias("ticker"), first_of(df, "doc_id").alias("doc_id"), to_day(first_of(df, "target_date")).alias("target_date"), first_of(df, "text").alias("text"))
+    if _exists(spark, f"{path}/index.json"):
+        index = spark.read.text(f"{path}/index.json", wholetext=not lines)
+        # Names are compared without their folders and ends.
+        names = index.select(F.explode(F.regexp_extract_all("value", F.lit(r'"(?:[^"\\\\]|\\\\.)*"'), F.lit(0))).alias("n")).select(F.regexp_replace(F.regexp_extract("n", r'([^"/]+)"$', 1), r"\.json$", "").alias("doc_id")).distinct()
+        df = df.join(names, "doc_id", "left_semi")
+    w = Window.partitionBy("ticker")
+    df = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc_nulls_last("target_date"), F.desc("doc_id"))))
     warning = F.when(F.col("n") > 1, F.array(F.lit("more than one document; the latest is used"))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("k", F.row_number().over(w)).where("k = 1").select("ticker", "doc_id", "target_date", F.coalesce("text", F.lit("")).alias("text"), warning.alias("warnings"))
+    return df.where("k = 1").select("ticker", "doc_id", "target_date", F.coalesce("text", F.lit("")).alias("text"), warning.alias("warnings"))
+
+
+def bundle_date(spark: SparkSession, path: str):
+    """The day of an export's index: its bundle date, else the latest document's; None if there is none."""
+    if _exists(spark, f"{path}/index.json"):
+        text = spark.read.text(f"{path}/index.json", wholetext=True).select(F.get_json_object("value", "$.disclosure_date").alias("a"), F.get_json_object("value", "$.target_date").alias("b"))
+        day = text.select(F.coalesce(to_day("a"), to_day("b")).alias("d")).first()["d"]
+        if day is not None:
+            return day
+    return export_dir(spark, path).agg(F.max("target_date")).first()[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def universe_file(spark: SparkSession, path: str) -> DataFrame:
@@ -148,8 +278,45 @@ def coverage_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def screening_json(spark: SparkSession, path: str) -> DataFrame:
+    """The screening rows of a report, each with its result's analysis date if the report has results."""
     df = spark.read.option("multiLine", True).json(path)
-    return df.select(F.explode("screening").alias("s")).select("s.*")
+    rows = df.select(F.explode("screening").alias("s")).select("s.*")
+    if "results" not in df.columns or "analysis_date" in rows.columns:
+        return rows
+    found = df.select(F.explode("results").alias("r")).select(F.col("r.ticker").alias("ticker"), to_day("r.analysis_date").alias("analysis_date"))
+    return rows.join(found.dropDuplicates(["ticker"]), "ticker", "left")
+
+
+def adv_csv(spark: SparkSession, path: str) -> DataFrame:
+    """ticker, adv: average daily values; a row without either is an error."""
+    df = resolved(_csv(spark, path), {"ticker": COMPANY["ticker"], "adv": ("adv", "average_daily_value")})
+    df = df.select(F.trim("ticker").alias("ticker"), to_number("adv").alias("adv"))
+    if not df.where("ticker IS NULL OR adv IS NULL").isEmpty():
+        raise DataError("rows without ticker or adv")
+    return df
+
+
+def disclosed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """ticker, disclosure_date: when a ticker's statements became known, the last line of each."""
+    df = resolved(_csv(spark, path).withColumn("__at", _place()), {"ticker": COMPANY["ticker"], "date": ("disclosure_date", "date"), "seq": ("__at",)})
+    w = Window.partitionBy(F.trim("ticker")).orderBy(F.desc("seq"))
+    return df.withColumn("k", F.row_number().over(w)).where("k = 1 AND ticker IS NOT NULL").select(F.trim("ticker").alias("ticker"), to_day("date").alias("disclosure_date"))
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet store by month as sinks.bar_store() writes it, or None if there is none yet."""
+    return spark.read.parquet(path).drop("month") if _exists(spark, path) else None
+
+
+def numeric_means(spark: SparkSession, path: str) -> DataFrame:
+    """name, mean of the CSV's columns of which every cell is a number."""
+    df = _csv(spark, path)
+    if not df.columns:
+        return spark.createDataFrame([], "name string, mean double")
+    x = {c: to_number(F.col(f"`{c}`")) for c in df.columns}
+    one = df.agg(*[F.when(F.count(v) == F.count("*"), F.avg(v)).alias(f"c{i}") for i, v in enumerate(x.values())])
+    pairs = ", ".join("'" + c.replace("'", "\\'") + f"', c{i}" for i, c in enumerate(x))
+    return one.select(F.expr(f"stack({len(x)}, {pairs}) AS (name, mean)")).where("mean IS NOT NULL")
 
 
 def series_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -161,16 +328,13 @@ def series_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON-lines ledger with their numbers; a line that is no JSON is an error."""
-    rows = [r["value"] for r in spark.read.text(path).orderBy(F.monotonically_increasing_id()).collect()]
-    out = []
-    for k, line in enumerate(rows, 1):
-        try:
-            e = json.loads(line)
-        except ValueError as err:
-            raise DataError(f"line {k} is no JSON") from err
-        out.append((k, e.get("entry_hash"), e.get("parent_hash"), json.dumps(e.get("body"), sort_keys=True)))
-    return spark.createDataFrame(out, "line int, entry_hash string, parent_hash string, body string")
+    """line, entry_hash, parent_hash, body of a JSON-lines ledger; a line that is no JSON is an error."""
+    rows = _numbered(spark.read.text(path).select("value", _place().alias("__at"))).where(F.length(F.trim("value")) > 0)
+    bad = rows.where(F.try_parse_json("value").isNull()).agg(F.min("line").alias("line")).first()["line"]
+    if bad is not None:
+        raise DataError(f"line {bad} is no JSON")
+    field = lambda n: F.get_json_object("value", f"$.{n}").alias(n)
+    return rows.select("line", field("entry_hash"), field("parent_hash"), field("body"))
 
 
 def rest_rows(fetch: Callable[[dict], dict], query: dict, key: str) -> Iterator[dict]:
@@ -197,7 +361,7 @@ def synthetic(spark: SparkSession, n_tickers: int = 12, n_days: int = 160, start
     return t.join(F.broadcast(days)).select("ticker", "date", close.alias("open"), (close * 1.01).alias("high"), (close * 0.99).alias("low"), close.alias("close"), F.lit(None).cast("double").alias("adj_close"), (1000 + F.col("i") * 10).cast("double").alias("volume"))
 
 
-READERS: dict[str, Callable] = {"prices": prices_csv, "statements": statements_csv, "companies": companies_csv, "texts": texts_dir, "quotes": quotes_json, "statements_json": statements_json, "listed": listed_json, "export": export_dir, "universe": universe_file, "store": bar_store, "coverage": coverage_csv, "screening": screening_json, "series": series_csv, "ledger": ledger}
+READERS: dict[str, Callable] = {"prices": prices_csv, "statements": statements_csv, "companies": companies_csv, "texts": texts_dir, "quotes": quotes_json, "statements_json": statements_json, "listed": listed_json, "export": export_dir, "universe": universe_file, "store": bar_store, "coverage": coverage_csv, "screening": screening_json, "series": series_csv, "ledger": ledger, "adv": adv_csv, "vendor": vendor_rows_json}
 #: Sources that are named but not served.
 STUBS = ("edinet", "tdnet", "news")
 

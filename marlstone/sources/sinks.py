@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.quality import dedup
@@ -25,11 +24,15 @@ def json_report(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def bar_store(df: DataFrame, path: str) -> None:
-    """A Parquet store by month; of rows that repeat a key the one that came last counts."""
-    d = dedup(df, ["ticker", "date"], ["seq"]).drop("seq") if "seq" in df.columns else df.dropDuplicates(["ticker", "date"])
-    month = F.date_format("date", "yyyy-MM")
-    d.withColumn("month", month).repartition("month").sortWithinPartitions("ticker", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def bar_store(df: DataFrame, path: str, buckets: int = 8) -> None:
+    """A Parquet store by month; of rows that repeat a key the one with the largest ``seq`` counts, or that came last in ``df``.
+
+    A month is written by up to ``buckets`` tasks, a ticker's rows by one.
+    """
+    seq = df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+    d = dedup(seq, ["ticker", "date"], ["seq"]).drop("seq").withColumn("month", F.date_format("date", "yyyy-MM"))
+    d = d.repartition("month", F.pmod(F.xxhash64("ticker"), F.lit(buckets))).sortWithinPartitions("month", "ticker", "date")
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def price_export(df: DataFrame, path: str, field: str = "close") -> None:
@@ -40,25 +43,57 @@ def price_export(df: DataFrame, path: str, field: str = "close") -> None:
     df.select("ticker", "date", text.alias("close")).orderBy("ticker", "date").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def table_markdown(rows: Iterable[dict], columns: list[str], title: str) -> str:
-    """A Markdown table of a report's rows."""
-    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows), "", "For research only; not financial advice.", ""])
-
-
-def ticker_reports(df: DataFrame, folder: str, limit: int = 5000) -> int:
-    """A Markdown report per ticker, of at most ``limit`` rows: reports are read by people."""
-    os.makedirs(folder, exist_ok=True)
-    rows = df.orderBy("rank").limit(limit).collect()
-    for r in rows:
-        d = r.asDict()
-        body = [f"# {d['ticker']} {d.get('company_name') or ''}".rstrip()]
-        for head, names in (("Scores", ("final_score", "score_confidence", "screening_score", "grade", "label", "rank")), ("Parts", ("quality_score", "growth_score", "valuation_score", "momentum_score", "disclosure_score")), ("Fundamentals", ("operating_margin", "roe", "equity_ratio", "revenue_growth_yoy")), ("Valuation", ("per", "pbr", "dividend_yield", "valuation_class")), ("Momentum", ("ret_3m", "ret_6m", "ret_12m", "volatility", "max_drawdown")), ("Risk", ("risk_score", "risk_confidence"))):
-            body += ["", f"## {head}", "", *(f"- {n}: {'not available' if d.get(n) is None else d[n]}" for n in names if n in d)]
-        with open(os.path.join(folder, f"{d['ticker']}.md"), "w") as f:
-            f.write("\n".join([*body, "", "For research only; not financial advice.", ""]))
-    return len(rows)
+DISCLAIMER = "For research only; not financial advice."
+
+
+def _cell(df: DataFrame, c: str) -> Column:
+    kind = dict(df.dtypes)[c]
+    value = F.format_string("%.4f", F.col(c).cast("double")) if kind in ("double", "float") or kind.startswith("decimal") else F.col(c).cast("string")
+    return F.when(F.col(c).isNull(), "").otherwise(value)
+
+
+def markdown_table(df: DataFrame, path: str, order: list[str], title: str) -> None:
+    """A report's rows as one Markdown file, in order."""
+    spark = df.sparkSession
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines = df.withColumn("__n", F.row_number().over(Window.orderBy(*order))).select(F.lit(1).alias("part"), "__n", F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(df, c) for c in df.columns]), F.lit(" |")).alias("value"))
+    frame = spark.createDataFrame([(0, k, x) for k, x in enumerate(head)] + [(2, k, x) for k, x in enumerate(["", DISCLAIMER])], "part int, __n int, value string")
+    lines.unionByName(frame).orderBy("part", "__n").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report(df: DataFrame, folder: str, name: str, order: list[str], title: str | None = None) -> None:
+    """A report of few rows as CSV, JSON and Markdown: folders ``name``_csv, _json and _md."""
+    ranked_csv(df, f"{folder}/{name}_csv", order)
+    json_report(df, f"{folder}/{name}_json", order)
+    markdown_table(df.select(*[c for c, k in df.dtypes if not k.startswith(("array", "struct", "map"))]), f"{folder}/{name}_md", order, title or name)
+
+
+#: Heads of a ticker's report and the columns below each.
+SECTIONS = (
+    ("Scores", ("final_score", "score_confidence", "screening_score", "grade", "label", "rank")),
+    ("Parts", ("quality_score", "growth_score", "valuation_score", "momentum_score", "disclosure_score")),
+    ("Fundamentals", ("operating_margin", "roe", "equity_ratio", "revenue_growth_yoy")),
+    ("Valuation", ("per", "pbr", "dividend_yield", "valuation_class")),
+    ("Momentum", ("ret_3m", "ret_6m", "ret_12m", "volatility", "max_drawdown")),
+    ("Risk", ("risk_score", "risk_confidence")),
+)
+
+
+def ticker_markdown(df: DataFrame) -> DataFrame:
+    """ticker, body: a Markdown report of each row."""
+    parts = [F.concat(F.lit("# "), F.col("ticker"), F.coalesce(F.concat(F.lit(" "), F.col("company_name")), F.lit("")) if "company_name" in df.columns else F.lit(""))]
+    for head, names in SECTIONS:
+        parts.append(F.lit(f"\n## {head}\n"))
+        for n in (n for n in names if n in df.columns):
+            parts.append(F.concat(F.lit(f"- {n}: "), F.when(F.col(n).isNull(), "not available").otherwise(_cell(df, n))))
+    if "warnings" in df.columns:
+        parts.append(F.when(F.size("warnings") > 0, F.concat(F.lit("\n## Warnings\n\n- "), F.array_join("warnings", "\n- "))))
+    return df.select("ticker", F.concat_ws("\n", *parts, F.lit(f"\n{DISCLAIMER}")).alias("body"))
+
+
+def ticker_reports(df: DataFrame, folder: str) -> None:
+    """A folder ticker=<code> with a Markdown file for every row, written by the tasks that have it."""
+    ticker_markdown(df).write.mode("overwrite").partitionBy("ticker").option("lineSep", "\n").text(folder)
 
 
 def json_file(value: object, path: str) -> None:
