@@ -82,7 +82,7 @@ def dataset(bars: DataFrame, statements: DataFrame, companies: DataFrame, texts:
             "revenue_growth_yoy": signed("revenue", "prior_revenue"), "net_income_growth_yoy": signed("net_income", "prior_net_income"),
         }
     )
-    labels = forward_returns(bars, dates, horizons, price="adj_close").select(*on, *[f"forward_return_h{h}" for h in horizons])
+    labels = forward_returns(bars, dates, horizons, price="adjusted_or_close").select(*on, *[f"forward_return_h{h}" for h in horizons])
     reason = F.when(F.col("basis").isNull(), "no_fundamentals").when(F.col("disclosure_date").isNull(), "disclosure_after_decision")
     if not include_non_consolidated:
         reason = reason.when(F.col("basis") == "non_consolidated", "non_consolidated_basis")

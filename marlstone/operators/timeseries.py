@@ -89,10 +89,16 @@ def forward_returns(bars: DataFrame, dates: DataFrame, horizons=(5, 20, 60), *,
     The base is the first bar strictly after the decision date; leads are
     taken once per bar, then each decision date picks its base by the least
     date after it. No range join: a bar's date tells between which decision
-    dates it and its predecessor lie.
+    dates it and its predecessor lie. With the price "adjusted_or_close" a
+    base and what follows it are adjusted if all these bars are, else not.
     """
     w = by_date()
-    b = bars.select("ticker", "date", F.col(price).alias("base_price"), F.lag("date").over(w).alias("before"), *[F.lead(price, h).over(w).alias(f"later_{h}") for h in horizons], *[F.lead("date", h).over(w).alias(f"date_{h}") for h in horizons])
+    value, lead = F.col(price) if price != "adjusted_or_close" else None, lambda h: F.lead(price, h).over(w)
+    if value is None:
+        on = w.rowsBetween(0, Window.unboundedFollowing)
+        whole = F.count("adj_close").over(on) == F.count("*").over(on)
+        value, lead = F.when(whole, F.col("adj_close")).otherwise(F.col("close")), lambda h: F.when(whole, F.lead("adj_close", h).over(w)).otherwise(F.lead("close", h).over(w))
+    b = bars.select("ticker", "date", value.alias("base_price"), F.lag("date").over(w).alias("before"), *[lead(h).alias(f"later_{h}") for h in horizons], *[F.lead("date", h).over(w).alias(f"date_{h}") for h in horizons])
     # Decision dates are a short list: each bar keeps those that lie from its predecessor's day up to the day before it.
     base = b.join(F.broadcast(dates), (F.col("decision_date") < F.col("date")) & (F.col("before").isNull() | (F.col("decision_date") >= F.col("before"))))
     good = F.col("base_price") > 0

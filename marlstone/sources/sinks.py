@@ -63,9 +63,10 @@ def markdown_table(df: DataFrame, path: str, order: list[str], title: str) -> No
 
 def report(df: DataFrame, folder: str, name: str, order: list[str], title: str | None = None) -> None:
     """A report of few rows as CSV, JSON and Markdown: folders ``name``_csv, _json and _md."""
-    ranked_csv(df, f"{folder}/{name}_csv", order)
+    flat = df.select(*[c for c, k in df.dtypes if not k.startswith(("array", "struct", "map"))])
+    ranked_csv(flat, f"{folder}/{name}_csv", order)
     json_report(df, f"{folder}/{name}_json", order)
-    markdown_table(df.select(*[c for c, k in df.dtypes if not k.startswith(("array", "struct", "map"))]), f"{folder}/{name}_md", order, title or name)
+    markdown_table(flat, f"{folder}/{name}_md", order, title or name)
 
 
 #: Heads of a ticker's report and the columns below each.
