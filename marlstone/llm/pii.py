@@ -38,9 +38,6 @@ KINDS = ("email", "ip", "card", "phone")
 EMPTY = "array<struct<kind:string,start:int,end:int,text:string,left:string,right:string>>"
 CONTEXT = 24
 
-#: Columns that these functions add.
-OWN = (*KINDS, "added", "proposed")
-
 #: In an email's domain a dot stands between two of these; elsewhere it counts as another sign of the local part.
 LOOSE_DOT = r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])"
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
@@ -387,7 +384,9 @@ def redact(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
     """
     if model is None:
         model = fit(docs)
-    df = spans(docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumnsRenamed({k: f"__own_{k}" for k in OWN if k in docs.columns}), model)
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}  # names that clash with none of these functions'
+    named = [F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in own.items()]
+    df = spans(docs.select(*named, F.coalesce("text", F.lit("")).alias("__t")), model)
     every = F.array_sort(F.concat(*KINDS, "added"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).otherwise(1))
     df = df.withColumn("__s", F.when(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") + F.size("added") > 0, every))
     # Where each span's text begins that no earlier span covers.
@@ -402,9 +401,8 @@ def redact(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
     df = df.withColumn("__z", F.arrays_zip(F.col("__s").alias("s"), F.slice("__from", 1, F.greatest(n, F.lit(0))).alias("f")))
     df = df.withColumn("__pieces", F.transform(F.transform("__z", lambda z: F.struct(z["s"].alias("s"), z["f"].alias("f"), F.substring(F.col("__t"), z["f"] + 1, F.greatest(z["s"]["start"] - z["f"], F.lit(0))).alias("gap"))), piece))
     rest = F.substring(F.col("__t"), F.element_at("__from", -1) + 1, F.length("__t"))
-    new = F.when(F.col("text").isNull(), None).when(F.col("__s").isNull(), F.col("text")).otherwise(F.concat(F.array_join("__pieces", ""), rest))
-    out = [new.alias(c) if c == "text" else F.col(f"__own_{c}").alias(c) if c in OWN else F.col(c) for c in docs.columns]
-    return df.select(*out)
+    new = F.when(F.col(own["text"]).isNull(), None).when(F.col("__s").isNull(), F.col(own["text"])).otherwise(F.concat(F.array_join("__pieces", ""), rest))
+    return df.select(*[new.alias(c) if c == "text" else F.col(k).alias(c) for c, k in own.items()])
 
 
 def _running_max(a: Column, block: int = 256) -> Column:
