@@ -9,15 +9,21 @@ from .common import drop, written
 
 #: A key that more than one row in so many has is frequent; there can be no more such keys than this.
 FREQUENT = 1000
+#: Rows (some 30 bytes each) up to which a table is small enough to be sent to all tasks whole.
+SMALL_ROWS = 200_000
 
 
 def by_key(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, which has each key once and in __n how many rows of ``big`` have it.
 
-    ``rows`` is the number of rows of ``big``. Keys that more than a
-    thousandth of them have, fewer than a thousand keys, are sent to all
-    tasks, so that no task gets all rows of one of them; the rest is shuffled.
+    ``rows`` is the number of rows of ``big``, and so at least that of
+    ``small``: up to ``SMALL_ROWS`` of them ``small`` is sent to all tasks.
+    Beyond that, keys that more than a thousandth of the rows have, fewer than
+    a thousand keys, are sent to all tasks, so that no task gets all rows of
+    one of them; the rest is shuffled.
     """
+    if rows <= SMALL_ROWS:
+        return big.join(F.broadcast(small.drop("__n")), key, how)
     often = small.where(F.col("__n") > rows // FREQUENT).drop("__n")
     rest = small.where(F.col("__n") <= rows // FREQUENT).drop("__n")
     hot = big.join(F.broadcast(often), key)
