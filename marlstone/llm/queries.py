@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, licenses, minhash, pii, sentencepiece_viterbi, token_files, toxicity
+from . import ann, decontaminate, filter_audit, html_text, langid, licenses, minhash, pii, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -58,10 +58,69 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_nearest_neighbours, op4_decontamination, op5_sentencepiece, op6_license_scan, op7_personal_data, op8_near_duplicates, op9_token_files, op10_language_id)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_html_extraction,
+        op3_nearest_neighbours,
+        op4_decontamination,
+        op5_sentencepiece,
+        op6_license_scan,
+        op7_personal_data,
+        op8_near_duplicates,
+        op9_token_files,
+        op10_language_id,
+        op13_filter_audit,
+    )
+}
 #: Words of a text in DuckDB, as a list.
 SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 ORACLE_SQL: dict[str, str] = {
+    "op13_filter_audit": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents),
+        f AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN least < doc_id THEN 'E' ELSE '' END AS fails
+            FROM t),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+        k AS (
+            SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        o AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o),
+        p AS (SELECT *, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM s),
+        r AS (
+            SELECT *, contains(fails, letter) AS here, translate(before, fails, '') <> before AS gone FROM k, p),
+        g AS (
+            SELECT part, filter_order, step, letter,
+                   sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN here AND NOT gone AND good = 1 THEN n ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN here AND NOT gone AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+            FROM r GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM g""",
     "op4_decontamination": f"""
         WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {SQL_WORDS} AS w FROM benchmark),
