@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, filter_audit, html_text, langid, licenses, minhash, pii, sentencepiece_viterbi, token_files, toxicity
+from . import ann, decontaminate, filter_audit, html_text, langid, licenses, minhash, periodic, pii, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -58,6 +60,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def planted(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of every tenth document (by a checksum of its id) repeat with a period from some place on."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(table(spark, sf_dir, "documents"), texts=False, change=planted))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +92,7 @@ QUERIES = {
         op8_near_duplicates,
         op9_token_files,
         op10_language_id,
+        op12_periodic_runs,
         op13_filter_audit,
     )
 }

@@ -28,8 +28,8 @@ def brute(rows, labels):
     out, f = {}, fails(rows)
     for part in {s or "" for _, _, s in rows}:
         mine = [(i, x) for (i, _, s), x in zip(rows, f) if (s or "") == part]
-        good = {i for i, q, _, _ in labels if q == 1}
-        toxic = {i for i, _, t, _ in labels if t == 1}
+        good = {i for i, q, _, _ in labels if q == 1 and i is not None}
+        toxic = {i for i, _, t, _ in labels if t == 1 and i is not None}
         total = collections.Counter()
         for order in itertools.permutations("ABCDE"):
             left = mine
