@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, filter_audit, html_text, langid, licenses, minhash, periodic, pii, sentencepiece_viterbi, token_files, toxicity
+from . import ann, bpe, decontaminate, filter_audit, html_text, langid, licenses, minhash, periodic, pii, sentencepiece_viterbi, token_files, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -60,6 +60,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def planted(doc_id: int | None, words: list[str]) -> list[str]:
     """The words of every tenth document (by a checksum of its id) repeat with a period from some place on."""
     h = zlib.crc32(str(doc_id).encode())
@@ -92,6 +98,7 @@ QUERIES = {
         op8_near_duplicates,
         op9_token_files,
         op10_language_id,
+        op11_bpe,
         op12_periodic_runs,
         op13_filter_audit,
     )
