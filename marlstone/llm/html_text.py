@@ -3,7 +3,9 @@
 A page becomes blocks of text, each with its length, its share of text in
 links and its share of stop words. The first pass calls a block good, bad or,
 if it is too short to tell, short. The second pass gives short blocks the
-label of the nearest decided neighbours. Elements that never hold main text
+label of the nearest decided neighbours. Where no block has stop words, the
+page is in a language that the list lacks: length and links decide alone.
+Elements that never hold main text
 (menus, headers, footers, sidebars, forms, scripts, adverts, notices,
 comments) are left out before; where the page marks its article, blocks
 outside it are bad and those inside need no stop words to be good.
@@ -32,13 +34,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Last words of names in class, id or role that mark what isn't main text.
 BOILER = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets cookie cookies consent gdpr notice notices popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments disqus respond reply replies complementary contentinfo search toolbar pagination pager hidden".split())
 #: Words that may follow such a word in a name, as in "related-posts".
-CARRIERS = frozenset("area bar block blocks bottom box button buttons card cards container content form group inner item items label left link links list main message module panel post posts region right row section slot text title top unit wrap wrapper zone".split())
+CARRIERS = frozenset("area bar block blocks body bottom box button buttons card cards container content form group info inner item items label law left link links list main message meta module panel policy post posts primary region right row secondary section settings slot stories text thread title top unit wrap wrapper zone".split())
 #: Words before such a word that turn it round, as in "has-sidebar".
 DENIED = frozenset("has is no non not with without anti".split())
 #: Such words say little beside a word for the main text, as in "article-header".
 WEAK = frozenset("header banner masthead widget pagination pager search login toolbar share sharing social hidden".split())
-#: Names of an article's class that say it is a reader's.
+#: Names of an article's class that say it is a reader's, or leads to another article.
 READERS = frozenset("comment comments reply replies".split())
+TEASERS = READERS | frozenset("related recommended promo promos promoted sponsor sponsored teaser teasers advert advertisement".split())
+#: Words that mark what isn't main text wherever they stand in a name, unless a word for the main text ends it.
+STRONG = READERS | frozenset("related recommended sidebar nav navbar navigation breadcrumb breadcrumbs footer advert adverts advertisement advertisements advertising adsense sponsor sponsored newsletter disqus pagination".split())
+LEADING = READERS | frozenset("related recommended".split())
+#: Words after such a word that turn it round, as in "ad-free".
+REFUTED = frozenset("free less off".split())
+#: Names of services that place adverts.
+PLACERS = frozenset("adsbygoogle doubleclick googleads outbrain taboola".split())
+#: What is written together with such a word, as in "commentlist" or "pagefooter".
+BEFORE, AFTER = "site page main left right top bottom sub global".split(), "list box area form wrapper container section thread left right bar block menu".split()
 #: Words in class or id that mark the main text.
 MAIN = frozenset("article main content post entry story body maincontent articlebody".split())
 #: Frequent short words of English, French, German and Spanish.
@@ -48,13 +60,16 @@ STOP = frozenset(
     "als am auch auf aus bei das dass dem den der die ein eine einem einen einer es für hat ich im ist mit nach nicht sich sie sind so um und von war wie wird zu zum zur "
     "al como con del el ella era esta este fue ha hay las lo los me mi muy no nos para pero por sin su sus también una uno y ya".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)|[^<]+|<", re.S)
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/]+)")
 NAMES = re.compile(r"[a-z0-9]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no spaces between words.
+WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 
 
 @dataclass
@@ -64,22 +79,38 @@ class Block:
     inside: bool
     heading: bool
     listed: bool
+    article: int = 0
     label: str = field(default="")
 
 
+COMPOUNDS = {a + b: [a, b] for w in BOILER if len(w) > 5 for a, b in [*((w, x) for x in AFTER), *((x, w) for x in BEFORE)]}
+
+
 def _names(value: str) -> list[list[str]]:
-    """The words of each name of a class or id: "site-header", "siteHeader" and "site_header" have two."""
-    return [NAMES.findall(HUMP.sub("-", n).lower()) for n in value.split()]
+    """The words of each name of a class or id: "site-header", "siteHeader", "site_header" and "siteheader" have two."""
+    return [[x for w in NAMES.findall(HUMP.sub("-", n).lower()) for x in COMPOUNDS.get(w, (w,))] for n in value.split()]
 
 
-def _unwanted(name: list[str]) -> bool:
-    """Whether a name stands for what isn't main text: such a word ends it, or only words for a holder follow one."""
-    if not name or name[0] in DENIED:
-        return False
+def _bare(name: list[str]) -> str:
+    """A name's last word that isn't one for a holder."""
     k = len(name)
     while k > 1 and (name[k - 1] in CARRIERS or name[k - 1].isdigit()) and name[k - 1] not in BOILER:
         k -= 1
-    return name[k - 1] in BOILER
+    return name[k - 1]
+
+
+def _unwanted(name: list[str]) -> bool:
+    """Whether a name stands for what isn't main text.
+
+    Such a word ends it, or only words for a holder follow one; or a strong
+    one stands anywhere before a last word that isn't one for the main text;
+    readers' words and those that lead elsewhere count before such a word too.
+    """
+    if not name or name[0] in DENIED or name[-1] in REFUTED:
+        return False
+    if not LEADING.isdisjoint(name):
+        return True
+    return _bare(name) in BOILER or not PLACERS.isdisjoint(name) or name[-1] not in MAIN and not STRONG.isdisjoint(name)
 
 
 def _is_boiler(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -95,7 +126,7 @@ def _is_boiler(tag: str, attrs: str) -> tuple[bool, bool]:
             names = _names(value)
             words = {w for n in names for w in n}
             if tag == "article":
-                drop |= any(n and n[-1] in READERS for n in names)
+                drop |= any(n and n[0] not in DENIED and _bare(n) in TEASERS for n in names)
             elif tag not in ROOTS:
                 marked = bool(words & MAIN)
                 drop |= any(_unwanted(n) and not (marked and set(n) & BOILER <= WEAK) for n in names)
@@ -116,6 +147,8 @@ class _Open:
         self.blocks: list[int] = []
         self.scopes: list[int] = []
         self.dropped = self.inside = self.links = self.heads = self.items = 0
+        self.articles: list[int] = [0]  # numbers of the open article elements
+        self.known = 0
 
     def push(self, tag: str, drop: bool, main: bool) -> None:
         k = len(self.stack)
@@ -125,6 +158,9 @@ class _Open:
             self.blocks.append(k)
         if tag in SCOPES:
             self.scopes.append(k)
+        if tag == "article":
+            self.known += 1
+            self.articles.append(self.known)
         self._count(tag, drop, main, 1)
 
     def _count(self, tag: str, drop: bool, main: bool, n: int) -> None:
@@ -142,6 +178,8 @@ class _Open:
                 self.blocks.pop()
             if tag in SCOPES:
                 self.scopes.pop()
+            if tag == "article":
+                self.articles.pop()
             self._count(tag, drop, main, -1)
 
     def last(self, tag: str) -> int:
@@ -168,23 +206,37 @@ def blocks_of(page: str) -> list[Block]:
     linked = 0
     el = _Open()
     at, n = 0, len(page)
+    loose = 0  # up to here tags end at the next ">", quoted or not
 
     def close() -> None:
         nonlocal linked
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, el.inside > 0, el.heads > 0, el.items > 0))
+                out.append(Block(text, linked, el.inside > 0, el.heads > 0, el.items > 0, el.articles[-1]))
             parts.clear()
             linked = 0
 
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
-        tag = m[3]
+        tag, attrs = m[3], ""
+        if tag is not None:
+            end = -1
+            if at >= loose:
+                end = INSIDE.match(page, at).end()
+                if end < n and page[end] != ">":  # a quote that nothing closes: it is the last of its sign, so this happens twice at most
+                    loose, end = end, -1
+            if end < 0:
+                end = page.find(">", at)
+                if end < 0:  # no tag ends any more
+                    tag, loose, at = None, n, n
+                    m = re.compile(".*", re.S).match(page, m.start())
+            if tag is not None:
+                attrs, at = page[at:end], end + 1
         if tag is None:
-            text = m[0] if m[1] is None else entities.escape(m[1])
-            if el.dropped or (m[1] is None and text[:2] in ("<!", "<?")):
+            text = entities.unescape(m[0]) if m.re is not TOKEN or m[1] is None else m[1]
+            if el.dropped or m[0][:2] in ("<!", "<?") and m[0][:9] != "<![CDATA[":
                 continue
             parts.append(text)
             if el.links:
@@ -202,9 +254,9 @@ def blocks_of(page: str) -> list[Block]:
             el.end_within_scope("p")  # a new block ends an open paragraph
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             el.end_within_scope(tag)
-        if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
+        if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
-        drop, main = _is_boiler(tag, m[4])
+        drop, main = _is_boiler(tag, attrs)
         if tag == "header" and not el.inside:
             drop = True
         if tag in RAW:
@@ -220,27 +272,47 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table div article section main body td th blockquote aside nav footer header form".split())
 
 
+def _teasers(blocks: list[Block], link_limit: float) -> set[int]:
+    """Articles that are mostly links, beside one that isn't and is longer."""
+    size: dict[int, list[int]] = {}
+    for b in blocks:
+        if b.article:
+            s = size.setdefault(b.article, [0, 0])
+            s[0] += len(b.text)
+            s[1] += b.linked
+    longest = max((n for n, linked in size.values() if linked <= link_limit * n), default=0)
+    return {k for k, (n, linked) in size.items() if 2 * linked > n and longest > n}
+
+
 def classify(blocks: list[Block], *, short: int = 60, long: int = 180, stop_low: float = 0.10, stop_high: float = 0.20, link_limit: float = 0.33) -> None:
-    """Label every block good or bad. Lengths are in characters."""
+    """Label every block good or bad. Lengths are in characters; one of a script without spaces counts three times."""
     marked = any(b.inside for b in blocks)
+    teasers = _teasers(blocks, link_limit)
+    measured = []
     for b in blocks:
         words = LETTERS.findall(b.text.lower())
         stops = sum(w in STOP for w in words) / max(1, len(words))
-        density = b.linked / max(1, len(b.text))
-        if marked and not b.inside or density > link_limit and (b.listed or not marked):
+        measured.append((stops, b.linked / max(1, len(b.text)), len(b.text) + 2 * len(WIDE.findall(b.text))))
+    # The list has words of this page's language if a block of some length says so.
+    listed = any(stops >= stop_low and size >= short and density <= link_limit for stops, density, size in measured)
+    for b, (stops, density, size) in zip(blocks, measured):
+        if marked and not b.inside or b.article in teasers or density > link_limit and (b.listed or not marked):
             # Inside a marked article links speak against lists alone.
             b.label = "bad"
         elif marked:
             # Inside a marked article a block of some length needs no stop words.
-            b.label = "good" if len(b.text) > short else "short"
-        elif len(b.text) < short or b.heading:
+            b.label = "good" if size > short else "short"
+        elif size < short or b.heading:
             b.label = "short"
-        elif stops >= stop_high:
-            b.label = "good" if len(b.text) > long else "near"
+        elif not listed or stops >= stop_high:
+            b.label = "good" if size > long else "near"
         elif stops >= stop_low:
             b.label = "near"
         else:
             b.label = "bad"
+    if not any(b.label == "good" for b in blocks):
+        for b in blocks:  # the nearest to main text that there is
+            b.label = "good" if b.label == "near" else b.label
     decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
     if not decided:  # nothing but short blocks: they are the page's text
         for b in blocks:

@@ -78,3 +78,66 @@ def test_hostile_pages_take_linear_time():
     for page in pages:
         blocks_of(page)
     assert time.process_time() - began < 30
+
+
+MENU = "<div id=menu><a href=1>Home</a> <a href=2>News</a> <a href=3>About</a></div>"
+#: Prose in languages of which no stop words are listed; none of it comes from anywhere.
+FOREIGN = {
+    "ja": "この町には古い橋があり、毎朝多くの人が川を渡って市場へ向かいます。春になると桜の木が岸辺を飾り、子どもたちは学校の帰りに花びらを集めます。橋のたもとには小さな茶屋があって、旅人はそこで休みながら川の流れを眺めます。" * 3,
+    "it": "Ogni mattina il mercato del paese apre prima dell'alba, quando gli agricoltori scaricano cassette di frutta e verdura. Gli anziani arrivano presto, scelgono con calma e discutono dei prezzi, mentre i bambini corrono tra i banchi. " * 2,
+    "sk": "Každé ráno prichádzajú ľudia na námestie, kde predavači ukladajú ovocie, zeleninu a čerstvý chlieb. Starší susedia sa zastavia pri studni, rozprávajú o počasí a potom pokračujú domov cez úzke uličky. " * 2,
+    "fi": "Aamulla torille saapuu väkeä kaikista kylistä, ja kauppiaat asettelevat marjoja, kalaa sekä tuoretta leipää pöydille. Lapset juoksevat rannalle katsomaan laivoja ennen kuin koulu alkaa. " * 2,
+    "pl": "Każdego ranka mieszkańcy przychodzą na rynek, gdzie sprzedawcy układają owoce, warzywa oraz świeży chleb. Starsi sąsiedzi zatrzymują się przy studni, rozmawiają i wracają wąskimi uliczkami. " * 2,
+    "ru": "Каждое утро жители приходят на рынок, где продавцы раскладывают фрукты, овощи и свежий хлеб. Пожилые соседи останавливаются у колодца, беседуют о погоде и возвращаются домой. " * 2,
+    "tr": "Her sabah kasabalılar pazara gelir, satıcılar meyveleri, sebzeleri ve taze ekmekleri dizer. Yaşlı komşular kuyunun yanında durup havadan konuşur, sonra dar sokaklardan evlerine döner. " * 2,
+    "ko": "매일 아침 마을 사람들은 시장에 모이고 상인들은 과일과 채소를 진열한다. 노인들은 우물가에서 이야기를 나누고 아이들은 골목을 뛰어다닌다. " * 4,
+    "el": "Κάθε πρωί οι κάτοικοι έρχονται στην αγορά, όπου οι έμποροι απλώνουν φρούτα, λαχανικά και φρέσκο ψωμί. Οι γείτονες στέκονται στο πηγάδι και μιλούν για τον καιρό. " * 2,
+    "hu": "Minden reggel emberek érkeznek a piacra, ahol az árusok gyümölcsöt, zöldséget és friss kenyeret raknak ki. Az idősebb szomszédok megállnak a kútnál, beszélgetnek, majd hazamennek. " * 2,
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_pages_without_listed_stop_words_keep_their_text(lang):
+    text = " ".join(FOREIGN[lang].split())
+    page = f"<html><body>{MENU}<div class=page><h1>{text[:20]}</h1><p>{text}</p></div><div><a href=1>{text[:70]}</a></div><footer>{text[:90]}</footer></body></html>"
+    assert main_text(page) == f"{text[:20].strip()} {text}"
+    short = text[:70].strip()
+    assert main_text(f"<body>{MENU}<p>{short}</p></body>") == short
+
+
+@pytest.mark.parametrize("name", "comment-body comment-thread comment-meta commentlist comments-area comment_content adsbygoogle outbrain cookie-law-info sidebar-primary sidebar-secondary related-stories related-article commentBox pagefooter leftsidebar mainNavigation newsletter-cta-foo".split())
+def test_such_names_are_not_main_text(name):
+    for page in (f"<article><p>{T}</p><div class='{name}'><p>{S}</p></div></article>", f"<body><div><p>{T * 3}</p></div><div id='{name}'><p>{S * 3}</p></div></body>"):
+        assert S not in main_text(page) and T in main_text(page)
+
+
+@pytest.mark.parametrize("name", "commentary headerless ad-free no-comments adsorption sidebar-free has-newsletter main-content post-body entry-meta story-text".split())
+def test_such_names_are_kept(name):
+    assert main_text(f"<article><p>{T}</p><div class='{name}'><p>{S}</p></div></article>") == f"{T} {S}"
+
+
+def test_articles_that_lead_elsewhere():
+    for other in (f"<article class='related'><p>{S}</p></article>", f"<article class='post teaser'><p>{S}</p></article>", f"<article><h2><a href=1>{S}</a></h2></article>" * 3, f"<article class='comment-body'><p>{S}</p></article>"):
+        assert main_text(f"<main><article><p>{T}</p><p>{T}</p>{other}</article></main>") == f"{T} {T}"
+        assert main_text(f"<main><article><p>{T}</p><p>{T}</p></article>{other}</main>") == f"{T} {T}"
+
+
+def test_references_are_decoded_within_a_piece_of_text():
+    assert main_text(f"<article><p>{T} &am<b>p;</b> &amp;amp; &lt;b&gt;</p></article>") == f"{T} &amp; &amp; <b>"
+    assert main_text(f"<article><p>{T} <![CDATA[a &amp; b]]></p></article>") == f"{T} a &amp; b"
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a '", "<a \"'>", '<a ">', "<a \"'>x</a>", "<p class='x\"'>y\"", "<a href=\"x'>\""])
+def test_quotes_that_do_not_close_take_linear_time(unit):
+    def seconds(n):
+        t = time.perf_counter()
+        main_text(unit * n + "'")
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert min(seconds(64_000) for _ in range(2)) < 40 * max(0.02, min(seconds(4_000) for _ in range(2)))
+
+
+def test_an_open_quote_loses_no_text():
+    assert main_text(f'<article><p>{T}</p><p class="x>{S}</p></article>') == f"{T} {S}"
+    assert T in main_text(f"<article><p>{T}</p></article><a '")
