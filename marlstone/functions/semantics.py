@@ -149,6 +149,27 @@ def to_day(c: Column | str) -> Column:
     return F.coalesce(*parsed)
 
 
+def _step(name: str) -> str:
+    """A field's name as a step of a path, whatever signs are in it (but a quote and a bracket together)."""
+    return f"['{name}']" if '"' in name else f'["{name}"]'
+
+
+def variant_field(v: Column | str, path: str, kind: str = "string") -> Column:
+    """A field of a VARIANT by its dotted path, as ``kind``; NULL if it isn't there or isn't of that kind."""
+    return F.try_variant_get(col(v), "$" + "".join(map(_step, path.split("."))), kind)
+
+
+def variant_text(v: Column | str, *names: str) -> Column:
+    """The first of several fields of a VARIANT that is there and not blank, as text without spaces around."""
+    found = [F.nullif(F.trim(F.try_variant_get(col(v), "$" + _step(n), "string")), F.lit("")) for n in names]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
+
+
+def canonical_json(c: Column | str) -> Column:
+    """JSON text with sorted keys and no spaces; NULL if it is no JSON."""
+    return F.to_json(F.try_parse_json(col(c)))
+
+
 def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(c), r"[.。\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 

@@ -112,8 +112,8 @@ def vendor_bar_rows(spark, sf_dir):
     b = v.bars(spark, sf_dir).withColumn("r", F.col("ticker").cast("long") % 4)
     pick = lambda *x: F.when(F.col("r") == 0, x[0]).when(F.col("r") == 1, x[1]).when(F.col("r") == 2, x[2]).otherwise(x[3])
     fields = {"Code": F.concat("ticker", F.lit("0")), "Date": F.date_format("date", "yyyy/MM/dd"), "O": F.lit(""), "Open": F.col("open").cast("string"), "C": F.col("close").cast("string"), "Vo": F.format_number("volume", 1), "UL": pick("True", "no", "", "2"), "LL": pick("f", "YES", "", "x"), "api_key": F.lit("hidden")}
-    raw = b.select(F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values())).alias("fields"))
-    d = readers.vendor_bars(raw)
+    raw = b.select(F.to_json(F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values()))).alias("value"))
+    d = readers.vendor_bars(readers.vendor_rows(raw))
     clean = ~F.lower("source_fields_json").contains("hidden") & F.col("source_fields_json").contains("Code")
     return _places(d, "open", "close").select("ticker", "date", "open", "close", "volume", "upper_limit_flag", "lower_limit_flag", clean.alias("clean"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exchange, kernels, models, screening, series, stream  # noqa: F401
+from . import exchange, kernels, models, screening, series, stream, vendor  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "daily_bar_features"

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import code_four, code_padded, code_suffixed, to_day, to_number
+from ..functions.semantics import code_four, code_padded, code_suffixed, col, to_day, to_number, variant_text
 
 
 class DataError(ValueError):
@@ -163,23 +163,33 @@ def listed_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataF
     return df.select(code_four(first_of(df, "Code")).alias("ticker"), first_of(df, "CoName", "CompanyName").alias("company_name"), first_of(df, "S33Nm", "Sector33CodeName").alias("sector"), first_of(df, "MktNm", "MarketCodeName").alias("market"))
 
 
+#: Parts of field names whose values are secret.
+SECRET_FIELD = "api_key|apikey|secret|token"
+
+
+def without_secrets(fields: Column | str) -> Column:
+    """A VARIANT object without fields whose names look like secrets, and without nulls."""
+    parts = F.map_filter(col(fields).cast("map<string,variant>"), lambda k, x: x.isNotNull() & ~F.is_variant_null(x) & ~F.lower(k).rlike(SECRET_FIELD))
+    return F.to_variant_object(parts)
+
+
 def vendor_bars(raw: DataFrame) -> DataFrame:
-    """Canonical columns of raw vendor rows, a map ``fields`` of text: the first field that is there and not empty counts.
+    """Canonical columns of raw vendor rows, a VARIANT ``fields``: the first field that is there and not empty counts.
 
-    A row without date or code is an error. source_fields_json is the row
-    without fields whose names look like secrets.
+    A row without date or code is an error. source_fields_json is the row,
+    its keys sorted, without fields whose names look like secrets.
     """
-    first = lambda *names: F.get(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.try_element_at("fields", n)), lambda x: x != ""), F.lit(0))
-    yes_no = lambda c: F.when(c.isNull(), "").when(F.lower(F.trim(c)).isin("true", "t", "yes"), "1").when(F.lower(F.trim(c)).isin("false", "f", "no"), "0").otherwise(F.trim(c))
-    out = raw.select(
-        code_padded(first("Code", "LocalCode", "code", "ticker")).alias("ticker"), to_day(first("Date", "date")).alias("date"),
+    first = lambda *names: variant_text("fields", *names)
+    yes_no = lambda c: F.when(c.isNull(), "").when(F.lower(c).isin("true", "t", "yes"), "1").when(F.lower(c).isin("false", "f", "no"), "0").otherwise(c)
+    code, day = first("Code", "LocalCode", "code", "ticker"), first("Date", "date")
+    # The check is part of the plan: the rows are read once.
+    sure = lambda c: F.when(code.isNull() | to_day(day).isNull(), F.raise_error(F.lit("vendor rows without date or code"))).otherwise(c)
+    return raw.select(
+        sure(code_padded(code)).alias("ticker"), to_day(day).alias("date"),
         *[to_number(first(*names)).alias(c) for c, names in VENDOR_NUMBERS.items()],
         *[yes_no(first(*names)).alias(c) for c, names in VENDOR_FLAGS.items()],
-        F.to_json(F.map_filter("fields", lambda k, x: x.isNotNull() & ~F.lower(k).rlike("api_key|apikey|secret|token"))).alias("source_fields_json"),
+        F.to_json(without_secrets("fields")).alias("source_fields_json"),
     )
-    if not out.where("ticker IS NULL OR date IS NULL").isEmpty():
-        raise DataError("vendor rows without date or code")
-    return out
 
 
 #: A vendor's field names, the first that is there counts.
@@ -200,27 +210,48 @@ VENDOR_NUMBERS = {
 VENDOR_FLAGS = {"upper_limit_flag": ("UL", "UpperLimitFlag"), "lower_limit_flag": ("LL", "LowerLimitFlag")}
 
 
+def vendor_rows(text: DataFrame, column: str = "value") -> DataFrame:
+    """``fields``, a VARIANT for each row: ``column`` holds an object, or a list of them. Text that is neither is an error."""
+    v = text.select(F.parse_json(column).alias("v"))
+    one = F.array("v")
+    rows = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), one)
+    return v.where("v IS NOT NULL").select(F.explode(rows).alias("fields"))
+
+
 def vendor_rows_json(spark: SparkSession, path: str, dates: list[str] | None = None, *, lines: bool = True) -> DataFrame:
-    """Raw rows with all their fields as a map, from a folder of JSON files, one or more for each date; ``dates`` picks files by their names."""
+    """Raw rows with all their fields as a VARIANT, from a folder of JSON files, one or more for each date; ``dates`` picks files by their names."""
     files = [f"{path}/*{d}*" for d in dates] if dates else [path]
-    text = spark.read.text(files, wholetext=not lines)
-    kind = "map<string,string>" if lines else "array<map<string,string>>"
-    rows = text.select(F.from_json("value", kind).alias("v"))
-    return rows.select(F.col("v").alias("fields")) if lines else rows.select(F.explode("v").alias("fields"))
+    return vendor_rows(spark.read.text(files, wholetext=not lines))
+
+
+def index_names(index: DataFrame) -> DataFrame:
+    """doc_id of each entry of an index: a list, or an object with a list ``documents``, of paths or of objects with ``path`` or ``doc_id``.
+
+    ``index`` has the text in ``value``: the whole list or object, or an entry
+    a line. Paths count without their folders and ends. An entry that names
+    nothing is an error.
+    """
+    v = index.where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
+    every = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.documents", "array<variant>"), F.array("v"))
+    e = v.select(F.explode(every).alias("e"))
+    alone = F.when(F.schema_of_variant("e") == "STRING", F.try_variant_get("e", "$", "string"))
+    named = F.coalesce(alone, variant_text("e", "path"), variant_text("e", "doc_id"))
+    name = F.regexp_replace(F.element_at(F.split(named, "/"), -1), r"\.json$", "")
+    return e.select(F.coalesce(name, F.raise_error(F.lit("an index entry names no document"))).alias("doc_id")).distinct()
 
 
 def export_dir(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Documents of an export folder; of several of a ticker the latest by date, then id.
 
     If there is an index.json, only documents that it names count: by id, by
-    path, or by an object with either.
+    path, or by an object with either, in a list of its own or one that the
+    index has as ``documents``.
     """
     df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{path}/documents") if _exists(spark, f"{path}/documents") else _json(spark, f"{path}/*/*.json", lines)
     df = df.select(code_four(first_of(df, "sec_code")).alias("ticker"), first_of(df, "doc_id").alias("doc_id"), to_day(first_of(df, "target_date")).alias("target_date"), first_of(df, "text").alias("text"))
     if _exists(spark, f"{path}/index.json"):
         index = spark.read.text(f"{path}/index.json", wholetext=not lines)
-        # Names are compared without their folders and ends.
-        names = index.select(F.explode(F.regexp_extract_all("value", F.lit(r'"(?:[^"\\\\]|\\\\.)*"'), F.lit(0))).alias("n")).select(F.regexp_replace(F.regexp_extract("n", r'([^"/]+)"$', 1), r"\.json$", "").alias("doc_id")).distinct()
+        names = index_names(index)
         df = df.join(names, "doc_id", "left_semi")
     w = Window.partitionBy("ticker")
     df = df.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc_nulls_last("target_date"), F.desc("doc_id"))))
