@@ -32,8 +32,8 @@ LEAST_WORDS, LEAST_PERIODS = 24, 3
 FIRST = 16
 #: Words of a tile between its overlaps, for periods that are small against it.
 TILE = 1 << 15
-#: Codes that leave a task's memory at once.
-HELD = 1 << 21
+#: Codes and words that go on to be solved at once.
+HELD = 1 << 18
 
 
 def octaves(n: int) -> Iterator[tuple[int, int]]:
@@ -160,10 +160,17 @@ def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
 
+def _some(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches small enough to be Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _explode(change: Callable[[int | None, list[str]], list[str]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, rows, size = TaskContext.get().partitionId() << 33, [], 0
-        for b in batches:
+        for b in _some(batches):
             for doc, text in zip(*[c.to_pylist() for c in b.columns]):
                 words = WORDS.findall(text or "")
                 words = change(doc, words) if change else words
@@ -179,6 +186,9 @@ def _explode(change: Callable[[int | None, list[str]], list[str]] | None):
                 rows.append((row, doc, len(words), " ".join(words), *[None] * 6))
                 size += len(words)
                 row += 1
+                if size > HELD:
+                    yield _batch(rows, TILE_FIELDS)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows, TILE_FIELDS)
 
@@ -188,7 +198,7 @@ def _explode(change: Callable[[int | None, list[str]], list[str]] | None):
 def _solve(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = -1
-        for b in batches:
+        for b in _some(batches):
             out = []
             for row, doc, n, text, lo, hi, base, first, last, codes in zip(*[c.to_pylist() for c in b.columns]):
                 if codes is None:
@@ -217,7 +227,7 @@ def stitched(fragments: DataFrame) -> DataFrame:
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text without the words that a run holds after its first period."""
-    for b in batches:
+    for b in _some(batches):
         out = []
         for text, runs in zip(b["text"].to_pylist(), b["runs"].to_pylist()):
             words = text.split(" ")
@@ -245,12 +255,13 @@ def find(docs: DataFrame, *, texts: bool = True, change: Callable[[int | None, l
     Texts are worked on whole, in time that goes with their length and its
     logarithm. Further columns, of any name, are ignored.
 
-    Tiles are solved in the task that makes them: dealing them out would move
-    each text once for every octave. Texts that have fragments, and only
+    Tiles are solved in the task that makes them, some at a time: dealing them
+    out would move each text once for every octave. Texts that have fragments, and only
     those, are shuffled, by a number of their row that no two have.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, _ = written(narrow.mapInArrow(_explode(change), from_arrow_schema(TILE_FIELDS)).mapInArrow(_solve(texts), from_arrow_schema(FOUND_FIELDS)))
+    explode, solved = _explode(change), _solve(texts)
+    found, _ = written(narrow.mapInArrow(lambda batches: solved(explode(batches)), from_arrow_schema(FOUND_FIELDS)))
     runs = stitched(found.where("period IS NOT NULL").select("row", "period", "start", "end"))
     runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     runs = runs.select("row", F.transform("runs", lambda r: F.struct(r["start"], r["length"], r["period"])).alias("runs"))
