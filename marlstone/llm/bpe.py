@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: How texts are cut into pieces (letters, numbers); fixed, it goes with the vocabulary's format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 #: Longer words are not remembered.
@@ -64,48 +66,39 @@ def merge(ids: list[int], ranks: dict[int, int], made: list[int], base: int) ->
     n = len(ids)
     if n < 2:
         return ids
-    get = ranks.get
+    get, miss = ranks.get, len(made)
     size = 1 << (n - 2).bit_length()
-    none = len(made) * size
-    tree = [none] * (2 * size)
-    any_ = False
-    for i in range(n - 1):
-        r = get(ids[i] * base + ids[i + 1])
-        if r is not None:
-            tree[size + i] = r * size + i
-            any_ = True
-    if not any_:
+    none = miss * size  # no rank: more than any leaf that has one
+    leaves = [get(a * base + b, miss) * size + i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    if min(leaves) >= none:
         return ids
+    tree = [none] * size + leaves + [none] * (size + 1 - n)
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (root := tree[1]) < none:
-        rank, i = divmod(root, size)
+        i = root & (size - 1)
         j = after[i]
-        ids[i] = made[rank]
+        new = ids[i] = made[root // size]
         ids[j] = -1
         k = after[i] = after[j]
-        changed = [(i, none)]
+        p = before[i]
+        changed = [(size + j, none)] if j < n - 1 else []
         if k < n:
             before[k] = i
-            r = get(ids[i] * base + ids[k])
-            if r is not None:
-                changed = [(i, r * size + i)]
-        if j < n - 1:
-            changed.append((j, none))
-        p = before[i]
+            changed.append((size + i, get(new * base + ids[k], miss) * size + i))
+        else:
+            changed.append((size + i, none))
         if p >= 0:
-            r = get(ids[p] * base + ids[i])
-            changed.append((p, none if r is None else r * size + p))
-        for leaf, value in changed:
-            k = size + leaf
+            changed.append((size + p, get(ids[p] * base + new, miss) * size + p))
+        for k, value in changed:
             tree[k] = value
             while k > 1:
                 other = tree[k ^ 1]
+                k >>= 1
                 if other < value:
                     value = other
-                k >>= 1
                 if tree[k] == value:
                     break
                 tree[k] = value
@@ -115,7 +108,7 @@ def merge(ids: list[int], ranks: dict[int, int], made: list[int], base: int) ->
 class Vocabulary:
     """A byte-level vocabulary and its merges, from a file in the tokenizers library's format."""
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, cut = file["model"], file["pre_tokenizer"] or {}
@@ -146,19 +139,32 @@ class Vocabulary:
         self.late, self.careful = late_signs()
         self.blank = regex.compile(r"\s ")
         self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.bound = remembered
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         first = self.first
-        return merge([first[b] for b in piece.encode()], self.ranks, self.made, self.base)
+        return array("I", merge([first[b] for b in piece.encode()], self.ranks, self.made, self.base)).tobytes()
 
     def cut(self, text: str) -> bytes:
         """Ids of a text without special tokens, cut into pieces."""
         pieces = self.pieces if text.isascii() or self.late.isdisjoint(text) else self.careful
-        out = array("I")
+        out = []
         for p in pieces.findall(text):
-            out.extend(self.piece(p))
-        return out.tobytes()
+            found = self.known.get(p)
+            if found is None:
+                found = self.piece(p)
+                if len(p) <= LONG_WORD:
+                    self.known[p] = found
+            out.append(found)
+        return b"".join(out)
+
+    def forget(self) -> None:
+        """Keep both memories within their bound; what came first is what is frequent."""
+        if len(self.words) > self.bound:
+            self.words = dict(islice(self.words.items(), self.bound // 2))
+        if len(self.known) > self.bound:
+            self.known = dict(islice(self.known.items(), self.bound // 2))
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, little-endian, four bytes each.
@@ -174,9 +180,8 @@ class Vocabulary:
         else:
             units = [" " + w for w in text.split(" ")]
             units[0] = units[0][1:]
+        self.forget()
         words = self.words
-        if len(words) > self.bound:  # the words that came first are the frequent ones
-            words = self.words = dict(islice(words.items(), self.bound // 2))
         out = []
         for u in units:
             found = words.get(u)
@@ -221,13 +226,13 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     on by itself: rows may repeat or lack a doc_id. A null or empty text has
     no ids; an empty table gives no rows; further columns, of any name, are
     ignored. A piece of n bytes takes time in n * log n, whatever it holds, so
-    a very long word does no harm. Up to 800,000 short words are remembered
-    in a Python process, whatever the input.
+    a very long word does no harm. Up to 300,000 short words and as many
+    pieces are remembered in a Python process, whatever the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = opened(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [v.encode(t) if t else b"" for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -243,7 +248,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = opened(path)
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([v.decode(i) if i else "" for i in b["ids"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], ["doc_id", "n_tokens", "ids", "text"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,10 @@ _LOWER_TABLE = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 def lower_az(text: str) -> str:
     return text.translate(_LOWER_TABLE) if not text.isascii() else text.lower()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches small enough to be Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import written
+from .common import slices, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: A run has this many words, and this many periods, at least.
@@ -160,17 +160,10 @@ def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
 
-def _some(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches small enough to be Python objects at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def _explode(change: Callable[[int | None, list[str]], list[str]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, rows, size = TaskContext.get().partitionId() << 33, [], 0
-        for b in _some(batches):
+        for b in slices(batches):
             for doc, text in zip(*[c.to_pylist() for c in b.columns]):
                 words = WORDS.findall(text or "")
                 words = change(doc, words) if change else words
@@ -198,7 +191,7 @@ def _explode(change: Callable[[int | None, list[str]], list[str]] | None):
 def _solve(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = -1
-        for b in _some(batches):
+        for b in slices(batches):
             out = []
             for row, doc, n, text, lo, hi, base, first, last, codes in zip(*[c.to_pylist() for c in b.columns]):
                 if codes is None:
@@ -227,7 +220,7 @@ def stitched(fragments: DataFrame) -> DataFrame:
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text without the words that a run holds after its first period."""
-    for b in _some(batches):
+    for b in slices(batches):
         out = []
         for text, runs in zip(b["text"].to_pylist(), b["runs"].to_pylist()):
             words = text.split(" ")
