@@ -147,3 +147,23 @@ def fold_metrics(spark, sf_dir):
     s = scored(spark, sf_dir)
     folds = pf.walk_forward(spark, s.select("decision_date"), min_train=2).where("role = 'test'").select("fold", "decision_date")
     return m.rank_ic(s, LABEL).join(folds, "decision_date").select("fold", "decision_date", F.round("ic", 6).alias("ic"))
+
+
+@query()
+def boosted_rank_ic(spark, sf_dir):
+    """Rank correlation, date by date, of the boosted ranker's scores on the rows that it learnt from."""
+    from ..operators import boosting as b
+
+    d = included(spark, sf_dir).withColumn(LABEL, F.round(LABEL, 9))
+    r = b.train(d, b.RANKER, 20)
+    return rounded(m.rank_ic(r.scored, LABEL), "ic", "sector_neutral_ic")
+
+
+@query()
+def boosted_importance(spark, sf_dir):
+    """Shares of the boosted regression's gain by factor."""
+    from ..operators import boosting as b
+
+    d = included(spark, sf_dir).withColumn(LABEL, F.round(LABEL, 9))
+    r = b.train(d, b.REGRESSOR, 20)
+    return spark.createDataFrame([(f, round(s, 6)) for f, s in r.model.importance()], "feature string, share double")
