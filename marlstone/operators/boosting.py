@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import average_rank
+from ..functions.ranks import ranks_within
 from ..sources.scratch import drop, written
 from .modeling import FACTORS
 
@@ -83,9 +83,9 @@ def relevance(rows: DataFrame, label: str, by: str = "decision_date", n: int = 5
     """Adds ``relevance``: the label's bucket of n within its date, by mean ranks; 0 on dates with fewer names. Unlabelled rows go."""
     d = rows.where(F.col(label).isNotNull())
     sizes = d.groupBy(by).agg(F.count("*").alias("__names"))
-    d = d.join(sizes, by)  # a row for each date
-    bucket = F.least(F.lit(n - 1), F.floor((average_rank(label, by) - 1) / F.col("__names") * n))
-    return d.withColumn("relevance", F.when(F.col("__names") < n, 0).otherwise(bucket).cast("int")).drop("__names")
+    d = ranks_within(d.join(sizes, by), [by], {"__place": label})
+    bucket = F.least(F.lit(n - 1), F.floor((F.col("__place") - 1) / F.col("__names") * n))
+    return d.withColumn("relevance", F.when(F.col("__names") < n, 0).otherwise(bucket).cast("int")).drop("__names", "__place")
 
 
 def _ranking(work: DataFrame, n: int) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranks_within
 from ..functions.semantics import average_rank, guarded_corr
 
 
@@ -81,8 +82,7 @@ def neutral_rank_ic(scored: DataFrame, exposures: list[str], label: str) -> Data
     """decision_date, n, raw_ic, neutral_ic."""
     n = neutralise(scored.where(F.col("score").isNotNull() & F.col(label).isNotNull()), exposures)
     n = n.withColumn("neutral", F.round("neutral", 9))
-    for c, r in (("score", "r_s"), ("neutral", "r_n"), (label, "r_y")):
-        n = n.withColumn(r, average_rank(c, "decision_date"))
+    n = ranks_within(n.select("decision_date", "score", "neutral", label), ["decision_date"], {"r_s": "score", "r_n": "neutral", "r_y": label})
     return n.groupBy("decision_date").agg(F.count("*").alias("n"), guarded_corr("r_s", "r_y").alias("raw_ic"), guarded_corr("r_n", "r_y").alias("neutral_ic"))
 
 

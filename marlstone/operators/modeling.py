@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import average_rank, guarded_corr, mean_of, nn, occurrences, ranked_overall, safe_div
+from ..functions.ranks import ranks_within
+from ..functions.semantics import guarded_corr, mean_of, nn, occurrences, ranked_overall, safe_div
 from ..sources.scratch import written
 from .timeseries import by_date, forward_returns
 
@@ -158,8 +159,7 @@ def rank_ic(scored: DataFrame, label: str) -> DataFrame:
     s = scored.where(F.col("score").isNotNull() & F.col(label).isNotNull()).withColumn("y", F.col(label))
     xs = Window.partitionBy("decision_date", "sector")
     s = s.withColumn("s_d", F.round(F.col("score") - F.avg("score").over(xs), 9)).withColumn("y_d", F.round(F.col("y") - F.avg("y").over(xs), 9))
-    for c in ("score", "y", "s_d", "y_d"):
-        s = s.withColumn(f"r_{c}", average_rank(c, "decision_date"))
+    s = ranks_within(s.select("decision_date", "score", "y", "s_d", "y_d"), ["decision_date"], {f"r_{c}": c for c in ("score", "y", "s_d", "y_d")})
     return s.groupBy("decision_date").agg(F.count("*").alias("n"), guarded_corr("r_score", "r_y").alias("ic"), guarded_corr("r_s_d", "r_y_d").alias("sector_neutral_ic"))
 
 
@@ -175,10 +175,10 @@ def score_distribution(scored: DataFrame) -> DataFrame:
 
 def quantile_rows(scored: DataFrame, label: str, n: int = 5) -> DataFrame:
     """decision_date, bucket, mean_label, med: bucket means of dates with at least n names."""
-    s = scored.where(F.col("score").isNotNull() & F.col(label).isNotNull())
-    w = Window.partitionBy("decision_date")
-    s = s.withColumn("names", F.count("*").over(w)).where(F.col("names") >= n).withColumn("med", F.median(label).over(w))
-    b = F.least(F.lit(n - 1), F.floor((average_rank("score", "decision_date") - 1) / F.col("names") * n)).cast("int")
+    s = scored.where(F.col("score").isNotNull() & F.col(label).isNotNull()).select("decision_date", "score", label)
+    dates = s.groupBy("decision_date").agg(F.count("*").alias("names"), F.median(label).alias("med")).where(F.col("names") >= n)
+    s = ranks_within(s.join(dates, "decision_date"), ["decision_date"], {"place": "score"})
+    b = F.least(F.lit(n - 1), F.floor((F.col("place") - 1) / F.col("names") * n)).cast("int")
     return s.withColumn("bucket", b).groupBy("decision_date", "bucket").agg(F.avg(label).alias("mean_label"), F.max("med").alias("med"))
 
 
@@ -196,10 +196,10 @@ def quantile_summary(scored: DataFrame, label: str, n: int = 5) -> DataFrame:
 
 def rank_average(models: dict[str, DataFrame]) -> DataFrame:
     """decision_date, ticker, score: mean of average ranks over rows that all models score."""
-    rows = _common(models)
+    rows = ranks_within(_common(models), ["decision_date"], {f"r_{m}": f"s_{m}" for m in models})
     out = F.lit(0.0)
     for m in models:
-        out = out + average_rank(f"s_{m}", "decision_date")
+        out = out + F.col(f"r_{m}")
     return rows.select("decision_date", "ticker", (out / len(models)).alias("score"))
 
 
@@ -241,7 +241,6 @@ def contribution(candidate: DataFrame, base: DataFrame, label: str) -> DataFrame
     sxx = F.var_pop("b").over(w)
     slope = (F.avg(F.col("score") * F.col("b")).over(w) - F.avg("score").over(w) * F.avg("b").over(w)) / F.when(sxx > 1e-12, sxx)
     j = j.withColumn("rest", F.round(F.col("score") - F.avg("score").over(w) - F.coalesce(slope, F.lit(0.0)) * (F.col("b") - F.avg("b").over(w)), 8))
-    for c, n in (("score", "r_s"), ("rest", "r_r"), (label, "r_y")):
-        j = j.withColumn(n, average_rank(c, "decision_date"))
+    j = ranks_within(j.select("decision_date", "score", "rest", label), ["decision_date"], {"r_s": "score", "r_r": "rest", "r_y": label})
     out = j.groupBy("decision_date").agg(guarded_corr("r_s", "r_y").alias("ic_raw"), guarded_corr("r_r", "r_y").alias("ic_neutral"))
     return out.withColumn("delta", F.col("ic_neutral") - F.col("ic_raw"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranks_within
 from ..functions.semantics import full, nn
 
+
 def by_date() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("date")
 
@@ -38,11 +40,7 @@ def daily_features(bars: DataFrame, *, lookback: int = 20, min_turnover: float |
 
 def date_ranks(features: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Descending least ranks of measures within a date; NULL isn't ranked."""
-    out = features
-    for name, of in measures.items():
-        w = Window.partitionBy("date").orderBy(F.col(of).desc_nulls_last())
-        out = out.withColumn(name, F.when(F.col(of).isNotNull(), F.rank().over(w)))
-    return out
+    return ranks_within(features, ["date"], measures, ascending=False, method="min")
 
 
 def momentum(bars: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -127,12 +125,10 @@ def readiness(bars: DataFrame, disclosed: DataFrame, horizons=(5, 20, 60)) -> Da
 def grouped_summary(results: DataFrame, dimensions: list[str], horizons=(5, 20, 60)) -> DataFrame:
     """Forward returns by each of several independent dimensions and horizon, as grouping sets in one pass."""
     long = results.select(*dimensions, F.expr("stack(" + str(len(horizons)) + ", " + ", ".join(f"{h}, forward_return_h{h}" for h in horizons) + ") AS (horizon, ret)"))
-    long.createOrReplaceTempView("__summary_rows")
-    sets = ", ".join(f"({d}, horizon)" for d in dimensions)
-    which = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions) + " END"
-    value = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN coalesce(CAST({d} AS STRING), 'none')" for d in dimensions) + " END"
-    return results.sparkSession.sql(
-        f"""SELECT {which} AS dimension, {value} AS value, horizon, count(*) AS n, count(ret) AS n_available, count(*) - count(ret) AS n_missing,
-        avg(ret) AS mean_ret, median(ret) AS median_ret, avg(CASE WHEN ret > 0 THEN 1.0D WHEN ret IS NOT NULL THEN 0.0D END) AS hit_rate, min(ret) AS min_ret, max(ret) AS max_ret
-        FROM __summary_rows GROUP BY GROUPING SETS ({sets})"""
-    )
+    pick = lambda of: F.coalesce(*[F.when(F.grouping(d) == 0, of(d)) for d in dimensions])
+    hit = F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)
+    return long.groupingSets([[F.col(d), F.col("horizon")] for d in dimensions], *dimensions, "horizon").agg(
+        pick(F.lit).alias("dimension"), pick(lambda d: F.coalesce(F.col(d).cast("string"), F.lit("none"))).alias("value"),
+        F.count("*").alias("n"), F.count("ret").alias("n_available"), (F.count("*") - F.count("ret")).alias("n_missing"),
+        F.avg("ret").alias("mean_ret"), F.median("ret").alias("median_ret"), F.avg(hit).alias("hit_rate"), F.min("ret").alias("min_ret"), F.max("ret").alias("max_ret"),
+    ).select("dimension", "value", "horizon", "n", "n_available", "n_missing", "mean_ret", "median_ret", "hit_rate", "min_ret", "max_ret")
