@@ -150,12 +150,12 @@ def bar_store_upsert(spark, sf_dir):
     return _places(spark.read.parquet(path), "close").select("ticker", "date", "close", "volume")
 
 
-@query(f"WITH {v.BARS} SELECT ticker, date, round(adj_close, 10) AS close FROM bars")
+@query(f"WITH {v.BARS} SELECT ticker, date, round(adj_close, 10) AS close, row_number() OVER (ORDER BY ticker, date) AS line FROM bars")
 def price_export_file(spark, sf_dir):
-    """The export of adjusted prices, read again."""
+    """The export of adjusted prices, in files of some thousand rows, read again in its order."""
     path = _place(spark)
-    sinks.price_export(v.bars(spark, sf_dir), path, "adj_close")
-    return _places(readers.read(spark, "prices", path), "close").select("ticker", "date", "close")
+    sinks.price_export(v.bars(spark, sf_dir), path, "adj_close", rows=20_000)
+    return _places(readers.ordered_rows(spark, path, "ticker string, date date, close double"), "close").select("ticker", "date", "close", "line")
 
 
 @query(f"WITH {v.BARS}, {UNIVERSE}, c AS (SELECT u.ticker, count(b.ticker) AS n FROM universe u LEFT JOIN bars b USING (ticker) GROUP BY 1) SELECT ticker, CASE WHEN n = 0 THEN 'no_prices' WHEN n < 530 THEN 'partial_window' ELSE 'full_window' END AS coverage_status, CAST(n AS VARCHAR) AS reason FROM c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -274,6 +275,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file that Spark's readers pass by for its name."""
+    if not _exists(spark, path):
+        raise DataError(f"there is no {path}")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def universe_file(spark: SparkSession, path: str) -> DataFrame:
     """Distinct codes of a CSV with a code column, or of a list with # comments, in the file's order."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "﻿", "").alias("line"))
@@ -297,6 +311,16 @@ def bar_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def ordered_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an ordered CSV with ``line``, their place in the order, from 1. Files that don't agree with the manifest are an error."""
+    want = {f["file"]: f["rows"] for f in json.loads(_text(spark, f"{path}/_manifest.json"))["files"]}  # a line for each file
+    df = spark.read.schema(schema).option("header", True).csv(path)
+    have = {r["f"]: r["n"] for r in df.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()}
+    if have != want:
+        raise DataError(f"files differ from the manifest: {sorted(f for f in have.keys() | want.keys() if have.get(f) != want.get(f))[:3]}")
+    return _numbered(df.withColumn("__at", _place()))
+
+
 def coverage_csv(spark: SparkSession, path: str) -> DataFrame:
     df = resolved(_csv(spark, path), {"ticker": ("ticker",), "coverage_status": ("coverage_status",), "reason": ("reason",)})
     df = df.where(F.length(F.trim("ticker")) > 0)

@@ -5,23 +5,62 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import dedup
+from .scratch import drop, written
 
+#: Rows of a file of an ordered sink.
+FILE_ROWS = 1_000_000
+MANIFEST = "_manifest.json"
 OPTIONAL = ("label", "signal", "sector", "sector_relative_score")
 
 
-def ranked_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small report as one ordered CSV; optional columns only if any row has them."""
+def ordered(df: DataFrame, path: str, order: list[str], kind: str, *, columns: list[str] | None = None, rows: int = FILE_ROWS, **options) -> list[dict]:
+    """Write ``df`` in order, as numbered files of about so many rows, and a manifest of them; no task gets all rows.
+
+    A file holds a range of the order, and its name's number is the range's:
+    files by name, and lines within them, are the order. The manifest says
+    for each file, in order, its name and number of rows, so that a reader
+    can tell that all of them are there. ``columns``: what is written, if not
+    every column. Options are the format's.
+    """
+    spark = df.sparkSession
+    d, scratch_path = written(df)
+    n = d.count()
+    d = d.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order)
+    d = d.select(*columns) if columns else d
+    d.write.mode("overwrite").format(kind).options(**options).save(path)
+    drop(spark, scratch_path)
+    back = spark.read.format("text" if kind in ("text", "json") else kind).options(**options)
+    back = back.schema("value string") if kind in ("text", "json") else back.schema(d.schema)
+    # A row for each file.
+    files = back.load(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows")).orderBy("file").collect()
+    listed = [{"file": r["file"], "rows": r["rows"]} for r in files]
+    put_text(spark, f"{path.rstrip('/')}/{MANIFEST}", json.dumps({"order": order, "rows": n, "files": listed}, indent=1))
+    return listed
+
+
+def put_text(spark, path: str, text: str) -> None:
+    """A small file in any store that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def ranked_csv(df: DataFrame, path: str, order: list[str], rows: int = FILE_ROWS) -> None:
+    """A report as ordered CSV; optional columns only if any row has them."""
     have = df.agg(*[F.count(c).alias(c) for c in OPTIONAL if c in df.columns]).first().asDict() if any(c in df.columns for c in OPTIONAL) else {}
-    df.select(*[c for c in df.columns if have.get(c, 1)]).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    ordered(df.select(*[c for c in df.columns if have.get(c, 1)]), path, order, "csv", rows=rows, header=True)
 
 
-def json_report(df: DataFrame, path: str, order: list[str]) -> None:
+def json_report(df: DataFrame, path: str, order: list[str], rows: int = FILE_ROWS) -> None:
     """One JSON object a line, without NULL fields, in order."""
-    df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    ordered(df.withColumn("__value", F.to_json(F.struct(*df.columns))), path, order, "text", columns=[F.col("__value").alias("value")], rows=rows)
 
 
 def bar_store(df: DataFrame, path: str, buckets: int = 8) -> None:
@@ -35,12 +74,12 @@ def bar_store(df: DataFrame, path: str, buckets: int = 8) -> None:
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def price_export(df: DataFrame, path: str, field: str = "close") -> None:
+def price_export(df: DataFrame, path: str, field: str = "close", rows: int = FILE_ROWS) -> None:
     """ticker, date, close with an explicit choice of the price; a missing price is an error."""
     if not df.where(F.col(field).isNull()).isEmpty():
         raise ValueError(f"rows without {field}")
     text = F.when(F.col(field) == F.floor(field), F.col(field).cast("bigint").cast("string")).otherwise(F.col(field).cast("string"))
-    df.select("ticker", "date", text.alias("close")).orderBy("ticker", "date").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    ordered(df.select("ticker", "date", text.alias("close")), path, ["ticker", "date"], "csv", rows=rows, header=True)
 
 
 DISCLAIMER = "For research only; not financial advice."
@@ -52,17 +91,20 @@ def _cell(df: DataFrame, c: str) -> Column:
     return F.when(F.col(c).isNull(), "").otherwise(value)
 
 
-def markdown_table(df: DataFrame, path: str, order: list[str], title: str) -> None:
-    """A report's rows as one Markdown file, in order."""
+def markdown_table(df: DataFrame, path: str, order: list[str], title: str, rows: int = FILE_ROWS) -> None:
+    """A report's rows as Markdown, in order: its head in the first file, the disclaimer in the last."""
     spark = df.sparkSession
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines = df.withColumn("__n", F.row_number().over(Window.orderBy(*order))).select(F.lit(1).alias("part"), "__n", F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(df, c) for c in df.columns]), F.lit(" |")).alias("value"))
-    frame = spark.createDataFrame([(0, k, x) for k, x in enumerate(head)] + [(2, k, x) for k, x in enumerate(["", DISCLAIMER])], "part int, __n int, value string")
-    lines.unionByName(frame).orderBy("part", "__n").select("value").coalesce(1).write.mode("overwrite").text(path)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(df, c) for c in df.columns]), F.lit(" |"))
+    kinds = dict(df.dtypes)
+    lines = df.select(F.lit(1).alias("__part"), F.lit(0).alias("__k"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], line.alias("value"))
+    frame = spark.createDataFrame([(0, k, x) for k, x in enumerate(head)] + [(2, k, x) for k, x in enumerate(["", DISCLAIMER])], "__part int, __k int, value string")
+    frame = frame.select("__part", "__k", *[F.lit(None).cast(kinds[c]).alias(f"__o{i}") for i, c in enumerate(order)], "value")
+    ordered(lines.unionByName(frame), path, ["__part", "__k", *[f"__o{i}" for i in range(len(order))]], "text", columns=["value"], rows=rows)
 
 
 def report(df: DataFrame, folder: str, name: str, order: list[str], title: str | None = None) -> None:
-    """A report of few rows as CSV, JSON and Markdown: folders ``name``_csv, _json and _md."""
+    """A report as CSV, JSON and Markdown: folders ``name``_csv, _json and _md."""
     flat = df.select(*[c for c, k in df.dtypes if not k.startswith(("array", "struct", "map"))])
     ranked_csv(flat, f"{folder}/{name}_csv", order)
     json_report(df, f"{folder}/{name}_json", order)
