@@ -22,10 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: What may be a letter; signs such as fractions and Roman numerals are no letters, although they match.
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class ByteConvNet:
     """filters[w]: (w, 256, n) tables; dense: (n_features, n_classes)."""
@@ -192,7 +197,7 @@ def scorer(net: ByteConvNet):
                 part.clear()
 
             for row, text in enumerate(b["__text"]):
-                if isinstance(text, str) and net.labels and LETTER.search(text):
+                if isinstance(text, str) and net.labels and has_letter(text):
                     w = windows(text.encode("utf-8", "replace"), net.window)
                     part.append((row, w))
                     held += len(w)
