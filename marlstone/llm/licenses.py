@@ -2,7 +2,9 @@
 
 A block is a line of a text, the words around a line's end, or a paragraph
 (lines up to one without words); so wrapped notices and whole licenses are
-found however long their lines are. A template is the set of words of a
+found however long their lines are. A line of more than 2 * ``REACH`` words
+counts as a paragraph, and the windows of so many words in it, ``REACH``
+apart, are blocks too. A template is the set of words of a
 notice, or of a paragraph of a license; it is found in a block that holds at
 least ``threshold`` of them. Paragraphs are tried with templates of
 ``LONG`` distinct words or more: a long paragraph holds the few words of a
@@ -67,7 +69,7 @@ TEMPLATES = (
 LONG = 12
 #: What stands between paragraphs: a line's end, no words, a line's end.
 BREAK = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
-#: So many words before and after a line's end make a block.
+#: So many words before and after a line's end make a block; so do twice as many within a longer line.
 REACH = 32
 THRESHOLD = 0.9
 
@@ -153,13 +155,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     rows = rows.withColumn("ends", ends).withColumn("paragraphs", F.when(F.col("maybe"), F.transform(F.split("low", BREAK), words)).otherwise(F.array().cast("array<array<string>>")))
     # Lines and paragraphs that have no word of a prefix go first; of the others the templates' words are kept.
     held = lambda x: F.arrays_overlap(x, first_words)
-    block = lambda x, paragraph: F.struct(F.lit(paragraph).alias("paragraph"), F.array_intersect(x, lexicon).alias("tokens"))
+    block = lambda x, paragraph: F.struct(paragraph.alias("paragraph"), F.array_intersect(x, lexicon).alias("tokens"))
+    windows = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / REACH).cast("int") - 2, F.lit(0))), lambda k: F.slice(x, k * REACH + 1, 2 * REACH))
+    long = lambda x: F.size(x) > 2 * REACH
+    short, whole = F.lit(False), F.lit(True)
     around = lambda e: F.slice("w", F.greatest(e - REACH, F.lit(0)) + 1, F.least(e, F.lit(REACH)) + REACH)
     crossing = F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), around)
     blocks = F.concat(
-        F.transform(F.filter("lines", held), lambda x: block(x, False)),
-        F.transform(F.filter(crossing, held), lambda x: block(x, False)),
-        F.transform(F.filter("paragraphs", held), lambda x: block(x, True)),
+        F.transform(F.filter("lines", held), lambda x: block(x, long(x))),
+        F.transform(F.filter(F.flatten(F.transform(F.filter("lines", lambda x: long(x) & held(x)), windows)), held), lambda x: block(x, short)),
+        F.transform(F.filter(crossing, held), lambda x: block(x, short)),
+        F.transform(F.filter("paragraphs", held), lambda x: block(x, whole)),
     )
     least = min(r[4] for r in table)
     rows = rows.select(

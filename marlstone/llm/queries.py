@@ -210,7 +210,9 @@ ORACLE_SQL: dict[str, str] = {
         l2 AS (SELECT doc_id, words, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) AS e, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS further FROM l1 WHERE len(words) > 0),
         pa AS (SELECT doc_id, unnest(string_split_regex(low, '{licenses.BREAK}')) AS part FROM d),
         blocks AS (
-            SELECT doc_id, FALSE AS paragraph, list_distinct(words) AS words FROM l2
+            SELECT doc_id, len(words) > 2 * {licenses.REACH} AS paragraph, list_distinct(words) AS words FROM l2
+            UNION ALL SELECT doc_id, FALSE, list_distinct(words[k * {licenses.REACH} + 1:k * {licenses.REACH} + 2 * {licenses.REACH}])
+            FROM (SELECT doc_id, words, unnest(range(0, CAST(ceil(len(words) / {licenses.REACH}) AS BIGINT) - 1)) AS k FROM l2 WHERE len(words) > 2 * {licenses.REACH})
             UNION ALL SELECT l2.doc_id, FALSE, list_distinct(w.w[CAST(greatest(e - {licenses.REACH}, 0) + 1 AS BIGINT):CAST(e + {licenses.REACH} AS BIGINT)]) FROM l2 JOIN w USING (doc_id) WHERE further IS NOT NULL
             UNION ALL SELECT doc_id, TRUE, list_distinct(regexp_extract_all(part, '{WORD}')) FROM pa),
         f AS (

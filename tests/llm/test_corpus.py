@@ -36,6 +36,7 @@ def test_language_id_held_out_accuracy(spark):
     assert [got[i]["lang_pred"] for i in (0, 1, 2, 9)] == ["und"] * 4 and got[3]["lang_pred"] != "und"
     assert langid.identify(docs(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).first()["lang_pred"] == "und"
     assert langid.identify(docs(spark, ODD).limit(0), net).count() == 0
+    assert [langid.has_letter(t) for t in ("½ ² Ⅷ ①", "½a", "_1", "é", "١٢", "日")] == [False, True, False, True, False, True]
 
 
 def test_folded_tables_give_the_filters_responses():
@@ -213,6 +214,17 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_scattered_words_are_no_notice(spark):
+    rest = [f"word{k}" for k in range(2000)]
+    scattered = list(rest)
+    for k, w in enumerate(["licensed", "under", "cc", "by", "released", "the", "mit", "license"]):
+        scattered[100 + 230 * k] = w
+    notice = "released under the mit license".split()
+    texts = [" ".join(scattered), *[" ".join(rest[:k] + notice + rest[k:]) for k in (0, 29, 61, 64, 1000, 1995, 2000)]]
+    got = [r["labels"] for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == "" and all(g == got[1] and "mit-notice" in g for g in got[1:])
+
+
 @pytest.mark.parametrize("width", [16, 40, 76])
 def test_wrapped_licenses(spark, width):
     templates = dict(licenses.TEMPLATES)
