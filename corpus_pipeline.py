@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, langid, minhash, pii, sentencepiece_viterbi
-from marlstone.llm.common import table, written
+from marlstone.llm.common import drop, table, written
 from marlstone.llm.queries import tokenizer_path
 
 #: Shingles of the near-duplicate stage, in words.
@@ -46,9 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = minhash.near_duplicates(docs, size=SHINGLE).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     key = F.col("doc_id").cast("long")
     rows = docs.select(*[_col(c).alias(k) for c, k in own.items()], key.alias("__id"), F.col("text").alias("__text"))
-    alone = rows.join(marked.where("__n = 1 OR __id IS NULL"), rows["__id"].eqNullSafe(marked["__id"]), "left_semi")
-    # Texts of ids that stand once don't move for the sake of those that are repeated.
-    repeated = rows.join(marked.where("__n > 1 AND __id IS NOT NULL"), "__id", "left_semi")
+    marked = marked.where("__id IS NOT NULL")
+    alone = rows.where("__id IS NULL").unionByName(rows.join(marked.where("__n = 1"), "__id", "left_semi").select(*rows.columns))
+    # Repeated ids are ordered by their texts; those that stand once need no order.
+    repeated = rows.join(marked.where("__n > 1"), "__id", "left_semi")
     place = F.row_number().over(Window.partitionBy("__id").orderBy("__text"))
     first = repeated.withColumn("__place", place).where("__place = 1")
     return alone.select(*own.values()).unionByName(first.select(*own.values())).select(*[F.col(k).alias(c) for c, k in own.items()])
@@ -82,9 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs, _ = written(docs)
+            docs, path = written(docs)
+            if read is not None:
+                drop(spark, read)  # what the stage before wrote is read no more
+            read = path
     return docs
