@@ -103,6 +103,18 @@ def _print(value):
     print(json.dumps(value, indent=2, sort_keys=True, default=str))
 
 
+def _determinism(args):
+    """Two folders' artifacts; volatile texts are separated by commas."""
+    from .operators import determinism as d
+
+    spark = session(args)
+    options = {"values": tuple(args.volatile.split(",")), "digits": int(args.digits) if args.digits else None}
+    one, two = (d.fingerprints(spark, f, **options) for f in (args.first, args.second))
+    found = d.regression(d.compared(one, two), strict=args.strict)
+    _print(found)
+    return int(found["regression_detected"])
+
+
 def _baseline(args):
     now = g.tree(args.folder)
     if args.check:
@@ -145,7 +157,7 @@ def parser() -> argparse.ArgumentParser:
     add("compare-runs", lambda a: _print(g.compare_folders(a.first, a.second)), "first", "second")
     add("baseline", _baseline, "folder", "file", check=False)
     add("manifest", lambda a: _print(g.manifest(a.folder, {})), "folder")
-    add("determinism", lambda a: _print(g.compare(g.tree(a.first), g.tree(a.second))), "first", "second")
+    add("determinism", _determinism, "first", "second", volatile="", digits=None, strict=False)
     add("ledger-append", lambda a: print(g.append_entry(a.path, json.loads(a.body), approved=a.approve, note=a.note)), "path", "body", approve=False, note="")
     add("ledger-verify", lambda a: _print({"broken_lines": g.broken(g.entries_of(a.path))}), "path")
     add("bundle-export", lambda a: _print(g.export_bundle(a.folder, a.file, {})), "folder", "file")

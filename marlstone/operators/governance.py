@@ -33,10 +33,10 @@ def scrubbed(value: object) -> object:
     return re.sub(r"(/[A-Za-z0-9._-]+){2,}", "[path]", value) if isinstance(value, str) else value
 
 
-def masked(value: object) -> object:
+def masked(value: object, keys: tuple[str, ...] = VOLATILE) -> object:
     if isinstance(value, dict):
-        return {k: "[volatile]" if k in VOLATILE else masked(v) for k, v in value.items()}
-    return [masked(v) for v in value] if isinstance(value, list) else value
+        return {k: "[volatile]" if k in keys else masked(v, keys) for k, v in value.items()}
+    return [masked(v, keys) for v in value] if isinstance(value, list) else value
 
 
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,6 +149,20 @@ def chain_links(ledger: DataFrame) -> DataFrame:
     return chained(ledger, "line", "entry_hash").withColumn("linked", F.col("parent_hash") == F.coalesce("before", F.lit(""))).drop("place", "before")
 
 
+def entry_hashes(lines: DataFrame) -> DataFrame:
+    """line, entry_hash, parent_hash, own_hash, sound of a ledger's lines (line, value: an entry's JSON).
+
+    own_hash is the digest of the entry's canonical form without entry_hash,
+    as append_entry() takes it; ``sound``: it is the entry's. A line that is
+    no JSON has neither.
+    """
+    v = lines.select("line", F.try_parse_json("value").alias("v"))
+    rest = F.to_variant_object(F.map_filter(F.col("v").cast("map<string,variant>"), lambda k, _: k != "entry_hash"))
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    out = v.select("line", text("entry_hash").alias("entry_hash"), text("parent_hash").alias("parent_hash"), F.sha2(F.to_json(rest), 256).alias("own_hash"))
+    return out.withColumn("sound", F.coalesce(F.col("entry_hash") == F.col("own_hash"), F.lit(False)))
+
+
 def summary(entries: list[dict]) -> dict:
     """Number of entries, broken lines, and the last entry's hash and note."""
     last = entries[-1] if entries else {}

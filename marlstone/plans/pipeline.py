@@ -13,6 +13,7 @@ from ..operators import kernels as k
 from ..operators import modeling as m
 from ..operators import portfolio as pf
 from ..sources import sinks
+from ..sources.scratch import written
 
 
 def run(spark: SparkSession, bars: DataFrame, statements: DataFrame, companies: DataFrame, texts: DataFrame, dates: DataFrame, out: str, *, risk_words: list[str] = (), horizons=(5, 20, 60), exposures=("momentum_60d", "leverage"), bps: float = 10.0) -> list[dict]:
@@ -25,11 +26,10 @@ def run(spark: SparkSession, bars: DataFrame, statements: DataFrame, companies:
         began = time.time()
         try:
             value, status = make(), "ok"
-        except ArithmeticError as err:
-            value, status = None, f"failed: {err}"
-        rows = None
-        if isinstance(value, DataFrame):
-            rows = [r.asDict() for r in value.collect()]
+            rows = [r.asDict() for r in value.collect()] if isinstance(value, DataFrame) else None
+        except Exception as err:  # noqa: BLE001 - a step that fails is recorded, and the others go on
+            value, rows, status = None, None, f"failed: {type(err).__name__}: {str(err).splitlines()[0][:200] if str(err) else ''}"
+        if rows is not None:
             sinks.json_file({"name": name, "rows": rows}, os.path.join(out, f"{name}.json"))
         elif value is not None:
             sinks.json_file({"name": name, "value": value}, os.path.join(out, f"{name}.json"))
@@ -37,14 +37,12 @@ def run(spark: SparkSession, bars: DataFrame, statements: DataFrame, companies:
         return value
 
     ds = m.excess_returns(m.dataset(bars, statements, companies, texts, dates, list(risk_words), horizons), horizons)
-    path = os.path.join(out, "dataset.parquet")
-    ds.write.mode("overwrite").parquet(path)
-    ds = spark.read.parquet(path)
+    # Tables are written where executors share a folder; ``out``, the driver's, gets reports alone.
+    ds, _ = written(ds)
     step("coverage", lambda: ds.groupBy("decision_date", "exclusion").agg(F.count("*").alias("n"), F.count(label).alias("labelled")).orderBy("decision_date", "exclusion"))
     d = ds.where("exclusion = ''")
     s = m.baseline_scores(d).join(d.select("decision_date", "ticker", "sector", *exposures, *[f"forward_return_h{h}" for h in horizons]), ["decision_date", "ticker"])
-    s.write.mode("overwrite").parquet(os.path.join(out, "scores.parquet"))
-    s = spark.read.parquet(os.path.join(out, "scores.parquet"))
+    s, _ = written(s)
     for h in horizons:
         step(f"ranking_h{h}", lambda h=h: m.ic_summary(m.rank_ic(s, f"forward_return_h{h}")))
         step(f"quantiles_h{h}", lambda h=h: m.quantile_table(s, f"forward_return_h{h}").orderBy("bucket"))

@@ -66,3 +66,17 @@ def _chain(orders):
     c = g.chained(orders.select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("entry_hash")), "o_orderkey", "entry_hash")
     c = c.select(F.col("place").alias("line"), "entry_hash", F.when(F.col("place") % 40 == 0, "broken").otherwise(F.coalesce("before", F.lit(""))).alias("parent_hash"))
     return g.chain_links(c).select("line", "linked")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS line, '{"body":{"customer":' || CAST(o_custkey AS VARCHAR) || ',"status":"' || o_orderstatus || '"},"note":"","parent_hash":""}' AS content FROM orders)
+    SELECT line, sha256(content) AS own_hash, line % 50 <> 0 AS sound FROM e""")
+def ledger_hash_check(spark, sf_dir):
+    """An entry for each order, its keys in another order than the canonical one; every 50th was changed after it was hashed."""
+    from ..operators import governance as g
+
+    o = v.table(spark, sf_dir, "orders")
+    body = F.format_string('{"customer":%d,"status":"%s"}', F.col("o_custkey"), F.col("o_orderstatus"))
+    content = F.concat(F.lit('{"body":'), body, F.lit(',"note":"","parent_hash":""}'))
+    given = F.when(F.col("o_orderkey") % 50 == 0, F.lit("0")).otherwise(F.sha2(content, 256))
+    line = F.concat(F.lit('{ "parent_hash": "", "entry_hash": "'), given, F.lit('", "note": "", "body": {"status": "'), F.col("o_orderstatus"), F.lit('", "customer": '), F.col("o_custkey").cast("string"), F.lit("}}"))
+    return g.entry_hashes(o.select(F.col("o_orderkey").alias("line"), line.alias("value"))).select("line", "own_hash", "sound")
