@@ -2,9 +2,9 @@
 
 A piece of text is its bytes at first. A leaf of the tree stands for each pair
 of neighbours and holds the pair's rank and place; an inner node holds the
-lesser of its children, so that the root is the leftmost of the pairs with the
-lowest rank. A merge changes three leaves and what is above them. It ends when
-no pair in the tree can be merged.
+least of its (sixteen) children, so that the root is the leftmost of the pairs
+with the lowest rank. A merge changes three leaves and what is above them. It
+ends when no pair in the tree can be merged.
 """
 
 from __future__ import annotations
@@ -61,54 +61,56 @@ def late_signs() -> tuple[frozenset[str], regex.Pattern]:
     return frozenset(late["L"] + late["N"]), _pattern(*sets)
 
 
+#: Children of a node of the tree, as a power of two.
+FAN = 4
+
+
 def merge(ids: list[int], ranks: dict[int, int], made: list[int], base: int) -> list[int]:
     """``ids`` after all merges; ``ranks`` has a pair's rank by first * base + second, ``made`` the id that a rank makes."""
     n = len(ids)
     if n < 2:
         return ids
     get, miss = ranks.get, len(made)
-    size = 1 << (n - 2).bit_length()
-    none = miss * size  # no rank: more than any leaf that has one
-    leaves = [get(a * base + b, miss) * size + i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
-    if min(leaves) >= none:
-        return ids
-    tree = [none] * size + leaves + [none] * (size + 1 - n)
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (root := tree[1]) < none:
-        i = root & (size - 1)
+    none = miss * n  # no rank: more than any leaf that has one
+    leaves = [get(a * base + b, miss) * n + i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    levels = [leaves]
+    while len(levels[-1]) > 1 << FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + (1 << FAN)]) for k in range(0, len(below), 1 << FAN)])
+    top, deep = levels[-1], len(levels) > 1
+    after = before = None
+    while (root := min(top)) < none:
+        if after is None:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, i = divmod(root, n)
         j = after[i]
-        new = ids[i] = made[root // size]
+        new = ids[i] = made[rank]
         ids[j] = -1
         k = after[i] = after[j]
         p = before[i]
-        changed = [(size + j, none)] if j < n - 1 else []
         if k < n:
             before[k] = i
-            changed.append((size + i, get(new * base + ids[k], miss) * size + i))
-        else:
-            changed.append((size + i, none))
+            leaves[i] = get(new * base + ids[k], miss) * n + i
+            leaves[j] = none
+        else:  # the second of the pair was the last: no pair begins there
+            leaves[i] = none
         if p >= 0:
-            changed.append((size + p, get(ids[p] * base + new, miss) * size + p))
-        for k, value in changed:
-            tree[k] = value
-            while k > 1:
-                other = tree[k ^ 1]
-                k >>= 1
-                if other < value:
-                    value = other
-                if tree[k] == value:
-                    break
-                tree[k] = value
-    return [x for x in ids if x >= 0]
+            leaves[p] = get(ids[p] * base + new, miss) * n + p
+        if deep:
+            for at in (i, j if k < n else i, p if p >= 0 else i):
+                for below, level in zip(levels, levels[1:]):
+                    at >>= FAN
+                    least = min(below[at << FAN : (at + 1) << FAN])
+                    if level[at] == least:
+                        break
+                    level[at] = least
+    return ids if after is None else [x for x in ids if x >= 0]
 
 
 class Vocabulary:
     """A byte-level vocabulary and its merges, from a file in the tokenizers library's format."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, cut = file["model"], file["pre_tokenizer"] or {}
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     on by itself: rows may repeat or lack a doc_id. A null or empty text has
     no ids; an empty table gives no rows; further columns, of any name, are
     ignored. A piece of n bytes takes time in n * log n, whatever it holds, so
-    a very long word does no harm. Up to 300,000 short words and as many
+    a very long word does no harm. Up to 600,000 short words and as many
     pieces are remembered in a Python process, whatever the input.
     """
 
