@@ -106,18 +106,10 @@ def missing_by_date(spark, sf_dir):
     return q.missing_by_date(b, _universe(spark, sf_dir), b)
 
 
-@query(f"""WITH {v.BARS}, big AS (SELECT ticker FROM bars GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 3)
-    SELECT date FROM bars WHERE ticker IN (SELECT ticker FROM big) GROUP BY 1 HAVING count(*) = 3""")
-def complete_dates(spark, sf_dir):
-    b = v.bars(spark, sf_dir)
-    big = b.groupBy("ticker").count().orderBy(F.desc("count"), "ticker").limit(3).select("ticker")
-    return q.complete_dates(b, big)
-
-
 @query(f"""WITH {v.BARS}, u AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS ticker FROM supplier)
     SELECT date FROM bars JOIN u USING (ticker) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM u)""")
-def complete_dates_all(spark, sf_dir):
-    """Dates on which every supplier has a bar; complete_dates asks for three, as its SQL does."""
+def complete_dates(spark, sf_dir):
+    """Dates on which every supplier has a bar."""
     return q.complete_dates(v.bars(spark, sf_dir), v.table(spark, sf_dir, "supplier").select(v.ticker("s_suppkey").alias("ticker")))
 
 
@@ -168,20 +160,12 @@ def forward_returns(spark, sf_dir):
     return f.withColumns({c: r6(c) for c in ["base_price", *[f"forward_return_h{h}" for h in v.HORIZONS]]})
 
 
-@query(f"""WITH {v.BARS}, {v.STATEMENTS}, l AS (SELECT ticker, max(disclosure_date) FILTER (fiscal_year <= 1999) AS dd FROM statements GROUP BY 1),
-    n AS (SELECT l.ticker, dd, count(*) FILTER (b.date > dd) AS n FROM l LEFT JOIN bars b USING (ticker) GROUP BY 1, 2), h AS (SELECT unnest([5, 20, 60]) AS horizon)
-    SELECT ticker, CAST(horizon AS INTEGER) AS horizon, dd AS disclosure_date, n AS n_after, n >= horizon + 1 AS eligible,
-           CASE WHEN n = 0 THEN 'no_rows_after_disclosure' WHEN n < horizon + 1 THEN 'not_enough_rows' ELSE '' END AS reason FROM n, h""")
-def readiness(spark, sf_dir):
-    return t.readiness(v.bars(spark, sf_dir), v.statements(spark, sf_dir).where("fiscal_year <= 1999"))
-
-
 @query(f"""WITH {v.BARS}, {v.STATEMENTS}, l AS (SELECT ticker, max(disclosure_date) AS dd FROM statements GROUP BY 1),
     n AS (SELECT l.ticker, dd, count(*) FILTER (b.date > dd) AS n FROM l LEFT JOIN bars b USING (ticker) GROUP BY 1, 2), h AS (SELECT unnest([5, 20, 60]) AS horizon)
     SELECT ticker, CAST(horizon AS INTEGER) AS horizon, dd AS disclosure_date, n AS n_after, n >= horizon + 1 AS eligible,
            CASE WHEN n = 0 THEN 'no_rows_after_disclosure' WHEN n < horizon + 1 THEN 'not_enough_rows' ELSE '' END AS reason FROM n, h""")
-def readiness_all(spark, sf_dir):
-    """Readiness by the latest of all statements; readiness stops at fiscal year 1999, as its SQL does."""
+def readiness(spark, sf_dir):
+    """Readiness by the latest of all statements."""
     return t.readiness(v.bars(spark, sf_dir), v.statements(spark, sf_dir))
 
 

@@ -42,20 +42,11 @@ def universe_filter(spark, sf_dir):
     return c.join(q.usable(c).select("ticker", F.lit(True).alias("usable")), "ticker", "left").select("ticker", "coverage_status", F.coalesce("usable", F.lit(False)).alias("usable"))
 
 
-CHAIN = """c AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS line, sha256(CAST(o_orderkey AS VARCHAR)) AS entry_hash FROM orders WHERE o_custkey <= 50)"""
-
-
-@query(f"""WITH {CHAIN}, p AS (SELECT line, entry_hash, CASE WHEN line % 40 = 0 THEN 'broken' ELSE coalesce(lag(entry_hash) OVER (ORDER BY line), '') END AS parent_hash FROM c)
-    SELECT CAST(line AS INTEGER) AS line, parent_hash = coalesce(lag(entry_hash) OVER (ORDER BY line), '') AS linked FROM p""")
-def ledger_chain_check(spark, sf_dir):
-    """The chain over the first 50 customers' orders, as its SQL has it; ledger_chain_check_all covers all orders."""
-    return _chain(v.table(spark, sf_dir, "orders").where("o_custkey <= 50")).withColumn("line", F.col("line").cast("int"))
-
-
 @query("""WITH c AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, sha256(CAST(o_orderkey AS VARCHAR)) AS entry_hash FROM orders),
     p AS (SELECT line, entry_hash, CASE WHEN line % 40 = 0 THEN 'broken' ELSE coalesce(lag(entry_hash) OVER (ORDER BY line), '') END AS parent_hash FROM c)
     SELECT line, parent_hash = coalesce(lag(entry_hash) OVER (ORDER BY line), '') AS linked FROM p""")
-def ledger_chain_check_all(spark, sf_dir):
+def ledger_chain_check(spark, sf_dir):
+    """The chain over all orders, in ranges of their keys."""
     return _chain(v.table(spark, sf_dir, "orders"))
 
 

@@ -147,7 +147,7 @@ def test_ledger_chain_holds_every_order(spark):
 
     data = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{data}/orders.parquet").count()
-    r = registry.QUERIES["ledger_chain_check_all"](spark, data).agg(F.count("*"), F.max("line"), F.count_if(~F.col("linked"))).first()
+    r = registry.QUERIES["ledger_chain_check"](spark, data).agg(F.count("*"), F.max("line"), F.count_if(~F.col("linked"))).first()
     assert tuple(r) == (n, n, n // 40)
 
 
@@ -178,7 +178,7 @@ def test_complete_dates_ask_for_every_supplier(spark, tmp_path):
     at = spark.createDataFrame([(k, d) for k, ds in days.items() for d in ds.split()], "k int, d string")
     line.drop("l_suppkey", "l_shipdate").crossJoin(at).withColumns({"l_suppkey": F.col("k").cast(kind), "l_shipdate": F.to_date("d")}).drop("k", "d").write.parquet(f"{tmp_path}/lineitem.parquet")
     at.select(F.col("k").cast(kind).alias("s_suppkey")).distinct().write.parquet(f"{tmp_path}/supplier.parquet")
-    got = registry.QUERIES["complete_dates_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["complete_dates"](spark, str(tmp_path)).collect()
     assert [r["date"] for r in got] == [datetime.date(1995, 1, 2)]
 
 
