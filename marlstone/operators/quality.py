@@ -95,7 +95,11 @@ def status_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def mismatches(left: DataFrame, right: DataFrame, column: str, tolerance: float = 1e-6) -> DataFrame:
-    """ticker, date, both values and their difference where it is larger than allowed."""
+def mismatches(left: DataFrame, right: DataFrame, column: str, tolerance: float = 1e-6, first: int | None = None) -> DataFrame:
+    """ticker, date, both values and their difference where it is larger than allowed; all, or the ``first`` by ticker and date.
+
+    Of those each task keeps as many, and these are merged: no sort of all rows.
+    """
     j = left.select("ticker", "date", F.col(column).alias("a")).join(right.select("ticker", "date", F.col(column).alias("b")), ["ticker", "date"])
-    return j.withColumn("diff", F.abs(F.col("a") - F.col("b"))).where(F.col("diff") > tolerance)
+    found = j.withColumn("diff", F.abs(F.col("a") - F.col("b"))).where(F.col("diff") > tolerance)
+    return found if first is None else found.orderBy("ticker", "date").limit(first)

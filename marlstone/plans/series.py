@@ -124,6 +124,18 @@ def adj_close_consistency(spark, sf_dir):
     return q.consistency(v.bars(spark, sf_dir), alt, "close", 0.01).withColumn("max_abs_diff", r6("max_abs_diff"))
 
 
+@query(f"""WITH {v.BARS}, alt AS (
+        SELECT lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS ticker, CAST(l_shipdate AS DATE) AS date, avg(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS close
+        FROM lineitem GROUP BY 1, 2)
+    SELECT b.ticker, b.date, round(b.close, 6) AS a, round(a.close, 6) AS b, round(abs(b.close - a.close), 6) AS diff
+    FROM bars b JOIN alt a ON a.ticker = b.ticker AND a.date = b.date WHERE abs(b.close - a.close) > 0.01 ORDER BY b.ticker, b.date LIMIT 100""")
+def adj_close_mismatches(spark, sf_dir):
+    """The first hundred differences that adj_close_consistency counts."""
+    line = v.table(spark, sf_dir, "lineitem")
+    alt = line.groupBy(v.ticker("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("date")).agg(F.avg(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("close"))
+    return q.mismatches(v.bars(spark, sf_dir), alt, "close", 0.01, first=100).withColumns({c: r6(c) for c in ("a", "b", "diff")})
+
+
 ORDER = ("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
 
 
