@@ -189,4 +189,4 @@ def test_readiness_sees_the_latest_disclosures(spark):
     data = "/root/testdata/sf0.001"
     last = v.statements(spark, data).agg(F.max("disclosure_date")).first()[0]
     assert last > datetime.date(2000, 1, 31)
-    assert registry.QUERIES["readiness_all"](spark, data).agg(F.max("disclosure_date")).first()[0] == last
+    assert registry.QUERIES["readiness"](spark, data).agg(F.max("disclosure_date")).first()[0] == last
