@@ -111,12 +111,12 @@ def rows_after(bars: DataFrame, disclosed: DataFrame) -> DataFrame:
     return seen.where("mark = 1").select("ticker", F.col("date").alias("disclosure_date"), (F.col("n_all") - F.col("upto")).alias("n_after"))
 
 
-def readiness(bars: DataFrame, disclosed: DataFrame, horizons=(5, 20, 60)) -> DataFrame:
-    """Per ticker and horizon: whether N + 1 bars follow its disclosure, and why not."""
-    latest = disclosed.groupBy("ticker").agg(F.max("disclosure_date").alias("disclosure_date"))
-    counted = rows_after(bars, latest.where("disclosure_date IS NOT NULL"))
+def readiness(bars: DataFrame, disclosed: DataFrame, horizons=(5, 20, 60), *, every: bool = False) -> DataFrame:
+    """Per ticker and horizon: whether N + 1 bars follow its latest disclosure, or ``every`` one of its disclosures, and why not."""
+    asked = disclosed.select("ticker", "disclosure_date").distinct() if every else disclosed.groupBy("ticker").agg(F.max("disclosure_date").alias("disclosure_date"))
+    counted = rows_after(bars, asked.where("disclosure_date IS NOT NULL"))
     priced = bars.select("ticker").distinct().withColumn("priced", F.lit(True))
-    j = latest.join(counted.select("ticker", "n_after"), "ticker", "left").join(priced, "ticker", "left")
+    j = asked.join(counted, ["ticker", "disclosure_date"], "left").join(priced, "ticker", "left")
     j = j.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     reason = F.when(F.col("disclosure_date").isNull(), "no_disclosure_date").when(F.col("priced").isNull(), "no_prices").when(F.coalesce("n_after", F.lit(0)) == 0, "no_rows_after_disclosure").when(F.col("n_after") < F.col("horizon") + 1, "not_enough_rows")
     return j.select("ticker", "horizon", "disclosure_date", F.coalesce("n_after", F.lit(0)).alias("n_after"), reason.isNull().alias("eligible"), F.coalesce(reason, F.lit("")).alias("reason"))

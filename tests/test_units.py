@@ -190,3 +190,32 @@ def test_readiness_sees_the_latest_disclosures(spark):
     last = v.statements(spark, data).agg(F.max("disclosure_date")).first()[0]
     assert last > datetime.date(2000, 1, 31)
     assert registry.QUERIES["readiness"](spark, data).agg(F.max("disclosure_date")).first()[0] == last
+
+
+def test_readiness_asks_for_every_statement(spark):
+    from marlstone.plans import registry
+    from marlstone.sources import views as v
+
+    data = "/root/testdata/sf0.001"
+    got = registry.QUERIES["readiness"](spark, data).toPandas()
+    asked = {(r["ticker"], r["disclosure_date"]) for r in v.statements(spark, data).select("ticker", "disclosure_date").collect()}
+    assert len(got) == 3 * len(asked) and set(zip(got["ticker"], got["disclosure_date"])) == asked
+    days = v.bars(spark, data).select("ticker", "date").toPandas()
+    for r in got.itertuples():
+        n = int(((days["ticker"] == r.ticker) & (days["date"] > r.disclosure_date)).sum())
+        assert (r.n_after, r.eligible) == (n, n > r.horizon)
+    assert 0 < got["eligible"].sum() < len(got)
+
+
+def test_readiness_of_disclosures_without_dates_or_prices(spark):
+    from marlstone.operators import timeseries as t
+
+    day = datetime.date(2020, 1, 1)
+    bars = spark.createDataFrame([("a", day + datetime.timedelta(k)) for k in range(8)], "ticker string, date date")
+    told = [("a", day), ("a", day), ("a", day + datetime.timedelta(6)), ("a", None), ("b", day), ("c", None)]
+    disclosed = spark.createDataFrame(told, "ticker string, disclosure_date date")
+    got = {(r["ticker"], r["disclosure_date"]): (r["n_after"], r["reason"]) for r in t.readiness(bars, disclosed, (5,), every=True).collect()}
+    none = "no_disclosure_date"
+    assert got == {("a", day): (7, ""), ("a", told[2][1]): (1, "not_enough_rows"), ("a", None): (0, none), ("b", day): (0, "no_prices"), ("c", None): (0, none)}
+    latest = {r["ticker"]: (r["disclosure_date"], r["n_after"]) for r in t.readiness(bars, disclosed, (5,)).collect()}
+    assert latest == {"a": (told[2][1], 1), "b": (day, 0), "c": (None, 0)}
