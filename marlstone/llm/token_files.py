@@ -61,29 +61,51 @@ class WordIds:
         for piece, i in self.tk.get_vocab().items():
             sizes[i] = len(piece)  # a byte-level piece has a character for each byte
         self.sizes = sizes
+        #: Words encoded in a call, and in one text of it: longer texts take longer a word.
+        self.step, self.line = 2000, 100
+        #: What words often end with, and the ids of that.
+        self.marks = dict(zip(".,!?;:", self.whole(list(".,!?;:"))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.sign, e.ids).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Remember the ids of words, each with the space before it."""
-        memo = self.memo
+        """Remember the ids of words, each with the space before it.
+
+        Such a tokenizer parts a letter or digit from a mark after it: a word
+        that ends so has the ids of what is before the mark, and the mark's.
+        """
+        memo, marks = self.memo, self.marks
         every = " ".join(words)
         special = [s for s in self.special if s in every]
-        sure = []
+        sure, ended = [], []
         for w in words:
-            if w[0].isspace() or w[-1].isspace() or w[0] == "\0" or special and any(s in w for s in special):
+            last = w[-1]
+            if w[0].isspace() or last.isspace() or w[0] == "\0" or special and any(s in w for s in special):
                 memo[w] = None
+            elif last in marks and "\u0250" > w[-2:-1] and w[-2:-1].isalnum():
+                ended.append(w)
             else:
                 sure.append(w)
-        for i in range(0, len(sure), 2000):  # words in a row are cut again by their lengths in bytes
-            part = sure[i : i + 2000]
-            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
-            data, at = ids.tobytes(), 0
+        sure += {w[:-1] for w in ended}.difference(memo, sure)
+        step, line = self.step, self.line
+        for i in range(0, len(sure), step):  # words in a row are cut again by their lengths in bytes
+            part = sure[i : i + step]
+            lines = [" " + " ".join(part[k : k + line]) for k in range(0, len(part), line)]
+            held = array(self.sign)
+            for e in self.tk.encode_batch_fast(lines, add_special_tokens=False):
+                held.extend(e.ids)
+            text = np.frombuffer("".join(lines).encode(), np.uint8)
+            ids = np.frombuffer(held, self.kind)
+            # Each word begins with the one space that it has.
+            upto = np.append(np.flatnonzero(text == 32)[1:], len(text))
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), upto) + 1
+            data, at = held.tobytes(), 0
             for w, end in zip(part, (ids.itemsize * ends).tolist()):
                 memo[w] = data[at:end]
                 at = end
+        for w in ended:
+            memo[w] = memo[w[:-1]] + marks[w[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of two or four bytes, with the end id."""

@@ -361,6 +361,36 @@ def test_token_files(spark):
     assert token_files.round_trip(d.limit(0), path, 2).count() == 0
 
 
+def test_words_before_marks_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    stems = ["house", "x", "9", "h2", "²", "ª", "½", "é", "e\u0301", "ɏ", "ɐ", "ß", "日本", "ё", "\0", "don't", "..", "-", "<|endoftext|>", "¡", "\n", "a\tb", ""]
+    words = [w + m for w in stems for m in [*".,!?;:", "...", ".,", "", "-", "?!"]]
+    texts = ["start " + " ".join(rng.sample(words, 9)) for _ in range(400)] + ["start " + w for w in words]
+    for given in (texts, list(reversed(texts))):
+        ids = token_files.WordIds(path, 2)
+        ids.step, ids.line = 50, 7
+        for k in range(0, len(given), 60):
+            got = [np.frombuffer(i, ids.kind).tolist() for i in ids.ids(given[k : k + 60])]
+            assert got == [e.ids + [2] for e in tk.encode_batch(given[k : k + 60], add_special_tokens=False)]
+
+    class Counted:
+        def __init__(self, tk):
+            self.tk, self.words = tk, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.words += sum(len(t.split()) for t in texts)
+            return self.tk.encode_batch_fast(texts, **more)
+
+    ids = token_files.WordIds(path, 2)
+    ids.tk = Counted(ids.tk)
+    ids.learn(["house", "house.", "house,", "garden!", "garden?"])
+    assert ids.tk.words == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
