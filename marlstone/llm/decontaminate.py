@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, written
+from .common import WORD, drop, lean, written
 
 WORDS = re.compile(WORD)
 WINDOW = 13
@@ -387,7 +387,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc
     while block is not None:
         after = next(blocks, None)
         shared = sc.broadcast(test_suffixes(block, window))
-        new = df.mapInPandas(_scan(shared, shard_words, window, k == 0, after is None, longest_match), f"{base}, {BETWEEN if after is not None else RESULT + WIDENED * longest_match}")
+        new = df.mapInPandas(lean(_scan(shared, shard_words, window, k == 0, after is None, longest_match)), f"{base}, {BETWEEN if after is not None else RESULT + WIDENED * longest_match}")
         if after is not None:
             new, path = written(new)
             shared.destroy()

@@ -18,9 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, slices
+
 UNKNOWN = "und"
 #: What may be a letter; signs such as fractions and Roman numerals are no letters, although they match.
 LETTER = re.compile(r"[^\W\d_]")
@@ -223,9 +226,13 @@ def identify(docs: DataFrame, net: ByteConvNet | None = None, *, keep: tuple[str
         net = train(*training_sample(docs, **sample))
     model = docs.sparkSession.sparkContext.broadcast(net)  # under 0.2 MB, whatever the input
 
-    def run(batches):
-        return scorer(model.value)(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model.value)
+        for b in slices(batches, 1000):
+            *own, text = b.columns
+            (found,) = score(iter([pd.DataFrame({"__text": pd.Series(text.to_pylist(), dtype=object)})]))
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found["lang_pred"].tolist(), pa.string()), pa.array(found["score"].tolist(), pa.float64())], [*keep, "lang_pred", "score"])
 
     form = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInPandas(run, f"{form}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"{form}, lang_pred string, score double")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, lean, written
 from .components import by_key, connected, star_edges
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -218,7 +218,7 @@ def _components(docs: DataFrame, *, size: int = 4, similar: tuple[int, int] = (8
     spark = docs.sparkSession
     num, den = similar
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed, _ = written(typed.mapInPandas(_signed(size, bands, rows), "doc_id long, n long, cls binary, a array<long>, b array<long>"))
+    signed, _ = written(typed.mapInPandas(lean(_signed(size, bands, rows)), "doc_id long, n long, cls binary, a array<long>, b array<long>"))
     sets = signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes, _ = written(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.count("*").alias("copies")))
 

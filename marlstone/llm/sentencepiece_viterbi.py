@@ -21,8 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import KEPT, lean, slices
+
 SPACE = "▁"
 NORMAL, USER = 1, 4
 UNKNOWN_PENALTY = 10.0
@@ -238,24 +241,23 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for b in batches:
-            for k in range(0, len(b), 500):  # ids take more room than their text
-                part = b.iloc[k : k + 500]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                ids = [codec.encode(t) for t in texts]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"],
-                        "n_tokens": [len(i) for i in ids],
-                        "ids": ids,
-                        "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids],
-                        "round_trip": [codec.decode(i) == t for i, t in zip(ids, texts)],
-                    }
-                )
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
+        for b in slices(batches, 500):  # ids take more room than their text
+            texts = [t if isinstance(t, str) else "" for t in b["text"].to_pylist()]
+            ids = [codec.encode(t) for t in texts]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            columns = [
+                b["doc_id"],
+                pa.array(sizes),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
+                pa.array([codec.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run, forget=False), f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -271,6 +273,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 _CODECS: dict[str, Codec] = {}
+KEPT.append(_CODECS)
 
 
 def _codec(model: str) -> Codec:

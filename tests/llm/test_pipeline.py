@@ -56,3 +56,28 @@ def test_stages_keep_columns_and_rows(spark, folder):
 @pytest.mark.parametrize("stage", [f for _, f in c.STAGES])
 def test_empty_tables(spark, folder, stage):
     assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder).count() == 0
+
+
+def test_stages_leave_each_other_no_memory(monkeypatch):
+    """A stage's task begins without the words that another stage's tasks keep in its worker, and gives memory back at its end."""
+    from marlstone.llm import common, sentencepiece_viterbi
+
+    ended = []
+    monkeypatch.setattr(common, "give_back", lambda: ended.append(1))
+    model = c.tokenizer_path("piece_bpe_32k.model")
+    kept = sentencepiece_viterbi._codec(model)
+    own = common.lean(lambda batches: (b + 1 for b in batches), forget=False)
+    assert list(own(iter([1, 2]))) == [2, 3] and sentencepiece_viterbi._codec(model) is kept and len(ended) == 1
+    other = common.lean(lambda batches: (b + 1 for b in batches))
+    assert list(other(iter([]))) == [] and not sentencepiece_viterbi._CODECS and len(ended) == 2
+
+
+def test_batches_are_worked_on_in_parts(spark):
+    """More rows than a part has, of any text, keep their order and values."""
+    rows = [(k, None if k % 7 == 0 else "" if k % 11 == 0 else f"{ENGLISH if k % 2 else GERMAN}{k}", "en" if k % 2 else "de") for k in range(2300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    ids = c.tokens(spark, d, "").collect()
+    assert [r["doc_id"] for r in ids] == list(range(2300)) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in ids)
+    assert all((r["n_tokens"] > 0) == bool(t) for r, (_, t, _) in zip(ids, rows))
+    stays = c.language(spark, d, "").collect()
+    assert [(r["doc_id"], r["text"]) for r in stays] == [(k, t) for k, t, _ in rows if t]
