@@ -121,6 +121,12 @@ def code_padded(c: Column | str) -> Column:
     return F.when(c.rlike(r"^\d{4}0$"), F.substring(c, 1, 4)).when(c.rlike(r"^\d{1,3}$"), F.lpad(c, 4, "0")).otherwise(c)
 
 
+def code_vendor(c: Column | str) -> Column:
+    """As code_padded, also for longer codes: a ticker of five digits or more and a 0 lose the 0."""
+    c = F.trim(col(c))
+    return F.when(c.rlike(r"^\d{5,}0$"), F.regexp_replace(c, "0$", "")).otherwise(code_padded(c))
+
+
 def code_suffixed(c: Column | str) -> Column:
     """Upper case without a market suffix .T."""
     return F.regexp_replace(F.upper(F.trim(col(c))), r"\.T$", "")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import code_four, code_padded, code_suffixed, col, to_day, to_number, variant_text
+from ..functions.semantics import code_four, code_padded, code_suffixed, code_vendor, col, to_day, to_number, variant_text
 
 
 class DataError(ValueError):
@@ -186,7 +186,7 @@ def vendor_bars(raw: DataFrame) -> DataFrame:
     # The check is part of the plan: the rows are read once.
     sure = lambda c: F.when(code.isNull() | to_day(day).isNull(), F.raise_error(F.lit("vendor rows without date or code"))).otherwise(c)
     return raw.select(
-        sure(code_padded(code)).alias("ticker"), to_day(day).alias("date"),
+        sure(code_vendor(code)).alias("ticker"), to_day(day).alias("date"),
         *[to_number(first(*names)).alias(c) for c, names in VENDOR_NUMBERS.items()],
         *[yes_no(first(*names)).alias(c) for c, names in VENDOR_FLAGS.items()],
         F.to_json(without_secrets("fields")).alias("source_fields_json"),

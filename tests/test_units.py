@@ -219,3 +219,18 @@ def test_readiness_of_disclosures_without_dates_or_prices(spark):
     assert got == {("a", day): (7, ""), ("a", told[2][1]): (1, "not_enough_rows"), ("a", None): (0, none), ("b", day): (0, "no_prices"), ("c", None): (0, none)}
     latest = {r["ticker"]: (r["disclosure_date"], r["n_after"]) for r in t.readiness(bars, disclosed, (5,)).collect()}
     assert latest == {"a": (told[2][1], 1), "b": (day, 0), "c": (None, 0)}
+
+
+def test_quotes_of_long_keys_keep_their_tickers(spark, tmp_path):
+    """A vendor's code is the ticker and a 0, also where the ticker has five digits or six, or ends in 0 itself."""
+    from marlstone.plans import registry
+
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_suppkey = 1")
+    keys = spark.createDataFrame([(x,) for x in (7, 1000, 9999, 10000, 10001, 123450)], "k int")
+    line.drop("l_suppkey").crossJoin(keys).withColumnRenamed("k", "l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["dated_source_quotes"](spark, str(tmp_path)).select("ticker", "nested", "date").distinct().collect()
+    n = line.select(F.to_date("l_shipdate")).distinct().count()
+    per = {}
+    for r in got:
+        per[(r["ticker"], r["nested"])] = per.get((r["ticker"], r["nested"]), 0) + 1
+    assert per == {(t, f"T{t}"): n for t in ("0007", "1000", "9999", "10000", "10001", "123450")}
