@@ -53,3 +53,44 @@ def test_empty_tables_and_columns(spark):
     assert ranks_within(d, ["key"], {"r": "v"}).columns == [*d.columns, "r"]
     with pytest.raises(ValueError):
         ranks_within(d, ["key"], {"r": "v"}, method="dense")
+
+
+@pytest.mark.parametrize("method", ["average", "min"])
+def test_ranges_of_large_keys(spark, monkeypatch, method):
+    """Keys above the size of a range, with their counts sent to each task or joined."""
+    from marlstone.functions import ranks
+
+    rows, d = table(spark, 7)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40, raising=False)
+    for sent in (10**6, 0):
+        monkeypatch.setattr(ranks, "SENT", sent, raising=False)
+        for ascending in (True, False):
+            got = ranks_within(d, ["key"], {"rv": "v", "ru": "u"}, ascending=ascending, method=method).collect()
+            assert {r["k"]: r["rv"] for r in got} == counted(rows, 2, ascending, method)
+            assert {r["k"]: r["ru"] for r in got} == counted(rows, 3, ascending, method)
+
+
+def test_rank_may_take_the_place_of_its_value(spark):
+    d = spark.createDataFrame([(1, 5.0), (1, 3.0)], "key int, v double")
+    got = ranks_within(d, ["key"], {"v": "v", "w": "v"}, method="min")
+    assert got.columns == ["key", "v", "w"] and sorted(tuple(r) for r in got.collect()) == [(1, 1, 1), (1, 2, 2)]
+
+
+def moved(df):
+    return str(df._jdf.queryExecution().optimizedPlan()), str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+
+
+def test_ranks_move_rows_of_many_small_keys_once(spark):
+    d = spark.range(400).selectExpr("id % 100 AS key", "rand(1) AS a", "rand(2) AS b", "rand(3) AS c")
+    plan, n = moved(ranks_within(d, ["key"], {"ra": "a", "rb": "b", "rc": "c"}, method="min"))
+    assert n == 1 and "Join" not in plan
+
+
+def test_liquidity_ranks_write_and_move_only_what_is_ranked(spark, monkeypatch):
+    from marlstone.functions import ranks
+    from marlstone.plans import registry
+
+    seen = []
+    monkeypatch.setattr(ranks, "written", lambda df, real=ranks.written: (seen.append(df), real(df))[1])
+    got = registry.QUERIES["liquidity_ranks"](spark, "/root/testdata/sf0.001")
+    assert len(seen[0].columns) == 5 and moved(seen[0])[1] <= 1 and moved(got)[1] == 1
