@@ -234,3 +234,24 @@ def test_quotes_of_long_keys_keep_their_tickers(spark, tmp_path):
     for r in got:
         per[(r["ticker"], r["nested"])] = per.get((r["ticker"], r["nested"]), 0) + 1
     assert per == {(t, f"T{t}"): n for t in ("0007", "1000", "9999", "10000", "10001", "123450")}
+
+
+def test_average_values_do_not_depend_on_the_order_of_bars(spark, tmp_path):
+    """Eight values whose mean is a half of the fourth place, dealt to dates in another order for each of eighty tickers."""
+    import random
+
+    from marlstone.plans import registry
+
+    rng, rows, want = random.Random(3), [], {}
+    for key in range(80):
+        if key % 20 == 0:
+            cents = [rng.randrange(10**5, 10**8) for _ in range(8)]
+            cents[0] += 1 - sum(cents) % 2
+        rng.shuffle(cents)
+        rows += [(key, datetime.date(1995, 1, 1 + i), x / 100) for i, x in enumerate(cents)]
+        # 100 * sum / 8 is a half; it goes up.
+        want[f"{key:04d}"] = (100 * sum(cents) + 4) // 8 / 10**4
+    line = spark.createDataFrame(rows, "l_suppkey long, l_shipdate date, l_extendedprice double").withColumns({"l_quantity": F.lit(1.0), "l_discount": F.lit(0.0)})
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["ticker"]: r["adv"] for r in registry.QUERIES["adv_csv_source"](spark, str(tmp_path)).collect()}
+    assert got == want
